@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bpe, chatlog, decontam
+from . import bpe, chatlog, decontam, htmltext, mtree, pii, quality, toxicity
 from .common import table
 
 
@@ -21,11 +21,31 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as a log: each row is a whole message of its own, rows of one turn in the order of role and text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,7 +69,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op8_decontaminate": op8_decontaminate, "op10_chat": op10_chat}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_pii": op2_pii,
+        "op3_topk": op3_topk,
+        "op4_toxicity": op4_toxicity,
+        "op6_html": op6_html,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_quality": op9_quality,
+        "op10_chat": op10_chat,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
