@@ -281,7 +281,7 @@ class WordBpe:
         if len(self.cache) > CACHE_WORDS:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
-        fresh = set().union(*split) - cache.keys()
+        fresh = {w for w in set().union(*split) if w not in cache}
         if again := fresh & older.keys():
             cache.update((w, older[w]) for w in again)
             fresh -= again

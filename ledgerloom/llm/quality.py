@@ -46,14 +46,21 @@ def shape_row(word: str) -> int:
     return zlib.crc32(shape(word).encode()) % SHAPES
 
 
-def index_vectors(keys: list[str]) -> np.ndarray:
-    """Sparse random vectors of four ones of either sign, from the hash of each key."""
-    out = np.zeros((len(keys), SIZE), np.float32)
+def index_places(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and signs of the four ones in each key's index vector, from the hash of the key."""
+    at, sign = np.zeros((len(keys), 4), np.int64), np.zeros((len(keys), 4), np.float32)
     h = np.array([zlib.crc32(k.encode()) for k in keys], np.uint64)
     for j in range(4):
         h = (h + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(31)
-        np.add.at(out, (np.arange(len(keys)), (h % np.uint64(SIZE)).astype(int)), np.where(h >> np.uint64(63), -1.0, 1.0).astype(np.float32))
+        at[:, j], sign[:, j] = (h % np.uint64(SIZE)).astype(np.int64), np.where(h >> np.uint64(63), -1.0, 1.0)
+    return at, sign
+
+
+def index_vectors(keys: list[str]) -> np.ndarray:
+    at, sign = index_places(keys)
+    out = np.zeros((len(keys), SIZE), np.float32)
+    np.add.at(out, (np.arange(len(keys))[:, None], at), sign)
     return out
 
 
@@ -67,7 +74,7 @@ class Vectors:
     def pooled(self, text: str) -> np.ndarray:
         tokens = text.split()
         rows = self.rows
-        for w in set(tokens) - rows.keys():
+        for w in [w for w in set(tokens) if w not in rows]:
             rows[w] = self.words[w] if w in self.words else len(self.words) + shape_row(w)
         out = np.zeros(2 * SIZE + 3, np.float32)
         out[-1] = np.log1p(len(tokens)) / 10
@@ -88,14 +95,18 @@ def learn_vectors(texts: list[str]) -> Vectors:
     split = [t.split() for t in texts]
     spread = Counter(w for ws in split for w in set(ws))
     words = {w: i for i, (w, n) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:WORDS]) if n >= 2}
-    own = index_vectors([*words, "\0rare"])
-    around, seen = np.zeros_like(own), np.ones(len(own), np.float32)
-    for ws in split:
-        at = np.fromiter((words.get(w, len(words)) for w in ws), np.int64, len(ws))
-        for step in range(1, min(REACH, len(at) - 1) + 1):
-            np.add.at(around, at[:-step], own[at[step:]])
-            np.add.at(around, at[step:], own[at[:-step]])
-        np.add.at(seen, at, 1)
+    keys = [*words, "\0rare"]
+    own, (places, signs) = index_vectors(keys), index_places(keys)
+    around, seen = np.zeros(own.size), np.ones(len(own), np.float32)
+    for i in range(0, len(split), 256):  # neighbours within a document: a gap of REACH parts two documents
+        parts = [np.fromiter((*(words.get(w, len(words)) for w in ws), *[-1] * REACH), np.int64, len(ws) + REACH) for ws in split[i : i + 256]]
+        at = np.concatenate(parts)
+        seen += np.bincount(at[at >= 0], minlength=len(own))
+        for step in range(1, REACH + 1):
+            for x, y in ((at[:-step], at[step:]), (at[step:], at[:-step])):
+                x, y = x[both := (x >= 0) & (y >= 0)], y[both]
+                around += np.bincount((x[:, None] * SIZE + places[y]).ravel(), weights=signs[y].ravel(), minlength=own.size)
+    around = around.reshape(own.shape).astype(np.float32)
     word = (own + around / (2 * REACH * seen)[:, None])[:-1]
     shapes = index_vectors([f"\0{i}" for i in range(SHAPES)])
     table = np.zeros((len(words) + SHAPES, 2 * SIZE), np.float32)
