@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import bpe, chatlog, decontam, htmltext, mtree, pii, quality, toxicity
+from . import bagminhash, bpe, chatlog, decontam, htmltext, linespread, mtree, pii, quality, toxicity
 from .common import table
 
 
@@ -33,10 +33,38 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linespread.clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP7_SQL = f"""
+with docs as (
+  select doc_id, source, coalesce(text, '') as text,
+    list_max(list_transform(string_split(translate(coalesce(text, ''), chr(10), ' '), ' '), lambda w: {{'n': length(w), 'w': w}})) as kind
+  from documents
+), lines as (
+  select coalesce(source, chr(0)) as site, text, kind, trim(unnest(string_split(text, chr(10)))) as line from docs
+), found as (
+  select line from lines where len(string_split(line, ' ')) >= {linespread.WORDS} group by line
+  having count(distinct site) >= {linespread.SITES} and count(distinct kind) >= {linespread.SITES}
+    and count(distinct kind) >= {linespread.KINDS} * count(distinct text)
+), gone as (select coalesce(list(line), []) as lost from found), cut as (
+  select doc_id, string_split(text, chr(10)) as parts,
+    list_filter(string_split(text, chr(10)), lambda x: not list_contains(lost, trim(x))) as rest
+  from docs, gone
+)
+select doc_id, array_to_string(rest, chr(10)) as text, len(parts)::bigint as n_lines, (len(parts) - len(rest))::bigint as n_removed from cut
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -74,7 +102,9 @@ def queries() -> dict:
         "op2_pii": op2_pii,
         "op3_topk": op3_topk,
         "op4_toxicity": op4_toxicity,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_html": op6_html,
+        "op7_line_spread": op7_line_spread,
         "op8_decontaminate": op8_decontaminate,
         "op9_quality": op9_quality,
         "op10_chat": op10_chat,
@@ -82,4 +112,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_spread": OP7_SQL}
