@@ -17,38 +17,58 @@ all go becomes empty; other texts keep their remaining lines unchanged, in order
 
 from __future__ import annotations
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, map_batches
 
 #: Sites and kinds of text that a boilerplate line reaches; kinds for each text; words of a line.
 SITES, KINDS, WORDS = 5, 0.4, 3
 #: Precision of the sketches (2^10 registers) and the share of a threshold within which counts are made exact.
 LOG_K, NEAR = 10, 0.25
 #: Boilerplate lines that are few enough to broadcast (8 bytes each).
-BROADCAST_LINES = 20_000
+BROADCAST_LINES = 100_000
 
 
-def _words(text: Column) -> Column:
-    return F.split(text, " ")
+def hashed(text: str) -> int:
+    """The hash that Spark's ``xxhash64`` gives a string."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _kind(text: Column) -> Column:
-    words = F.split(F.translate(text, "\n", " "), " ")
-    return F.xxhash64(F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+def countable(line: str) -> bool:
+    """May a trimmed line be boilerplate?"""
+    return line.count(" ") >= WORDS - 1
+
+
+def kind(text: str) -> str:
+    """The longest word of a text, of equals the greatest."""
+    words = text.replace("\n", " ").split(" ")
+    most = max(map(len, words))
+    return max(w for w in words if len(w) == most)
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """line (hash), site, text (hash), kind (hash) of every line that may be boilerplate."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce("source", F.lit("\0")).alias("site"), F.xxhash64(text).alias("text"), _kind(text).alias("kind"), F.explode(F.split(text, "\n")).alias("line"))
-    rows = rows.withColumn("line", F.trim("line")).where(F.size(_words(F.col("line"))) >= WORDS)
-    return rows.select(F.xxhash64("line").alias("line"), "site", "text", "kind")
+    """line (hash), site, text (hash), kind (hash): a row for each line of each document that may be boilerplate."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        site = ["\0" if s is None else s for s in batch.column(0).to_pylist()]
+        text, kinds, found = [], [], []
+        for t in batch.column(1):
+            t = t.as_py() or ""
+            text.append(hashed(t))
+            kinds.append(hashed(kind(t)))
+            found.append([hashed(x) for x in {x.strip(" ") for x in t.split("\n")} if countable(x)])
+        return pa.RecordBatch.from_arrays([pa.array(site, pa.string()), pa.array(text, pa.int64()), pa.array(kinds, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["site", "text", "kind", "lines"])
+
+    rows = map_batches(docs.select(F.col("source").cast("string"), "text"), lambda: step, "site string, text bigint, kind bigint, lines array<bigint>")
+    return rows.select(F.explode("lines").alias("line"), "site", "text", "kind")
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
     """line: hashes of the lines to remove."""
-    rows = lines(docs)
+    rows = cut(lines(docs), "lines")
 
     def sketch(column: str) -> Column:
         return F.hll_sketch_estimate(F.hll_sketch_agg(column, F.lit(LOG_K))).alias(f"{column}s")
@@ -57,12 +77,10 @@ def boilerplate(docs: DataFrame) -> DataFrame:
     low, high = 1 - NEAR, 1 + NEAR
     maybe = spread.where((F.col("sites") >= low * SITES) & (F.col("kinds") >= low * SITES) & (F.col("kinds") >= low * KINDS * F.col("texts")))
     sure = (F.col("sites") >= high * SITES) & (F.col("kinds") >= high * SITES) & (F.col("kinds") >= high * KINDS * F.col("texts"))
-    maybe = cut(maybe.select("line", sure.alias("sure")), "lines")
+    maybe = cut(maybe.select("line", sure.alias("sure")), "spread-lines")
     near = maybe.where("not sure").select("line")
-    if near.isEmpty():
-        return maybe.select("line")
     few = near.count() <= BROADCAST_LINES
-    held = rows.join(F.broadcast(near) if few else near, "line", "left_semi")
+    held = cut(rows.join(F.broadcast(near) if few else near, "line", "left_semi"), "near-lines")
     # one distinct count a shuffle, each combined before it
     sites, texts, kinds = (held.select("line", c).distinct().groupBy("line").agg(F.count("*").alias(f"{c}s")) for c in ("site", "text", "kind"))
     exact = sites.join(texts, "line").join(kinds, "line").where((F.col("sites") >= SITES) & (F.col("kinds") >= SITES) & (F.col("kinds") >= KINDS * F.col("texts")))
@@ -75,23 +93,30 @@ def clean(docs: DataFrame) -> DataFrame:
     ``docs`` needs ``text`` and ``source``; columns named n_lines or n_removed are replaced.
     """
     found = boilerplate(docs)
-    n = found.count()
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    parts = F.split(F.coalesce("text", F.lit("")), "\n")
-
-    def removable(line: Column, known: Column) -> Column:
-        return known & (F.size(_words(F.trim(line))) >= WORDS)
-
-    if n <= BROADCAST_LINES:
-        hashes = [r["line"] for r in found.collect()]
-        known = f"xxhash64(trim(x)) in ({', '.join(map(str, hashes)) or 'null'})"
-        rest = F.expr(f"filter(__parts, x -> not coalesce(size(split(trim(x), ' ')) >= {WORDS} and {known}, false))")
-        rows = docs.select(*kept, parts.alias("__parts")).select(*kept, F.size("__parts").alias("n_lines"), rest.alias("__rest"))
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "n_lines bigint", "n_removed bigint"])
+    if found.count() <= BROADCAST_LINES:
+        everywhere = frozenset(r["line"] for r in found.collect())
+        rows = docs.select(*kept, F.lit(None).cast("array<bigint>").alias("__lost"))
     else:  # the lines that each text loses, by a join instead
+        everywhere = frozenset()
         key = F.xxhash64(F.coalesce("text", F.lit("")))
-        own = docs.select(key.alias("__text"), F.explode(F.array_distinct(F.transform(parts, F.trim))).alias("line")).distinct()
-        lost = own.withColumn("hash", F.xxhash64("line")).join(found.withColumnRenamed("line", "hash"), "hash").groupBy("__text").agg(F.collect_set("line").alias("__lost"))
-        rows = docs.withColumn("__text", key).join(lost, "__text", "left").withColumn("__lost", F.coalesce("__lost", F.array().cast("array<string>")))
-        rows = rows.select(*kept, F.size(parts).alias("n_lines"), F.filter(parts, lambda x: ~removable(x, F.array_contains(F.col("__lost"), F.trim(x)))).alias("__rest"))
-    text = F.when(F.size("__rest") == F.col("n_lines"), F.col("text")).otherwise(F.array_join("__rest", "\n"))
-    return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in kept), F.col("n_lines").cast("bigint").alias("n_lines"), (F.col("n_lines") - F.size("__rest")).cast("bigint").alias("n_removed"))
+        own = lines(docs).select("text", "line").distinct().join(found, "line").groupBy("text").agg(F.collect_set("line").alias("__lost"))
+        rows = docs.withColumn("__text", key).join(own.withColumnRenamed("text", "__text"), "__text", "left").select(*kept, "__lost")
+    at = kept.index("text")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, total, removed = [], [], []
+        for t, lost in zip(batch.column(at), batch.column(len(kept)), strict=True):
+            text = t.as_py()
+            gone = everywhere or frozenset(lost.as_py() or ())
+            parts = (text or "").split("\n")
+            rest = [x for x in parts if not (countable(y := x.strip(" ")) and hashed(y) in gone)] if gone else parts
+            texts.append(text if len(rest) == len(parts) else "\n".join(rest))
+            total.append(len(parts))
+            removed.append(len(parts) - len(rest))
+        columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(kept))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*kept, "n_lines", "n_removed"])
+
+    return map_batches(rows, lambda: step, schema)
