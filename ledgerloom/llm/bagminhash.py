@@ -9,10 +9,13 @@ of time only as far as all registers need.
 
 Equal texts are one node.  Nodes whose signatures agree in a band share a bucket.  Within a bucket
 every node is paired with the bucket's first node alone; pairs whose signatures are close enough
-are verified by the exact overlap of their multisets, and verified pairs join classes.  Then every
-bucket that still holds nodes of different classes pairs those outside the first node's class with
-all others of another class: so every pair that any band proposes is either verified or already
-within one class, while a large group of copies costs pairs in proportion to its size.
+are verified by the exact overlap of their multisets, and verified pairs join classes.  Buckets
+that still hold nodes of different classes go on.  A node with more than a fifth of its shingles in
+no other text of these buckets has no partner there, whatever the pair, and drops out exactly; the
+others are paired with the bucket's most central node, the one with the smallest such share.  What
+then still lies outside that node's class is paired with every other class of its bucket.  So every
+pair that any band proposes is verified, ruled out or already within one class, while a large group
+of near copies costs pairs in proportion to its size.
 
 Defined results: null texts are empty; texts of fewer than five words are one shingle; texts
 without words are duplicates only of equal texts; repeated rows share a class; a class is named by
@@ -21,8 +24,6 @@ its least doc_id, a null id counting only if there is no other.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -189,9 +190,7 @@ def _close(a: str, b: str) -> Column:
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b: nodes) whose texts' multisets overlap by ``SIMILARITY`` or more."""
     needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    few = needed.count() <= BROADCAST_NODES
-    texts = docs.select(node_of(F.col("text")).alias("node"), "text").join(F.broadcast(needed) if few else needed, "node", "left_semi")
-    texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    texts = _texts_of(needed, docs, "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def make():
@@ -226,6 +225,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _texts_of(nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """node, text of the given nodes."""
+    few = nodes.count() <= BROADCAST_NODES
+    texts = docs.select(node_of(F.col("text")).alias("node"), "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    return cut(texts.groupBy("node").agg(F.min("text").alias("text")), name)
+
+
+def unshared(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, share: of its shingle occurrences, those that no other of the nodes has."""
+
+    def make():
+        shingler = Shingler()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            tokens = []
+            with np.errstate(over="ignore"):
+                for t in batch.column(1):
+                    h = np.sort(shingler.shingles(t.as_py()))
+                    nth = np.arange(len(h)) - np.searchsorted(h, h)  # the how-manieth occurrence of its shingle
+                    tokens.append(mix(h + nth.astype(_U) * _FACTORS[2]).view(np.int64))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+        return step
+
+    rows = map_batches(_texts_of(nodes, docs, "mixed-texts"), make, "node binary, tokens array<bigint>")
+    single = rows.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("x")).where("c = 1")
+    alone = single.groupBy("x.node", "x.n").agg(F.count("*").alias("u")).select("node", (F.col("u") / F.col("n")).alias("share"))
+    return cut(nodes.join(alone, "node", "left").select("node", F.coalesce("share", F.lit(0.0)).alias("share")), "shares")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (verified links of its text), node: one row for each row of ``docs``.
 
@@ -246,19 +275,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verify(pairs, docs)
     classes = components(links)
 
-    placed = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
-    placed = cut(with_planes(placed.join(mixed, "bucket", "left_semi"), "node"), "mixed")
-    heads = placed.where("node = head").select("bucket", F.col("class").alias("head_class"))
-    outside = placed.join(heads, "bucket").where("class != head_class")
-    left, right = outside.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("planes_node").alias("planes_a")), placed.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("planes_node").alias("planes_b"))
-    more = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("class_a") != F.col("class_b")) & _close("planes_a", "planes_b"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def mixed(rows: DataFrame, name: str) -> DataFrame:
+        """Rows of the buckets that hold several classes, with their classes."""
+        now = rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        several = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
+        return cut(now.join(several, "bucket", "left_semi"), name)
+
+    tried = in_order(pairs)
+    left = mixed(members.select("bucket", "node"), "mixed")
+    shares = unshared(cut(left.select("node").distinct(), "mixed-nodes"), docs).where(F.col("share") <= 1 - SIMILARITY)
+    left = with_planes(left.join(shares, "node"), "node")
+    centre = left.groupBy("bucket").agg(F.min(F.struct("share", "node", "planes_node", "class")).alias("c"))
+    centre = centre.select("bucket", F.col("c.node").alias("b"), F.col("c.planes_node").alias("planes_b"), F.col("c.class").alias("class_b"))
+    near = left.withColumnsRenamed({"node": "a", "planes_node": "planes_a", "class": "class_a"}).join(centre, "bucket").where(F.col("class_a") != F.col("class_b"))
+    more = cut(in_order(near.where(_close("planes_a", "planes_b"))).join(tried, ["a", "b"], "left_anti"), "central-pairs")
     if not more.isEmpty():
-        links = reduce(DataFrame.union, [links, verify(more, docs)])
+        tried, links = tried.union(more), links.union(verify(more, docs))
         classes = components(links)
+        left = mixed(left.select("bucket", "node", "share", "planes_node"), "mixed-again")
+        centre = left.groupBy("bucket").agg(F.min_by("class", F.struct("share", "node")).alias("class_b"))
+        outside = left.join(centre, "bucket").where(F.col("class") != F.col("class_b"))
+        outside = outside.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("planes_node").alias("planes_a"))
+        others = left.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("planes_node").alias("planes_b"))
+        rest = outside.join(others, (outside["bucket"] == others["bucket"]) & (F.col("class_a") != F.col("class_b")) & _close("planes_a", "planes_b"))
+        more = cut(in_order(rest).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+        if not more.isEmpty():
+            links = links.union(verify(more, docs))
+            classes = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.select("node", "first").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left")
