@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Misread characters in labels, replaced in this order.
 MISREADINGS = [
@@ -36,7 +37,7 @@ SKIPPED_PHRASES = ["deferred revenue", "contract liabilities", "segment revenue"
 TYPOS = [("Advcniscmcnt", "Advertisement"), ("amonisation", "amortisation"), ("ofs tock", "of stock"), ("benefi1s", "benefits"), ("EmpIoyee", "Employee"), ("DeIivery", "Delivery"), ("reIated", "related"), ("incomc", "income"), ("COSIS", "costs"), ("TotaI", "Total"), ("saIes", "sales"), ("Ill", "III"), ("ll", "II"), ("l", "I")]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(text: pd.Series) -> pd.Series:
     """Compatibility forms and case folded: no built-in function does that."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

@@ -43,6 +43,10 @@ class TenantSession:
         return for_role(responses, self.role)
 
 
+def _only(fields: list[str]):
+    return lambda c: F.struct(*(c[f].alias(f) for f in fields))
+
+
 def for_role(responses: DataFrame, role: str) -> DataFrame:
     """The columns of a response that a role sees; viewers get citations and contradictions without figures."""
     names = [c for r, n in ROLES.items() if n <= ROLES[role] for c in COLUMNS[r]]
@@ -50,5 +54,5 @@ def for_role(responses: DataFrame, role: str) -> DataFrame:
     if role == "viewer":
         for column, fields in (("citations", VIEWER_CITATION), ("contradictions", VIEWER_CONTRADICTION)):
             if column in rows.columns:
-                rows = rows.withColumn(column, F.transform(column, lambda c, fields=fields: F.struct(*(c[f].alias(f) for f in fields))))
+                rows = rows.withColumn(column, F.transform(column, _only(fields)))
     return rows.select(*(c for c in names if c in rows.columns))
