@@ -272,7 +272,7 @@ class WordBpe:
                 if "Σ" in part:  # lower-casing goes by single characters: no final form
                     part = part.replace("Σ", "σ")
                 part = part.lower()
-                out += (PLAIN_WORDS if self.restated and PLAIN.fullmatch(part) else self.words).findall(part)
+                out += (self.words if not self.restated else PLAIN_WORDS if PLAIN.fullmatch(part) else exact_words()).findall(part)
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -297,6 +297,38 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=1)
+def exact_words() -> re.Pattern:
+    """``RESTATED`` with letters, numbers and spaces as the tokenizers library itself classes them.
+
+    Matchers know different versions of the standard's tables; asking the library once for every
+    character leaves no difference.  Without the library its own tables decide.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    try:
+        from tokenizers import Regex, pre_tokenizers
+
+        def members(pattern: str) -> str:
+            return "".join(part for part, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every))
+
+        letters, numbers, spaces = (members(p) for p in (r"[\p{L}]+", r"[\p{N}]+", r"[\s]+"))
+    except ImportError:
+        letters, numbers, spaces = ("".join(regex.findall(p, every)) for p in (r"\p{L}", r"\p{N}", r"\s"))
+    a, b, c = map(_ranges, (letters, numbers, spaces))
+    return re.compile(f"[{a}]+|'(?:s|t|re|ve|m|ll|d)|[{b}]|[^{a}{b}{c}]+")
+
+
+def _ranges(characters: str) -> str:
+    """A matcher's class of the given ordered characters."""
+    out: list[list[int]] = []
+    for x in map(ord, characters):
+        if out and out[-1][1] == x - 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in out)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
