@@ -13,9 +13,10 @@ are verified by the exact overlap of their multisets, and verified pairs join cl
 that still hold nodes of different classes go on.  A node with more than a fifth of its shingles in
 no other text of these buckets has no partner there, whatever the pair, and drops out exactly; the
 others are paired with the bucket's most central node, the one with the smallest such share.  What
-then still lies outside that node's class is paired with every other class of its bucket.  So every
-pair that any band proposes is verified, ruled out or already within one class, while a large group
-of near copies costs pairs in proportion to its size.
+then still lies outside that node's class is paired with nodes of other classes by its rarest
+shingles: two texts as similar as that share one of their rarest fifth.  So every pair that any
+band proposes is verified, ruled out or already within one class, while a large group of near
+copies costs pairs in proportion to its size.
 
 Defined results: null texts are empty; texts of fewer than five words are one shingle; texts
 without words are duplicates only of equal texts; repeated rows share a class; a class is named by
@@ -35,9 +36,11 @@ from .common import cut, map_batches, pieces
 SHINGLE, SIMILARITY, REGISTERS, ROWS = 5, 0.8, 128, 5
 BANDS = REGISTERS // ROWS
 #: Registers that may differ, in two bits each, between signatures worth verifying: about five deviations beyond 0.8.
-DIFFER = 42
+DIFFER = 38
+#: The same for the longer signatures of texts that stay apart in crowded buckets.
+LONG_REGISTERS, LONG_DIFFER = 1024, 208
 #: Words whose hashes a Python worker keeps; nodes that are few enough to broadcast (16 bytes each).
-SEEN_WORDS, BROADCAST_NODES = 500_000, 500_000
+SEEN_WORDS, BROADCAST_NODES = 200_000, 500_000
 
 _U = np.uint64
 _LETTERS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -81,7 +84,7 @@ class Shingler:
         return mix(total)
 
 
-def signatures(documents: list[np.ndarray]) -> np.ndarray:
+def signatures(documents: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
     """BagMinHash registers of each multiset of shingle hashes (none may be empty): times as 64-bit patterns."""
     with np.errstate(over="ignore"):
         sizes = np.array([len(d) for d in documents])
@@ -91,21 +94,21 @@ def signatures(documents: list[np.ndarray]) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
         weight = np.diff(np.r_[first, len(h)])
         doc, h = doc[first], h[first]
-        out = np.full((len(documents), REGISTERS), np.inf)
-        horizon = (np.log(REGISTERS) + 4) * REGISTERS / sizes  # time by which the registers are full, most likely
+        out = np.full((len(documents), registers), np.inf)
+        horizon = (np.log(registers) + 4) * registers / sizes  # time by which the registers are full, most likely
         todo = np.arange(len(documents))
         while len(todo):
             wanted = np.zeros(len(documents), bool)
             wanted[todo] = True
             some = wanted[doc]
-            _throw(out.reshape(-1), doc[some], h[some], weight[some], horizon)
+            _throw(out.reshape(-1), registers, doc[some], h[some], weight[some], horizon)
             todo = np.flatnonzero(np.isinf(out).any(1))
             horizon[todo] *= 2
             out[todo] = np.inf
         return out.view(_U)
 
 
-def _throw(registers: np.ndarray, doc: np.ndarray, h: np.ndarray, weight: np.ndarray, horizon: np.ndarray) -> None:
+def _throw(earliest: np.ndarray, registers: int, doc: np.ndarray, h: np.ndarray, weight: np.ndarray, horizon: np.ndarray) -> None:
     """All points up to each document's horizon, band by band of weights."""
     band, low, width = 0, 0, 1
     while len(doc):
@@ -117,13 +120,13 @@ def _throw(registers: np.ndarray, doc: np.ndarray, h: np.ndarray, weight: np.nda
             time = time - np.log1p(-(r >> _U(11)).astype(np.float64) * 2.0**-53) / width
             early = time <= horizon[doc[live]]
             live, time, r = live[early], time[early], mix(r[early] ^ _FACTORS[2])
-            at = doc[live] * REGISTERS + (r % _U(REGISTERS)).astype(np.int64)
+            at = doc[live] * registers + (r % _U(registers)).astype(np.int64)
             if width > 1:
                 level = low + ((r >> _U(40)).astype(np.float64) * 2.0**-24 * width)
                 taken = level < weight[live]
-                np.minimum.at(registers, at[taken], time[taken])
+                np.minimum.at(earliest, at[taken], time[taken])
             else:
-                np.minimum.at(registers, at, time)
+                np.minimum.at(earliest, at, time)
         low, band = low + width, band + 1
         more = weight > low
         doc, h, weight = doc[more], h[more], weight[more]
@@ -170,10 +173,15 @@ def sign(docs: DataFrame) -> DataFrame:
     return map_batches(rows, make, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, planes array<bigint>, bands array<bigint>")
 
 
+def _planes(bits: np.ndarray) -> np.ndarray:
+    """Two bits of each register, packed into whole numbers plane by plane."""
+    return np.concatenate([np.packbits((bits >> _U(k) & _U(1)).astype(np.uint8), axis=1) for k in (7, 8)], axis=1).copy().view(np.int64)
+
+
 def _packed(registers: np.ndarray) -> list[tuple[list[int], list[int]]]:
     with np.errstate(over="ignore"):
         bits = mix(registers)
-        planes = np.concatenate([np.packbits((bits >> _U(k) & _U(1)).astype(np.uint8), axis=1) for k in (7, 8)], axis=1).copy().view(np.int64)
+        planes = _planes(bits)
         bands = np.zeros((len(registers), BANDS), _U)
         for j in range(ROWS):
             bands = mix(bands * _FACTORS[3] + bits[:, j : BANDS * ROWS : ROWS])
@@ -181,10 +189,38 @@ def _packed(registers: np.ndarray) -> list[tuple[list[int], list[int]]]:
     return list(zip(planes.tolist(), bands.tolist(), strict=True))
 
 
-def _close(a: str, b: str) -> Column:
+def _close(a: str, b: str, registers: int = REGISTERS, differ: int = DIFFER) -> Column:
     """Do two signatures differ in few enough registers?"""
-    half = REGISTERS // 64
-    return F.expr(" + ".join(f"bit_count(({a}[{i}] ^ {b}[{i}]) | ({a}[{i + half}] ^ {b}[{i + half}]))" for i in range(half)) + f" <= {DIFFER}")
+    half = registers // 64
+    return F.expr(" + ".join(f"bit_count(({a}[{i}] ^ {b}[{i}]) | ({a}[{i + half}] ^ {b}[{i + half}]))" for i in range(half)) + f" <= {differ}")
+
+
+class Bags:
+    """Multisets of the texts met last, up to a number of shingles."""
+
+    def __init__(self, most: int = 2_000_000):
+        self.shingler, self.most, self.held, self.total = Shingler(), most, {}, 0
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        bag = self.held.get(text)
+        if bag is None:
+            all_ = self.shingler.shingles(text)
+            bag = (*np.unique(all_, return_counts=True), len(all_))
+            if self.total > self.most:
+                self.held, self.total = {}, 0
+            self.held[text] = bag
+            self.total += len(bag[0])
+        return bag
+
+    def similar(self, a: str, b: str) -> bool:
+        """Is the weighted Jaccard similarity of two texts enough?"""
+        (x, n, p), (y, m, q) = sorted((self.of(a), self.of(b)), key=lambda t: len(t[0]))
+        if min(p, q) < SIMILARITY * max(p, q) or not len(x):
+            return False
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        same = y[at] == x
+        both = int(np.minimum(n[same], m[at[same]]).sum())
+        return both >= SIMILARITY * (p + q - both)
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -194,16 +230,10 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def make():
-        shingler, held = Shingler(), ["", np.zeros(0, _U)]
+        bags = Bags()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                if (text := b.as_py()) != held[0]:
-                    held[:] = [text, shingler.shingles(text)]
-                other = shingler.shingles(a.as_py())
-                least, most = sorted((len(other), len(held[1])))
-                keep.append(least >= SIMILARITY * most and overlap(other, held[1]) >= SIMILARITY)
+            keep = [bags.similar(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return step
@@ -212,19 +242,35 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, class (its least node) for every node with a link: least labels spread, and labels of labels are followed."""
+    """node, class (its least node) for every node with a link: least labels spread, and labels of labels are followed.
+
+    Labels of few nodes are broadcast, so that a round is one shuffle; others meet their links by joins.
+    """
     ends = cut(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("node", "other"), "ends")
+    few = ends.count() <= BROADCAST_NODES
+    small = F.broadcast if few else (lambda df: df)
     labels = cut(ends.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("class")), "labels")
     while True:
-        near = ends.join(labels.withColumnsRenamed({"node": "other", "class": "theirs"}), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        spread = labels.join(near, "node").select("node", F.col("class").alias("was"), F.least("class", "theirs").alias("now"))
-        jump = labels.withColumnsRenamed({"node": "now", "class": "further"})
+        near = ends.join(small(labels.withColumnsRenamed({"node": "other", "class": "theirs"})), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        spread = near.join(small(labels), "node").select("node", F.col("class").alias("was"), F.least("class", "theirs").alias("now"))
+        jump = small(labels.withColumnsRenamed({"node": "now", "class": "further"}))
         new = cut(spread.join(jump, "now", "left").select("node", "was", F.least("now", "further").alias("class")), "labels")
         labels = new.select("node", "class")
         if new.where("class != was").isEmpty():
             return labels
 
 
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes with more links: only the links between classes, each pair of classes once, go through ``components``."""
+    few = classes.count() <= BROADCAST_NODES
+    known = F.broadcast(classes) if few else classes
+    ends = links.join(known.withColumnsRenamed({"node": "a", "class": "class_a"}), "a", "left").join(known.withColumnsRenamed({"node": "b", "class": "class_b"}), "b", "left")
+    ends = cut(ends.select("a", "b", F.coalesce("class_a", "a").alias("class_a"), F.coalesce("class_b", "b").alias("class_b")), "class-links")
+    up = components(ends.where("class_a != class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()).toDF("class", "higher")
+    every = classes.union(ends.select("a", "class_a")).union(ends.select("b", "class_b")).distinct()
+    return cut(every.join(F.broadcast(up) if few else up, "class", "left").select("node", F.coalesce("higher", "class").alias("class")), "classes")
+
+
 def _texts_of(nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """node, text of the given nodes."""
     few = nodes.count() <= BROADCAST_NODES
@@ -232,27 +278,33 @@ def _texts_of(nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return cut(texts.groupBy("node").agg(F.min("text").alias("text")), name)
 
 
-def unshared(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, share: of its shingle occurrences, those that no other of the nodes has."""
+def profiles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, long (a longer signature), share of its shingle occurrences that no other of the nodes has, rarest: enough of its rarest that a similar text has one of them among its own."""
 
     def make():
         shingler = Shingler()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens = []
+            tokens, long, texts = [], [], batch.column(1).to_pylist()
             with np.errstate(over="ignore"):
-                for t in batch.column(1):
-                    h = np.sort(shingler.shingles(t.as_py()))
-                    nth = np.arange(len(h)) - np.searchsorted(h, h)  # the how-manieth occurrence of its shingle
-                    tokens.append(mix(h + nth.astype(_U) * _FACTORS[2]).view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
+                for start, end in pieces(texts, 500_000):
+                    bags = [np.sort(shingler.shingles(t)) for t in texts[start:end]]
+                    long += _planes(mix(signatures(bags, LONG_REGISTERS))).tolist()
+                    for h in bags:
+                        nth = np.arange(len(h)) - np.searchsorted(h, h)  # the how-manieth occurrence of its shingle
+                        tokens.append(mix(h + nth.astype(_U) * _FACTORS[2]).view(np.int64))
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64())), pa.array(long, pa.list_(pa.int64()))], names=["node", "tokens", "long"])
 
         return step
 
-    rows = map_batches(_texts_of(nodes, docs, "mixed-texts"), make, "node binary, tokens array<bigint>")
-    single = rows.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("x")).where("c = 1")
-    alone = single.groupBy("x.node", "x.n").agg(F.count("*").alias("u")).select("node", (F.col("u") / F.col("n")).alias("share"))
-    return cut(nodes.join(alone, "node", "left").select("node", F.coalesce("share", F.lit(0.0)).alias("share")), "shares")
+    rows = cut(map_batches(_texts_of(nodes, docs, "mixed-texts"), make, "node binary, tokens array<bigint>, long array<bigint>"), "tokens")
+    tokens = rows.select("node", F.explode("tokens").alias("token"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    own = tokens.join(spread, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    first = F.size("t") - F.ceil(SIMILARITY * F.size("t") - 1e-9).cast("int") + 1
+    alone = F.size(F.filter("t", lambda x: x["df"] == 1)) / F.size("t")
+    own = own.select("node", alone.alias("share"), F.transform(F.slice("t", 1, first), lambda x: x["token"]).alias("rarest"))
+    return cut(own.join(rows.select("node", "long"), "node"), "profiles")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,25 +338,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     tried = in_order(pairs)
     left = mixed(members.select("bucket", "node"), "mixed")
-    shares = unshared(cut(left.select("node").distinct(), "mixed-nodes"), docs).where(F.col("share") <= 1 - SIMILARITY)
-    left = with_planes(left.join(shares, "node"), "node")
+    known = profiles(cut(left.select("node").distinct(), "mixed-nodes"), docs).where(F.col("share") <= 1 - SIMILARITY)
+    left = with_planes(left.join(known.select("node", "share"), "node"), "node")
     centre = left.groupBy("bucket").agg(F.min(F.struct("share", "node", "planes_node", "class")).alias("c"))
     centre = centre.select("bucket", F.col("c.node").alias("b"), F.col("c.planes_node").alias("planes_b"), F.col("c.class").alias("class_b"))
     near = left.withColumnsRenamed({"node": "a", "planes_node": "planes_a", "class": "class_a"}).join(centre, "bucket").where(F.col("class_a") != F.col("class_b"))
     more = cut(in_order(near.where(_close("planes_a", "planes_b"))).join(tried, ["a", "b"], "left_anti"), "central-pairs")
     if not more.isEmpty():
-        tried, links = tried.union(more), links.union(verify(more, docs))
-        classes = components(links)
-        left = mixed(left.select("bucket", "node", "share", "planes_node"), "mixed-again")
+        found = verify(more, docs)
+        tried, links, classes = tried.union(more), links.union(found), merged(classes, found)
+        left = mixed(left.select("bucket", "node", "share"), "mixed-again")
         centre = left.groupBy("bucket").agg(F.min_by("class", F.struct("share", "node")).alias("class_b"))
-        outside = left.join(centre, "bucket").where(F.col("class") != F.col("class_b"))
-        outside = outside.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"), F.col("planes_node").alias("planes_a"))
-        others = left.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("planes_node").alias("planes_b"))
-        rest = outside.join(others, (outside["bucket"] == others["bucket"]) & (F.col("class_a") != F.col("class_b")) & _close("planes_a", "planes_b"))
+        outside = left.join(centre, "bucket").where(F.col("class") != F.col("class_b")).select("node").distinct()
+        nodes_left = with_planes(left.select("node", "class").distinct().join(known.select("node", "rarest", "long"), "node"), "node")
+        side = lambda rows, x: rows.select(F.explode("rarest").alias("token"), F.col("node").alias(x), F.col("class").alias(f"class_{x}"), F.col("planes_node").alias(f"planes_{x}"), F.col("long").alias(f"long_{x}"))
+        one, two = side(nodes_left.join(outside, "node", "left_semi"), "a"), side(nodes_left, "b")
+        rest = one.join(two, (one["token"] == two["token"]) & (F.col("class_a") != F.col("class_b")) & _close("planes_a", "planes_b") & _close("long_a", "long_b", LONG_REGISTERS, LONG_DIFFER))
         more = cut(in_order(rest).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
         if not more.isEmpty():
-            links = links.union(verify(more, docs))
-            classes = components(links)
+            found = verify(more, docs)
+            links, classes = links.union(found), merged(classes, found)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.select("node", "first").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left")
