@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a worker turns into Python objects at once.
+ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark alone so that any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,14 +38,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with state built once for each task: ``make()`` returns the function of one batch."""
+    """``mapInArrow`` with state built once for each task: ``make()`` returns the function of one batch.
+
+    Batches come as large as Spark makes them and are taken ``ROWS`` rows at a time, so that a worker
+    holds the Python objects of few texts at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
             if step is None:
                 step = make()
-            yield step(batch)
+            for start in range(0, max(1, batch.num_rows), ROWS):
+                yield step(batch.slice(start, ROWS))
 
     return df.mapInArrow(run, schema)
 
