@@ -17,19 +17,26 @@ from ledgerloom.llm.common import cut, table
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame, *named: str) -> tuple[DataFrame, list]:
+    """``docs`` with all columns but ``named`` renamed, so that no operator's own columns meet them, and what names them back."""
+    new = {c: c if c in named else f"__{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in new.items())), [F.col(n).alias(c) for c, n in new.items()]
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the lexicon calls toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rated = toxicity.score(docs, model, keep=tuple(c for c in docs.columns if c not in ("score", "predicted", "n_hits")))
-    return rated.where("predicted = 0").select(*docs.columns)
+    rows, back = _apart(docs, "doc_id", "text")
+    return toxicity.score(rows, model, keep=tuple(rows.columns)).where("predicted = 0").select(*back)
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut cross-site boilerplate lines; a document of nothing else goes."""
-    cleaned = linespread.clean(docs)
+    rows, back = _apart(docs, "text", "source", "n_chars")
+    cleaned = linespread.clean(rows)
     kept = cleaned.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
-    return kept.withColumn("n_chars", length.cast("bigint")).select(*docs.columns)
+    return kept.withColumn("n_chars", length.cast("bigint")).select(*back)
 
 
 def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +46,10 @@ def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    own = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*own, F.col("text").alias("__whole"), "text")
-    found = decontam.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_cols=(*own, "__whole"))
-    return found.where("not contaminated").withColumnRenamed("__whole", "text").select(*docs.columns)
+    rows, back = _apart(docs)
+    whole = rows.columns[docs.columns.index("text")]
+    found = decontam.decontaminate(rows.withColumn("text", F.col(whole)), table(spark, sf_dir, "benchmark"), id_cols=tuple(rows.columns))
+    return found.where("not contaminated").select(*back)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
