@@ -96,6 +96,49 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as w from embeddings where embedding is not null and len(embedding) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.w, c.w)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUNS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOW)
+OP8_SQL = f"""
+with d as (select doc_id, row_number() over () as r, {_RUNS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_RUNS} as w from benchmark),
+n as (select item, w, least({decontam.WINDOW}, len(w)) as m from b where len(w) > 0),
+p as (select distinct item, m, array_to_string(w[i:i + m - 1], ' ') as window from (select *, unnest(range(1, len(w) - m + 2)) as i from n)),
+e as (select r, m, i, array_to_string(w[i:i + m - 1], ' ') as window from (select r, w, m, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from n))),
+h as (select r, e.m, i, item from e join p on e.m = p.m and e.window = p.window),
+hit as (select r, count(distinct j) as n_hit from (select r, unnest(range(i, i + m)) as j from h) group by r),
+own as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from h) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (r) left join own using (r)
+"""
+
+
+def _escaped(text: str) -> str:
+    """Escaping as nested replacements: the backslash, then each control string."""
+    out = f"replace({text}, '\\', '\\\\')"
+    for control in ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]"):
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+OP10_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (select *, 7 + length({_escaped('text')}) + case role when 'user' then 15 when 'system' then 13 when 'assistant' then 0 else 13 + length({_escaped('role')}) end as size from c)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(size)::bigint as formatted_chars
+from t group by conv_id
+"""
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -112,4 +155,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_spread": OP7_SQL}
+    return {"op3_topk": OP3_SQL, "op7_line_spread": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_chat": OP10_SQL}

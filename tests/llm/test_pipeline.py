@@ -26,3 +26,18 @@ def test_toxic_documents_go(spark, sf):
     docs = spark.createDataFrame([(1, "you pathetic idiot, such trash and scum", "en", "s", 39), (2, "a clean text about the weather of today", "en", "s", 39)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.toxic_out(spark, docs, sf).collect()] == [2]
     assert toxicity.Lexicon([]).match("x") is None
+
+
+def test_odd_rows_and_clashing_columns(spark, sf):
+    from pyspark.sql import functions as F
+
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, text, "en", "s", 5), (2, text, "en", None, 5), (3, None, None, None, None), (None, "", "en", "s", 0), (4, "x " * 20000, "en", "s", 40000), (4, "x " * 20000, "en", "s", 40000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(7) for c in ("score", "predicted", "n_removed", "hits", "items", "n_hit", "node", "planes", "class")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        assert all(r["score"] == r["hits"] == r["node"] == 7 for r in docs.collect()), name
+    assert sorted(r["doc_id"] for r in docs.where("doc_id is not null").collect()) in ([1, 4], [1, 3, 4])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
