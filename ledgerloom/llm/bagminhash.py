@@ -10,13 +10,12 @@ of time only as far as all registers need.
 Equal texts are one node.  Nodes whose signatures agree in a band share a bucket.  Within a bucket
 every node is paired with the bucket's first node alone; pairs whose signatures are close enough
 are verified by the exact overlap of their multisets, and verified pairs join classes.  Buckets
-that still hold nodes of different classes go on.  A node with more than a fifth of its shingles in
-no other text of these buckets has no partner there, whatever the pair, and drops out exactly; the
-others are paired with the bucket's most central node, the one with the smallest such share.  What
-then still lies outside that node's class is paired with nodes of other classes by its rarest
-shingles: two texts as similar as that share one of their rarest fifth.  So every pair that any
-band proposes is verified, ruled out or already within one class, while a large group of near
-copies costs pairs in proportion to its size.
+that still hold nodes of different classes go on: their nodes are paired with the bucket's most
+central node, the one that shares the most buckets with others.  What then still lies outside that
+node's class is compared with the bucket's nodes of other classes by longer signatures, each pair in
+the first band that it shares, and close pairs are verified.  So every pair that any band proposes
+is verified, too far apart or already within one class, while a large group of near copies costs
+pairs in proportion to its size.
 
 Defined results: null texts are empty; texts of fewer than five words are one shingle; texts
 without words are duplicates only of equal texts; repeated rows share a class; a class is named by
@@ -98,35 +97,40 @@ def signatures(documents: list[np.ndarray], registers: int = REGISTERS) -> np.nd
         horizon = (np.log(registers) + 4) * registers / sizes  # time by which the registers are full, most likely
         todo = np.arange(len(documents))
         while len(todo):
-            wanted = np.zeros(len(documents), bool)
-            wanted[todo] = True
-            some = wanted[doc]
-            _throw(out.reshape(-1), registers, doc[some], h[some], weight[some], horizon)
+            # small documents need many points of each shingle: those are drawn in blocks
+            block = np.zeros(len(documents), np.int64)
+            block[todo] = np.minimum(64, 4 ** np.ceil(np.log(np.maximum(1, horizon[todo] / 3)) / np.log(4))).astype(np.int64)
+            of = block[doc]
+            for b in np.unique(block[todo]).tolist():
+                some = of == b
+                _throw(out.reshape(-1), registers, doc[some], h[some], weight[some], horizon, b)
             todo = np.flatnonzero(np.isinf(out).any(1))
             horizon[todo] *= 2
             out[todo] = np.inf
         return out.view(_U)
 
 
-def _throw(earliest: np.ndarray, registers: int, doc: np.ndarray, h: np.ndarray, weight: np.ndarray, horizon: np.ndarray) -> None:
-    """All points up to each document's horizon, band by band of weights."""
-    band, low, width = 0, 0, 1
+def _throw(earliest: np.ndarray, registers: int, doc: np.ndarray, h: np.ndarray, weight: np.ndarray, horizon: np.ndarray, block: int) -> None:
+    """All points up to each document's horizon, band by band of weights, ``block`` points of a shingle at a time."""
+    band, low, width, steps = 0, 0, 1, np.arange(1, block + 1, dtype=_U) * _FACTORS[1]
     while len(doc):
         seed = mix(h + _U(band + 1) * _FACTORS[0])
-        live, time, step = np.arange(len(doc)), np.zeros(len(doc)), 0
+        live, time, base, until, most = np.arange(len(doc)), np.zeros(len(doc)), doc * registers, horizon[doc], weight
         while len(live):
-            step += 1
-            r = mix(seed[live] + _U(step) * _FACTORS[1])
-            time = time - np.log1p(-(r >> _U(11)).astype(np.float64) * 2.0**-53) / width
-            early = time <= horizon[doc[live]]
-            live, time, r = live[early], time[early], mix(r[early] ^ _FACTORS[2])
-            at = doc[live] * registers + (r % _U(registers)).astype(np.int64)
+            r = mix((seed[:, None] + steps).reshape(-1))
+            gap = -np.log1p((r >> _U(11)).astype(np.float64) * -(2.0**-53)) / width
+            times = gap.reshape(-1, block).cumsum(1) + time[:, None] if block > 1 else (gap + time).reshape(-1, 1)
+            early = np.flatnonzero((times <= until[:, None]).reshape(-1))
+            own = early if block == 1 else early // block
+            r = mix(r[early] ^ _FACTORS[2])
+            at, t = base[own] + (r % _U(registers)).astype(np.int64), times.reshape(-1)[early]
             if width > 1:
-                level = low + ((r >> _U(40)).astype(np.float64) * 2.0**-24 * width)
-                taken = level < weight[live]
-                np.minimum.at(earliest, at[taken], time[taken])
-            else:
-                np.minimum.at(earliest, at, time)
+                taken = low + (r >> _U(40)).astype(np.float64) * (2.0**-24 * width) < most[own]
+                at, t = at[taken], t[taken]
+            np.minimum.at(earliest, at, t)
+            on = np.flatnonzero(times[:, -1] <= until)
+            live, time, base, until, most = live[on], times[on, -1], base[on], until[on], most[on]
+            seed = seed[on] + _U(block) * _FACTORS[1]
         low, band = low + width, band + 1
         more = weight > low
         doc, h, weight = doc[more], h[more], weight[more]
@@ -156,7 +160,7 @@ def sign(docs: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t.as_py() or "" for t in batch.column(2)]
             planes, bands = [], []
-            for start, end in pieces(texts, 1_000_000):
+            for start, end in pieces(texts, 300_000):
                 sets = [shingler.shingles(t) for t in texts[start:end]]
                 full = [s for s in sets if len(s)]
                 registers = iter(_packed(signatures(full)) if full else ())
@@ -278,33 +282,22 @@ def _texts_of(nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return cut(texts.groupBy("node").agg(F.min("text").alias("text")), name)
 
 
-def profiles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, long (a longer signature), share of its shingle occurrences that no other of the nodes has, rarest: enough of its rarest that a similar text has one of them among its own."""
+def longer(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, long: a signature of ``LONG_REGISTERS`` for each of the nodes."""
 
     def make():
         shingler = Shingler()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tokens, long, texts = [], [], batch.column(1).to_pylist()
+            long, texts = [], batch.column(1).to_pylist()
             with np.errstate(over="ignore"):
-                for start, end in pieces(texts, 500_000):
-                    bags = [np.sort(shingler.shingles(t)) for t in texts[start:end]]
-                    long += _planes(mix(signatures(bags, LONG_REGISTERS))).tolist()
-                    for h in bags:
-                        nth = np.arange(len(h)) - np.searchsorted(h, h)  # the how-manieth occurrence of its shingle
-                        tokens.append(mix(h + nth.astype(_U) * _FACTORS[2]).view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64())), pa.array(long, pa.list_(pa.int64()))], names=["node", "tokens", "long"])
+                for start, end in pieces(texts, 100_000):
+                    long += _planes(mix(signatures([shingler.shingles(t) for t in texts[start:end]], LONG_REGISTERS))).tolist()
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(long, pa.list_(pa.int64()))], names=["node", "long"])
 
         return step
 
-    rows = cut(map_batches(_texts_of(nodes, docs, "mixed-texts"), make, "node binary, tokens array<bigint>, long array<bigint>"), "tokens")
-    tokens = rows.select("node", F.explode("tokens").alias("token"))
-    spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    own = tokens.join(spread, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    first = F.size("t") - F.ceil(SIMILARITY * F.size("t") - 1e-9).cast("int") + 1
-    alone = F.size(F.filter("t", lambda x: x["df"] == 1)) / F.size("t")
-    own = own.select("node", alone.alias("share"), F.transform(F.slice("t", 1, first), lambda x: x["token"]).alias("rarest"))
-    return cut(own.join(rows.select("node", "long"), "node"), "profiles")
+    return cut(map_batches(_texts_of(nodes, docs, "mixed-texts"), make, "node binary, long array<bigint>"), "long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -315,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = cut(sign(docs), "signed")
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("planes").alias("planes"), F.first("bands").alias("bands")), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("bucket", "head")
+    heads = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
     members = cut(entries.join(heads, "bucket"), "members")
     planes = nodes.select("node", "planes")
 
@@ -337,23 +330,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return cut(now.join(several, "bucket", "left_semi"), name)
 
     tried = in_order(pairs)
-    left = mixed(members.select("bucket", "node"), "mixed")
-    known = profiles(cut(left.select("node").distinct(), "mixed-nodes"), docs).where(F.col("share") <= 1 - SIMILARITY)
-    left = with_planes(left.join(known.select("node", "share"), "node"), "node")
-    centre = left.groupBy("bucket").agg(F.min(F.struct("share", "node", "planes_node", "class")).alias("c"))
+    left = mixed(members.select("bucket", "node", "n"), "mixed")
+    weights = left.groupBy("node").agg(F.sum("n").alias("weight"))
+    left = with_planes(left.select("bucket", "node", "class").join(weights, "node"), "node")
+    centre = left.groupBy("bucket").agg(F.max(F.struct("weight", "node", "planes_node", "class")).alias("c"))
     centre = centre.select("bucket", F.col("c.node").alias("b"), F.col("c.planes_node").alias("planes_b"), F.col("c.class").alias("class_b"))
     near = left.withColumnsRenamed({"node": "a", "planes_node": "planes_a", "class": "class_a"}).join(centre, "bucket").where(F.col("class_a") != F.col("class_b"))
     more = cut(in_order(near.where(_close("planes_a", "planes_b"))).join(tried, ["a", "b"], "left_anti"), "central-pairs")
     if not more.isEmpty():
         found = verify(more, docs)
         tried, links, classes = tried.union(more), links.union(found), merged(classes, found)
-        left = mixed(left.select("bucket", "node", "share"), "mixed-again")
-        centre = left.groupBy("bucket").agg(F.min_by("class", F.struct("share", "node")).alias("class_b"))
-        outside = left.join(centre, "bucket").where(F.col("class") != F.col("class_b")).select("node").distinct()
-        nodes_left = with_planes(left.select("node", "class").distinct().join(known.select("node", "rarest", "long"), "node"), "node")
-        side = lambda rows, x: rows.select(F.explode("rarest").alias("token"), F.col("node").alias(x), F.col("class").alias(f"class_{x}"), F.col("planes_node").alias(f"planes_{x}"), F.col("long").alias(f"long_{x}"))
-        one, two = side(nodes_left.join(outside, "node", "left_semi"), "a"), side(nodes_left, "b")
-        rest = one.join(two, (one["token"] == two["token"]) & (F.col("class_a") != F.col("class_b")) & _close("planes_a", "planes_b") & _close("long_a", "long_b", LONG_REGISTERS, LONG_DIFFER))
+    left = mixed(left.select("bucket", "node", "weight"), "mixed-again")
+    if not left.isEmpty():
+        centre = left.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "node")).alias("centre_class"))
+        known = longer(cut(left.select("node").distinct(), "mixed-nodes"), docs).join(nodes.select("node", "planes", "bands"), "node")
+
+        def side(rows: DataFrame, x: str) -> DataFrame:
+            return rows.select("bucket", "node", "class").join(known, "node").select("bucket", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("class", "planes", "bands", "long")))
+
+        one, two = side(left.join(centre, "bucket").where(F.col("class") != F.col("centre_class")), "a"), side(left, "b")
+        first_shared = F.expr("element_at(bands_a, cast(array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) as int))") == one["bucket"]
+        rest = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("class_a") != F.col("class_b")) & _close("planes_a", "planes_b") & _close("long_a", "long_b", LONG_REGISTERS, LONG_DIFFER) & first_shared)
         more = cut(in_order(rest).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
         if not more.isEmpty():
             found = verify(more, docs)
