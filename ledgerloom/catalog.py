@@ -647,3 +647,69 @@ def filing_numbers(spark, d):
     k, n = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
     text = F.when(k == 0, F.concat(F.lit("("), (F.col("o_orderkey") % 1000).cast("string"), F.lit(")"))).when(k == 1, F.concat(n, F.lit(".634"))).otherwise("-")
     return table(spark, d, "orders").select("o_orderkey", numbers.filing_number(text).alias("value"))
+
+
+# -- documents, states, small rules ------------------------------------------------------------------
+@query("with k as (select md5(text) as digest, min(doc_id) as known from documents where doc_id % 3 = 0 group by 1) select d.doc_id as given, coalesce(known, d.doc_id) as doc_id from documents d left join k on k.digest = md5(d.text) where d.doc_id % 3 <> 0")
+def document_registration(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.md5("text").alias("digest"))
+    known = rows.where("doc_id % 3 = 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    return store.register_documents(known, rows.where("doc_id % 3 <> 0").withColumn("given", F.col("doc_id"))).select("given", "doc_id")
+
+
+@query("select doc_id, case when doc_id in (select doc_id from labels where quality = 1) then 'indexed' else 'pending' end as ingestion_state from documents")
+def document_states(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.lit("pending").alias("ingestion_state"))
+    return store.set_state(docs, table(spark, d, "labels").where("quality = 1"), "indexed")
+
+
+@query("select doc_id as chunk_id, case when doc_id % 4 = 0 then 'new' else 'old' end as origin from documents union all select -page_id - 1, 'new' from pages")
+def chunk_upsert(spark, d):
+    old = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("old").alias("origin"))
+    new = table(spark, d, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("chunk_id"), F.lit("new").alias("origin"))
+    return store.upsert_chunks(old, new.unionByName(table(spark, d, "pages").select((-F.col("page_id") - 1).alias("chunk_id"), F.lit("new").alias("origin"))))
+
+
+@query(with_sql("v_pages") + f"select doc, page, {KIND} as kind from v_pages")
+def page_kind(spark, d):
+    return _pages(spark, d).select("doc", "page", "kind")
+
+
+@query("select doc, ord, text from (select conv_id as doc, turn as ord, text, max(case when regexp_matches(lower(text), 'revenue|income|sale|the ') then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as on_ from conversations) x where on_ = 1")
+def latched_lines(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.lit(1).alias("page"), F.col("turn").alias("ord"), F.regexp_replace("text", "(?i)the ", "sale ").alias("marked"), F.col("text").alias("original"))
+    return Y.from_first_figure(rows.withColumnRenamed("marked", "text")).select("doc", "ord", F.col("original").alias("text"))
+
+
+@query("with v as (select l_orderkey as label, list(l_quantity order by l_linenumber, l_partkey, l_quantity) as v from lineitem group by 1), k as (select label, case when len(v) > 2 then v[len(v) - 1:] else v end as v from v) select label, 0 as col, cast(2024 as int) as fiscal_year, 'Q1' as quarter, v[1] as value from k where len(v) >= 1 union all select label, 1, 2023, null, v[2] from k where len(v) >= 2")
+def row_records(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: x["l_quantity"]).alias("values"))
+    periods_ = F.array(F.struct(F.lit(2024).alias("fiscal_year"), F.lit("Q1").alias("quarter")), F.struct(F.lit(2023).alias("fiscal_year"), F.lit(None).cast("string").alias("quarter")))
+    return Y.records(rows.withColumn("periods", periods_))
+
+
+@query(with_sql("v_commentary") + f"select chunk_id, regexp_matches(text, '(?i){R.HEDGING}') as hedged, {_said('text')} as said from v_commentary")
+def hedging_and_direction(spark, d):
+    return relation(spark, d, "v_commentary").select("chunk_id", R.hedged(F.col("text")).alias("hedged"), R.direction(F.col("text")).alias("said"))
+
+
+@query(AUDIT + "select audit_id, case when cache_hit then least(confidence, 1.0) else least(confidence, 0.75) end as score, case when tier = 'high' and (not cache_hit or latency_ms % 3 <= 1) then 'medium' else tier end as tier from (select *, case when confidence >= 0.8 then 'high' when confidence >= 0.5 then 'medium' else 'low' end as tier from a where confidence is not null and latency_ms is not null) x")
+def cross_and_single_source(spark, d):
+    rows = _audit(spark, d).where("confidence is not null and latency_ms is not null")
+    score, tier = R.cross_confidence(F.col("cache_hit"), F.col("confidence"), K.tier(F.col("confidence")))
+    return rows.select("audit_id", score.alias("score"), R.single_source(tier, F.col("latency_ms") % 3).alias("tier"))
+
+
+@query()
+def parsed_lines(spark, d):
+    from .operators import extract
+
+    line = F.concat(F.lit("II Revenue from line "), F.col("l_linestatus"), F.lit(" 2 716 ("), F.col("l_linenumber").cast("string"), F.lit(") "), F.col("l_quantity").cast("string"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", extract.parse_line(line).alias("p")).select("l_orderkey", "l_linenumber", "p.description", "p.values")
+
+
+@query()
+def hashed_vectors(spark, d):
+    from .operators import encode
+
+    return encode.dense(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))).select("doc_id", "embedding")
