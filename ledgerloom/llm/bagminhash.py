@@ -229,7 +229,7 @@ class Bags:
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b: nodes) whose texts' multisets overlap by ``SIMILARITY`` or more."""
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    needed = cut(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct(), "needed")
     texts = _texts_of(needed, docs, "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
