@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,9 +42,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with state built once for each task: ``make()`` returns the function of one batch.
 
-    Batches come as large as Spark makes them and are taken ``ROWS`` rows at a time, so that a worker
-    holds the Python objects of few texts at once.
+    Batches have ``ROWS`` rows at most, so that executors and workers hold few texts at once: the
+    session's batch size is lowered to that, and larger batches are taken in parts.  When its task
+    ends, a worker gives freed memory back.
     """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
@@ -51,10 +57,19 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 step = make()
             for start in range(0, max(1, batch.num_rows), ROWS):
                 yield step(batch.slice(start, ROWS))
+        del step
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``most_chars`` characters each, so that working memory is bounded."""
     start = total = 0
