@@ -53,6 +53,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def split(text: str) -> list[bytes]:
+    """Lower-case runs of letters and digits."""
+    return text.lower().encode().translate(_LETTERS).split()
+
+
 class Shingler:
     """Hashes of words and shingles, with the words' hashes remembered."""
 
@@ -60,7 +65,9 @@ class Shingler:
         self.known: dict[bytes, int] = {}
 
     def words(self, text: str) -> np.ndarray:
-        ws = text.lower().encode().translate(_LETTERS).split()
+        return self.hashes(split(text))
+
+    def hashes(self, ws: list[bytes]) -> np.ndarray:
         known = self.known
         for w in set(ws):
             if w not in known:

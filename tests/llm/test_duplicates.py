@@ -97,3 +97,25 @@ def test_lines(spark, monkeypatch, limit):
     assert got[100][1] == 0  # copies of a text are no boilerplate
     assert got[200] == (None, 0) and got[201] == ("", 1) and got[202] == ("", 0)
     assert L.clean(rows.limit(0)).count() == 0
+
+
+def test_a_line_with_the_longest_word_is_no_kind_of_its_own(spark):
+    line = "See https://example.org/a/very/long/address for terms"
+    rows = [(i, f"{line}\nown{i} words{i} here{i} alone{i}", f"s{i % 12}") for i in range(40)]
+    rows += [(100 + i, f"{'one more passage of longestwords that all sites show ' * 5}\nshort{i} own{i} text{i}", f"s{i % 12}") for i in range(40)]
+    rows += [(200 + i, f"a copied text of several lines\nwith very few words changed in it\nand number{i} is one of them", f"s{i % 12}") for i in range(40)]
+    got = {r["doc_id"]: r["n_removed"] for r in L.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[3] == got[103] == 1
+
+
+def test_kinds_grow_with_the_texts_and_not_with_their_words(spark):
+    random.seed(2)
+    own = [" ".join(random.choices(["word%d" % i for i in range(60)], k=40)) for _ in range(900)]
+    rows = [(i, f"the footer of all sites\n{x}", f"s{i % 12}") for i, x in enumerate(own)]
+    base = [["".join(random.choices("abcdefgh", k=5)) for _ in range(12)] for _ in range(10)]
+    for i in range(60):  # near copies
+        near = [list(x) for x in base]
+        near[i % 10][i % 12] = f"changed{i}"
+        rows.append((2000 + i, "\n".join(map(" ".join, near)), f"s{i % 12}"))
+    got = {r["doc_id"]: r["n_removed"] for r in L.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == 1 for i in range(900)) and not any(got[2000 + i] for i in range(60))
