@@ -56,7 +56,6 @@ _ODD = re.compile("[^\\x00-¬®-ɏ]")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _NUMBER = rf"(?:(?:double|triple)[ \t]+)?(?:{_WORD})"
 _RUN = re.compile(rf"(?i)(?<!\w){_NUMBER}(?:[ \t,-]{{1,3}}{_NUMBER})*(?!\w)")
-_SPOKEN = re.compile(rf"(?i)(?<!\w)(?:{_WORD})[ \t,-]{{1,3}}(?:double[ \t]+|triple[ \t]+)?(?:{_WORD})(?!\w)")
 _PLUS = re.compile(rf"(?i)(?<!\w)plus[ \t]+(?=[0-9(]|{_NUMBER}(?!\w))")
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _BRACKET_AT = re.compile(rf"(?i){_OPEN}(?:at|@|arroba){_CLOSE}")
@@ -64,7 +63,6 @@ _BRACKET_DOT = re.compile(rf"(?i){_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}")
 _SPOKEN_AT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z0-9-])")
 _SPOKEN_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])[ \t]+dot[ \t]+(?=[A-Za-z0-9-])")
 _AROUND_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z])")
-_BRACKETS = re.compile(r"(?i)[\[({<][ \t]*(?:at|@|arroba|dot|\.|punkt|point|punto)[ \t]*[\])}>]")
 
 Span = tuple[int, int]
 
@@ -123,7 +121,7 @@ class Mapped:
     """A text being rewritten; character i stands for source[start[i]:end[i]]."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.start, self.end = text, range(len(text)), range(1, len(text) + 1)
 
     def rewrite(self, pattern: re.Pattern, emit) -> None:
         """Replace each match by the (characters, first, last) pieces that ``emit`` yields; offsets are of the match."""
@@ -142,7 +140,7 @@ class Mapped:
                 end += [self.end[a + e - 1]] * len(chars)
             at = b
         if at:
-            self.text, self.start, self.end = "".join([*out, self.text[at:]]), start + self.start[at:], end + self.end[at:]
+            self.text, self.start, self.end = "".join([*out, self.text[at:]]), [*start, *self.start[at:]], [*end, *self.end[at:]]
 
     def span(self, s: int, e: int) -> Span:
         return self.start[s], self.end[e - 1]
@@ -172,14 +170,9 @@ def _digits(m: re.Match):
     return [(SPELLED[w[2].lower()] * REPEATED.get((w[1] or "").lower(), 1), w.start(), w.end()) for w in words]
 
 
-def disguised(text: str) -> bool:
-    """Does a text hold anything that rewriting would change?"""
-    return bool(_ODD.search(text) or "­" in text or _BRACKETS.search(text) or " dot " in (low := text.lower()) or " @" in text or "@ " in text or _SPOKEN.search(low))
-
-
 def normalise(text: str) -> Mapped:
     out = Mapped(text)
-    out.rewrite(re.compile("[^\\x00-¬®-ɏ]|­"), _plain_character)
+    out.rewrite(_ODD, _plain_character)
     out.rewrite(_BRACKET_AT, _joined("@"))
     out.rewrite(_BRACKET_DOT, _joined("."))
     out.rewrite(_SPOKEN_AT, _joined("@"))
@@ -192,9 +185,9 @@ def normalise(text: str) -> Mapped:
 
 def extra(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that show only after rewriting: those that no plain span of the kind covers."""
-    if not disguised(text):
-        return {k: [] for k in KINDS}
     mapped = normalise(text)
+    if mapped.text == text:
+        return {k: [] for k in KINDS}
     found = find(mapped.text)
     out = {}
     for kind in KINDS:

@@ -42,6 +42,20 @@ def test_disguises(text, kind, found):
     assert got == ([found] if found else [])
 
 
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("at 192.168.one.1 now", "ip", "192.168.one.1"),
+        ("pay 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+        ("call plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+        ("john\tat\texample\tdot\tcom", "email", "john\tat\texample\tdot\tcom"),
+        ("john\t@\texample.com", "email", "john\t@\texample.com"),
+    ],
+)
+def test_every_rule_is_tried_on_every_text(text, kind, found):
+    assert [text[s:e] for s, e in pii.extra(text, pii.find(text))[kind]] == [found]
+
+
 def test_plain_texts_gain_nothing():
     for t in ("He is at home. The dots are 10.5 and one two.", "a" * 5000, "1" * 5000, "+" * 3000):
         assert not any(pii.extra(t, pii.find(t)).values())
