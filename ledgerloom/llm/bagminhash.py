@@ -308,9 +308,10 @@ def longer(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), n_links (verified links of its text), node: one row for each row of ``docs``.
+    """doc_id, class_id (least doc_id of the class), n_links (verified links of its text), node, class: one row for each row of ``docs``.
 
-    ``docs`` needs ``doc_id`` and ``text``.
+    ``class`` (its least node) tells classes apart; ``class_id`` is a label, which classes share where
+    ids are null or repeated.  ``docs`` needs ``doc_id`` and ``text``.
     """
     signed = cut(sign(docs), "signed")
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("planes").alias("planes"), F.first("bands").alias("bands")), "nodes")
@@ -366,16 +367,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.select("node", "first").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left")
     names = named.groupBy("class").agg(F.min("first").alias("class_id"))
-    named = named.join(names, "class").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", "node")
+    named = named.join(names, "class").select("node", "class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", "node", "class")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: the one that names it."""
     found = cut(near_duplicates(docs), "classes")
-    best = found.groupBy(F.col("class_id").alias("k")).agg(F.min(F.struct("doc_id", "node")).alias("best"))
-    rows = found.groupBy("doc_id", "node").agg(F.first("class_id").alias("k"), F.count("*").alias("n"))
-    gone = rows.join(best, rows["k"].eqNullSafe(best["k"]), "left").where(~(F.struct(rows["doc_id"], rows["node"]).eqNullSafe(F.col("best"))))
+    best = found.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("best"))
+    rows = found.groupBy("doc_id", "node").agg(F.first("class").alias("class"), F.count("*").alias("n"))
+    gone = rows.join(best, "class").where(~(F.struct(rows["doc_id"], rows["node"]).eqNullSafe(F.col("best"))))
     gone = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")), "gone")
     few = gone.count() <= BROADCAST_NODES
     marked = docs.withColumn("__node", node_of(F.col("text")))

@@ -73,6 +73,22 @@ def test_keep_one(spark):
     assert B.keep_one(rows.limit(0)).count() == 0
 
 
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    rows = [(None, f"a text with its very own words{i} and number{i} and end{i}") for i in range(6)]
+    rows += [(7, "one text under a repeated id here"), (7, "quite unlike the other one that has this number"), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["text"] for r in B.keep_one(docs).collect()) == sorted({t for _, t in rows})
+    assert B.near_duplicates(docs).select("class").distinct().count() == 8
+
+
+def test_op5_tells_classes_apart(spark, tmp_path):
+    from ledgerloom.llm import queries
+
+    rows = [(None, "the first of two unlike texts here"), (None, "another one that has other words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert len({r["class"] for r in queries.op5_near_duplicates(spark, str(tmp_path)).collect()}) == 2
+
+
 def test_hashes_are_those_of_spark(spark):
     from pyspark.sql import functions as F
 
