@@ -68,10 +68,11 @@ class MTree:
         return Page(False, pages, centres, radius, np.linalg.norm(centres - centre, axis=1))
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) of rows whose id is not ``own``."""
+        """The k best (score, id) of ids other than ``own``, each with the best score of its rows."""
         q, order = np.append(query, 0.0), count()
         qq = float(query @ query)
         best: list[tuple[int, int]] = []  # of (score, -id), the worst first
+        score_of: dict[int, int] = {}  # by id, of those in best
         reach = np.inf
         queue = [(0.0, next(order), self.root, float(np.linalg.norm(q - self.centre)))]
         while queue:
@@ -89,10 +90,18 @@ class MTree:
                 for s, i in zip(scores.tolist(), self.ids[some].tolist(), strict=True):
                     if i == own:
                         continue
-                    if len(best) < k:
-                        heapq.heappush(best, (int(s), -i))
-                    else:
-                        heapq.heappushpop(best, (int(s), -i))
+                    s = int(s)
+                    if i in score_of:  # another row of the id
+                        if s > score_of[i]:
+                            best[best.index((score_of[i], -i))] = (s, -i)
+                            heapq.heapify(best)
+                            score_of[i] = s
+                    elif len(best) < k:
+                        heapq.heappush(best, (s, -i))
+                        score_of[i] = s
+                    elif (s, -i) > best[0]:
+                        del score_of[-heapq.heapreplace(best, (s, -i))[1]]
+                        score_of[i] = s
                 if len(best) == k:
                     reach = np.sqrt(max(0.0, qq + self.largest - 2 * best[0][0]))
                 continue

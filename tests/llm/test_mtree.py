@@ -42,3 +42,15 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert found(df) == [(0, 1, 3, 256 * 1280)]
     assert found(df.limit(0)) == []
+
+
+def test_copies_of_an_id_leave_room_for_others(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.0])] + [(1, [9.0 - 0.001 * i, 0.0]) for i in range(40)] + [(2 + i % 20, [float(x), 0.0]) for i, x in enumerate(rng.uniform(1, 8, 300))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, 0), 256 * int(np.floor(256 * np.float32(v[0]))))
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+    got = [x for x in found(df) if x[0] == 0]
+    assert got == [(0, n + 1, i, s) for n, (i, s) in enumerate(want)] == [x for x in found(df, cell_rows=30) if x[0] == 0]
