@@ -712,4 +712,4 @@ def parsed_lines(spark, d):
 def hashed_vectors(spark, d):
     from .operators import encode
 
-    return encode.dense(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))).select("doc_id", "embedding")
+    return encode.dense(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "embedding")

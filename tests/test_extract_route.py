@@ -86,3 +86,12 @@ def test_retrieve_and_cross_examine(spark):
     assert [r["severity"] for r in claims.collect()] == ["high"] and [r["said"] for r in directions.collect()] == ["positive"]
     assert encode.sparse(chunks).where("chunk_id = 2").first()["weights"].keys() == {"other", "words"}
     assert encode.needs_vectors(chunks, 32).count() == 3
+
+
+def test_vectors_hold_words_far_into_a_text(spark, tmp_path):
+    from ledgerloom import catalog
+
+    long = "word " * 200
+    spark.createDataFrame([(1, long), (2, long + "other " * 200)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["embedding"] for r in catalog.queries()["hashed_vectors"](spark, str(tmp_path)).collect()}
+    assert got[1] != got[2]
