@@ -11,7 +11,8 @@ generations of up to ``CACHE_WORDS`` entries: when the younger is full it become
 what the older held unused is forgotten.  Memory is bounded whatever the corpus.
 
 Defined results: a null text counts as empty; an empty text has no tokens; control strings of the
-tokenizer inside a text become its special tokens, as in the library's own default.
+tokenizer inside a text become its special tokens, as in the library's own default.  Characters
+beyond U+024F are composed, lower-cased and classed by the library's tables, so it has to be there.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -268,11 +268,8 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                part = unicodedata.normalize("NFC", part)
-                if "Σ" in part:  # lower-casing goes by single characters: no final form
-                    part = part.replace("Σ", "σ")
-                part = part.lower()
-                out += (self.words if not self.restated else PLAIN_WORDS if PLAIN.fullmatch(part) else exact_words()).findall(part)
+                low = part.lower() if (plain := PLAIN.fullmatch(part)) else exact_lower(part)
+                out += (self.words if not self.restated else PLAIN_WORDS if plain and PLAIN.fullmatch(low) else exact_words()).findall(low)
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -297,25 +294,38 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def exact_lower(text: str) -> str:
+    """Composed and lower-cased by the tokenizers library's own tables, which are newer than Python's.
+
+    Composition and lower case of the letters up to U+024F are alike in all versions of the standard.
+    """
+    compose, lower = _normalizers()
+    return lower(compose(text))
+
+
+@lru_cache(maxsize=1)
+def _normalizers():
+    from tokenizers import normalizers
+
+    return normalizers.NFC().normalize_str, normalizers.Lowercase().normalize_str
+
+
 @lru_cache(maxsize=1)
 def exact_words() -> re.Pattern:
     """``RESTATED`` with letters, numbers and spaces as the tokenizers library itself classes them.
 
     Matchers know different versions of the standard's tables; asking the library once for every
-    character leaves no difference.  Without the library its own tables decide.
+    character leaves no difference.
     """
+    from tokenizers import Regex, pre_tokenizers
+
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    try:
-        from tokenizers import Regex, pre_tokenizers
 
-        def members(pattern: str) -> str:
-            return "".join(part for part, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every))
+    def members(pattern: str) -> str:
+        return _ranges("".join(part for part, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)))
 
-        letters, numbers, spaces = (members(p) for p in (r"[\p{L}]+", r"[\p{N}]+", r"[\s]+"))
-    except ImportError:
-        letters, numbers, spaces = ("".join(regex.findall(p, every)) for p in (r"\p{L}", r"\p{N}", r"\s"))
-    a, b, c = map(_ranges, (letters, numbers, spaces))
-    return re.compile(f"[{a}]+|'(?:s|t|re|ve|m|ll|d)|[{b}]|[^{a}{b}{c}]+")
+    letters, numbers, spaces = (members(p) for p in (r"[\p{L}]+", r"[\p{N}]+", r"[\s]+"))
+    return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{letters}{numbers}{spaces}]+")
 
 
 def _ranges(characters: str) -> str:

@@ -35,6 +35,19 @@ def test_odd_texts(text):
     check(text)
 
 
+def test_every_character():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["\n".join(every[i : i + 2048]) for i in range(0, len(every), 2048)]
+    for text, want in zip(texts, THEIRS.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids(text) == want.ids, [c for c in text if ids(c) != THEIRS.encode(c, add_special_tokens=False).ids]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("aeAIİΣσς ़゙̧̣́̀ͅ가각각१\u0344\u1c89\U00016d67\U000113c2\U000113b8\U0001e4ec'<|>"), max_size=12).map("".join))
+def test_marks_and_new_letters(text):
+    check(text)
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     random.seed(5)
