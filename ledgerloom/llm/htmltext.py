@@ -1,20 +1,28 @@
 """Main text of web pages: parser events to lines, text-to-tag ratios, smoothing and threshold clusters.
 
 The standard library's parser streams events; text between block tags becomes a line that knows
-its tags, its linked characters and the elements around it.  Lines inside elements that never hold
-an article (scripts, navigation, forms, adverts, comments, ...) are marked.  For the others the
-ratio of unlinked text to tags is smoothed by a Gaussian over neighbouring lines; lines above a
-threshold form clusters, and the element that holds most of the clusters' text is the content
-region.  All unmarked lines of that region are kept, short ones too: nothing else is dropped.
+its tags, its linked characters and the elements around it.  A line's ratio is its unlinked text for
+each tag; linked text counts little.  Names of elements and classes act on ratios alone: lines
+inside elements that never hold an article (navigation, forms, adverts, comments, ...) have a ratio
+of zero; where an ``article`` or ``main`` holds most of the text, lines in it have the page's mean
+ratio at least and lines outside it none.
+
+A Gaussian smooths the ratios over neighbouring lines of the same surroundings: what lies in
+another container, in another marked element or in a list of links is too far away to lend its
+ratio.  Lines whose smoothed ratio reaches a threshold form clusters, one in each container.  The
+large clusters choose the content region, which is the innermost element with most of their text,
+and the clustered lines of the region are the main text.  Short lines beside long ones are lifted
+by them and stay; nothing else is dropped.
 
 Defined results: null or empty html gives an empty text; so does a page without unmarked text;
-broken markup is read as the parser reads it; a page of any length is read whole; repeated rows
-are extracted again, each on its own row.
+broken markup is read as the parser reads it; a page of any length or depth is read whole, in time
+proportional to it; repeated rows are extracted again, each on its own row.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,8 +31,12 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Spread of the smoothing in lines, and the share of the smoothed ratios' deviation that parts content from the rest.
-SIGMA, THRESHOLD = 1.0, 0.5
+#: Spread of the smoothing in lines; share of the mean ratio that a clustered line reaches.
+SIGMA, THRESHOLD = 1.0, 0.05
+#: Share of the largest cluster's text that makes a cluster large, and of the large clusters' text that makes a region.
+LARGE, REGION = 0.34, 0.9
+#: What a linked character counts; the share of linked characters that makes a line a link; lines that surroundings part by.
+LINKED, MOSTLY, APART = 0.05, 0.8, 10.0
 
 # Elements and words of class names, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +45,8 @@ SILENT = frozenset("head script style noscript template svg canvas iframe object
 BOILERPLATE = frozenset("nav footer aside form button select textarea dialog menu fieldset".split())
 HOLDERS = frozenset("article main".split())
 NEVER_MARKED = frozenset("html body article main".split())
+CONTAINERS = frozenset("html body article main div section aside nav header footer form td th fieldset details".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promoted promotion banner banners cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay sidebar sidebars rail comment comments commentlist reply replies respond disqus discussion menu menus nav navbar navigation breadcrumb breadcrumbs related recommended recommendations share sharing social newsletter subscribe subscription signup login footer foot bottom header masthead topbar search pagination pager widget widgets toolbar toc copyright".split()
 )
@@ -43,30 +57,38 @@ _WITHOUT = frozenset("no has with without is".split())
 
 
 class Element:
-    __slots__ = ("holder", "name", "number", "up", "why")
+    __slots__ = ("block", "free", "holder", "name", "number", "up", "why")
 
     def __init__(self, name: str, number: int, up: Element | None, why: str):
         self.name, self.number, self.up, self.why = name, number, up, why
         self.holder = name in HOLDERS or bool(up and up.holder)
+        #: the nearest element that is not inline, and the nearest that no boilerplate element holds
+        self.block = up.block if up and name in INLINE else self
+        self.free = up.free if up and why == "boilerplate" else self
 
 
 class Line:
     __slots__ = ("element", "linked", "parts", "tags")
 
     def __init__(self, element: Element):
-        self.element, self.parts, self.tags, self.linked = element, [], 0, 0
+        self.element, self.parts, self.tags, self.linked = element, [], 1, 0
 
 
 class Lines(HTMLParser):
-    """Collects the unmarked lines of a page in page order."""
+    """Collects the lines of a page in page order; text of scripts, styles and the like is never one."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.count = 0
         self.at = Element("", 0, None, "")
+        self.elements = [self.at]
+        self.open: Counter[str] = Counter()
         self.lines: list[Line] = []
         self.line: Line | None = None
-        self.links = 0
+
+    def _leave(self, to: Element) -> None:
+        while self.at is not to:
+            self.open[self.at.name] -= 1
+            self.at = self.at.up
 
     def _mark(self, name: str, attrs: list) -> str:
         """Why the text of an element is no article text: '' if it may be."""
@@ -98,23 +120,12 @@ class Lines(HTMLParser):
                 self.line.tags += 1
             return
         if name in HOLDERS:  # an article is never inside an element that someone forgot to close
-            up = self.at
-            while up and up.why != "boilerplate":
-                up = up.up
-            if up:
-                top = up
-                while top.up and top.up.why:
-                    top = top.up
-                self.at = top.up
-        elif name == "p" or name == "li":
-            up = self.at
-            while up.name in ("b", "i", "em", "strong", "a", "span", "font", "u") and up.up:
-                up = up.up
-            if up.name == name:
-                self.at = up.up
-        self.count += 1
-        self.at = Element(name, self.count, self.at, self.at.why or self._mark(name, attrs))
-        self.links += name == "a"
+            self._leave(self.at.free)
+        elif name in ("p", "li") and self.at.block.name == name:
+            self._leave(self.at.block.up)
+        self.at = Element(name, len(self.elements), self.at, self.at.why or self._mark(name, attrs))
+        self.elements.append(self.at)
+        self.open[name] += 1
         if self.line:
             self.line.tags += 1
 
@@ -128,34 +139,65 @@ class Lines(HTMLParser):
             self.line = None
         elif self.line:
             self.line.tags += 1
-        up = self.at
-        while up and up.name != name:
-            up = up.up
-        if up:
-            self.at = up.up
-        if name == "a":
-            self.links = max(0, self.links - 1)
+        if self.open[name]:
+            while self.at.name != name:
+                self._leave(self.at.up)
+            self._leave(self.at.up)
 
     def handle_data(self, data: str) -> None:
-        if self.at.why:
+        if self.at.why == "silent":
             return
         if self.line is None:
             if data.isspace():
                 return
             self.line = Line(self.at)
-            self.line.tags = 1
             self.lines.append(self.line)
         self.line.parts.append(data)
-        if self.links:
+        if self.open["a"]:
             self.line.linked += len(data)
 
 
-def smooth(values: np.ndarray) -> np.ndarray:
-    """Gaussian means over neighbouring lines; at the edges over those that there are."""
-    reach = int(3 * SIGMA)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    around = np.convolve(np.pad(values, reach), kernel, "valid")
-    return around / np.convolve(np.pad(np.ones(len(values)), reach), kernel, "valid")
+def smooth(values: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Gaussian means over neighbours; ``at`` are the places of the lines, at least one apart (one apart by default)."""
+    at = np.arange(float(len(values))) if at is None else at
+    total, weight = values.copy(), np.ones(len(values))
+    for k in range(1, min(len(values), int(3 * SIGMA) + 1)):
+        near = np.exp(-0.5 * ((at[k:] - at[:-k]) / SIGMA) ** 2)
+        total[k:] += near * values[:-k]
+        total[:-k] += near * values[k:]
+        weight[k:] += near
+        weight[:-k] += near
+    return total / weight
+
+
+class Tree:
+    """The elements of a page: sums over their lines, and which lines they hold."""
+
+    def __init__(self, elements: list[Element], lines: list[Line]):
+        self.elements = elements
+        self.up = [e.up.number if e.up else 0 for e in elements]
+        self.own = np.array([x.element.number for x in lines])
+        last = list(range(len(elements)))
+        for i in range(len(elements) - 1, 0, -1):
+            last[self.up[i]] = max(last[self.up[i]], last[i])
+        self.last = last
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        out = np.bincount(self.own, weight, len(self.elements)).tolist()
+        for i in range(len(out) - 1, 0, -1):
+            out[self.up[i]] += out[i]
+        return np.array(out)
+
+    def inside(self, number: int) -> np.ndarray:
+        return (self.own >= number) & (self.own <= self.last[number])
+
+    def containers(self) -> np.ndarray:
+        """For each line, the nearest container around it that holds other lines too."""
+        n = self.sums(np.ones(len(self.own)))
+        of = [0] * len(self.elements)
+        for i, e in enumerate(self.elements):
+            of[i] = i if e.name in CONTAINERS and n[i] > 1 else of[self.up[i]]
+        return np.array(of)[self.own]
 
 
 def main_text(html: str | None) -> str:
@@ -167,54 +209,42 @@ def main_text(html: str | None) -> str:
     lines = [(line, text) for line in parser.lines if (text := " ".join("".join(line.parts).split()))]
     if not lines:
         return ""
+    tree = Tree(parser.elements, [line for line, _ in lines])
     size = np.array([len(t) for _, t in lines], float)
-    linked = np.minimum(1.0, np.array([line.linked for line, _ in lines]) / np.maximum(1, [sum(map(len, line.parts)) for line, _ in lines]))
-    ratio = smooth(size * (1 - linked) / np.array([max(1, line.tags) for line, _ in lines]))
-    core = ratio >= THRESHOLD * ratio.std()
-    if not core.any():
-        core[:] = True
-    region = _region(lines, size * core * (1 - linked))
-    if region is None:
-        kept = range(len(lines))
-    else:
-        kept = [i for i, (line, _) in enumerate(lines) if _inside(line.element, region)]
-        if region.name not in HOLDERS:  # no element says where the article ends: the clusters do
-            first, last = _ends(core, kept, lines)
-            kept = [i for i in kept if first <= i <= last and not (linked[i] > 0.8 and not core[i])]
-    return " ".join(lines[i][1] for i in kept)
-
-
-def _inside(element: Element | None, region: Element) -> bool:
-    while element and element.number >= region.number:
-        if element is region:
-            return True
-        element = element.up
-    return False
-
-
-def _ends(core: np.ndarray, kept: list[int], lines: list) -> tuple[int, int]:
-    inside = [i for i in kept if core[i]] or kept
-    first = inside[0]
-    while first - 1 in kept and lines[first - 1][0].element.name in ("h1", "h2", "h3"):
-        first -= 1
-    return first, inside[-1]
-
-
-def _region(lines: list, weight: np.ndarray) -> Element | None:
-    """The innermost article-like element with most of the clusters' text; without one, the innermost element with nine tenths."""
-    sums: dict[int, float] = {}
-    elements: dict[int, Element] = {}
-    for (line, _), w in zip(lines, weight.tolist(), strict=True):
-        e: Element | None = line.element
-        while e:
-            sums[e.number] = sums.get(e.number, 0.0) + w
-            elements[e.number] = e
-            e = e.up
-    total = float(weight.sum())
-    if not total:
-        return None
-    holders = [n for n, e in elements.items() if e.name in HOLDERS and sums[n] >= 0.5 * total]
-    return elements[max(holders or [n for n in sums if sums[n] >= 0.9 * total])]
+    linked = np.minimum(1.0, np.array([line.linked / sum(map(len, line.parts)) for line, _ in lines]))
+    marked = np.array([bool(line.element.why) for line, _ in lines])
+    plain = size * (1 - linked + LINKED * linked)
+    ratio = plain / np.array([line.tags for line, _ in lines])
+    ratio[marked] = 0
+    around, links = tree.containers(), linked > MOSTLY
+    if (holder := _holder(tree, np.where(marked, 0, plain))) is not None:
+        within = tree.inside(holder)
+        ratio = np.where(within & ~marked, np.maximum(ratio, ratio[within & ~marked].mean()), 0)
+        around[within], links[within] = holder, False
+    links[1:] &= links[:-1] | np.append(links[2:], False)  # one link alone is no list
+    kind = np.stack([around, marked, links])
+    at = np.cumsum(np.append(0, 1 + APART * (kind[:, 1:] != kind[:, :-1]).any(0)))
+    ratio = smooth(ratio, at)
+    kept = (ratio > 0) & (ratio >= THRESHOLD * ratio.mean())
+    if not kept.any():
+        return ""
+    kept &= tree.inside(_region(tree, around, np.where(kept, plain, 0)))
+    return " ".join(lines[i][1] for i in np.flatnonzero(kept))
+
+
+def _holder(tree: Tree, weight: np.ndarray) -> int | None:
+    """The innermost article-like element with at least half of the unmarked text."""
+    sums = tree.sums(weight)
+    return max((i for i, e in enumerate(tree.elements) if e.name in HOLDERS and sums[i] > 0 and sums[i] >= 0.5 * sums[0]), default=None)
+
+
+def _region(tree: Tree, around: np.ndarray, weight: np.ndarray) -> int:
+    """The innermost container of lines with most of the text of the large clusters."""
+    by = np.bincount(around, weight, len(tree.elements))
+    sums = tree.sums(np.where(by[around] >= LARGE * by.max(), weight, 0))
+    some = np.unique(np.append(tree.containers(), around))
+    enough = some[sums[some] >= REGION * sums[0]]
+    return int(enough[-1]) if len(enough) else 0
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

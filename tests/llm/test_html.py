@@ -34,6 +34,70 @@ def test_smoothing_keeps_constants():
     assert np.allclose(htmltext.smooth(np.full(5, 3.0)), 3.0)
 
 
+def plain_article(html):
+    """The text of the article element by plain rules, its blocks joined by spaces."""
+    import html as H
+    import re
+
+    inner = re.search(r"<article>(.*?)</article>", html, re.DOTALL)
+    blocks = re.split(r"</?(?:h1|p|br)\b[^>]*>", inner[1] if inner else "")
+    return " ".join(" ".join(H.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks if b.strip())
+
+
+@pytest.fixture(scope="module")
+def pages():
+    pq = pytest.importorskip("pyarrow.parquet")
+    return [h or "" for h in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()]
+
+
+def bare(html):
+    """A page without the names that tell its parts: no article element, no classes."""
+    import re
+
+    return re.sub(r' class="[^"]*"', "", html.replace("<article>", "<div>").replace("</article>", "</div>"))
+
+
+def test_pages_like_plain_rules(pages):
+    assert [main_text(h) for h in pages] == [plain_article(h) for h in pages]
+
+
+def test_ratios_find_most_articles_without_names(pages):
+    right = sum(main_text(bare(h)) == plain_article(h) for h in pages)
+    assert right >= 0.95 * len(pages)
+
+
+def test_ratios_decide(pages, monkeypatch):
+    def wrong():
+        return sum(main_text(bare(h)) != plain_article(h) for h in pages)
+
+    before = wrong()
+    monkeypatch.setattr(htmltext, "smooth", lambda values, at=None: values * 0 + 1.0)
+    assert wrong() > before
+    assert any(main_text(h) != plain_article(h) for h in pages)
+
+
+def test_boilerplate_inside_an_article_lends_and_takes_nothing():
+    assert main_text(f"<article><p>{LONG}</p><aside>{LONG}</aside><p>End.</p></article>") == f"{LONG} End."
+    sections = "".join(f"<section><h2>Part {i}</h2><p>{LONG * (1 + 3 * (i == 1))}</p></section>" for i in range(3))
+    assert main_text(f"<body><div><a href=1>One</a> <a href=2>Two</a></div><main>{sections}</main><div>x y</div>").startswith("Part 0 Many")
+    assert main_text(f"<article><p>{LONG}</p><p><a href=1>All of it is linked</a></p></article>") == f"{LONG} All of it is linked"
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert main_text("<div>x" * n + "</div>" * n)
+        assert main_text("<b>x" * n + "</i><p>" * n + "<article>" * n + "y")
+        return time.process_time() - began
+
+    seconds(2000)
+    assert seconds(32_000) < 16 * max(seconds(4000), 0.05)
+    long = " ".join(["words"] * 400_000)
+    assert main_text(f"<nav>{long}</nav><article><p>{long}</p></article>") == long
+
+
 def test_rows(spark):
     rows = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>", "z"), (1, "u", f"<p>{LONG}</p>", "z"), (None, None, None, "z")], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in htmltext.extract(rows).collect())
