@@ -54,3 +54,40 @@ def test_copies_of_an_id_leave_room_for_others(spark):
     want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
     got = [x for x in found(df) if x[0] == 0]
     assert got == [(0, n + 1, i, s) for n, (i, s) in enumerate(want)] == [x for x in found(df, cell_rows=30) if x[0] == 0]
+
+
+def distances(spark, rows, cell_rows=None):
+    """Distances that all searches of a query took, as a share of its candidates."""
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = mtree.searches(df, F.col("vec_id") % 50 == 0, cell_rows=cell_rows).groupBy("id").agg(F.sum("computed").alias("n")).collect()
+    return np.mean([r["n"] for r in got]) / len(rows)
+
+
+def test_whole_cells_fall_out_of_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = np.repeat(rng.normal(size=(40, 16)), 100, 0) + 0.02 * rng.normal(size=(4000, 16))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    share = distances(spark, rows, cell_rows=400)
+    assert share < 0.15, share
+
+
+def test_no_structure_costs_little_more_than_comparing_all(spark):
+    pq = pytest.importorskip("pyarrow.parquet")
+    rows = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_pylist())
+    share = distances(spark, rows)
+    assert share < 1.1, share  # 2 000 unit vectors in all directions: no bound can hold
+
+
+@pytest.mark.parametrize("cell_rows", [None, 60])
+def test_repeated_rows_and_lengths_beside_clashing_columns(spark, cell_rows):
+    rng = np.random.default_rng(9)
+    rows = [(i % 150, x.tolist()) for i, x in enumerate(rng.normal(size=(300, 4)))] + [(1000 + i, x.tolist()) for i, x in enumerate(rng.normal(size=(90, 3)))] + [(7, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "w", "q", "cell", "dim", "salt", "score", "rank")})
+    best = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i % 7 == 0 and i != j and len(a) == len(b):
+                s = int(np.floor(256 * np.array(a)) @ np.floor(256 * np.array(b)))
+                best.setdefault(i, {})[j] = max(s, best.get(i, {}).get(j, s))
+    want = sorted((i, n + 1, j, s) for i, of in best.items() for n, (j, s) in enumerate(sorted(of.items(), key=lambda x: (-x[1], x[0]))[:5]))
+    assert found(df, cell_rows=cell_rows) == want
