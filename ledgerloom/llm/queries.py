@@ -45,18 +45,21 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linespread.clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+#: The same rule with orders of runs from md5: kinds are counted for other least runs, so only lines at a threshold could differ.
 OP7_SQL = f"""
-with docs as (
-  select doc_id, source, coalesce(text, '') as text,
-    list_max(list_transform(string_split(translate(coalesce(text, ''), chr(10), ' '), ' '), lambda w: {{'n': length(w), 'w': w}})) as kind
-  from documents
-), lines as (
-  select coalesce(source, chr(0)) as site, text, kind, trim(unnest(string_split(text, chr(10)))) as line from docs
-), found as (
-  select line from lines where len(string_split(line, ' ')) >= {linespread.WORDS} group by line
-  having count(distinct site) >= {linespread.SITES} and count(distinct kind) >= {linespread.SITES}
-    and count(distinct kind) >= {linespread.KINDS} * count(distinct text)
-), gone as (select coalesce(list(line), []) as lost from found), cut as (
+with docs as (select row_number() over () as r, doc_id, coalesce(source, chr(0)) as site, coalesce(text, '') as text from documents),
+parts as (select distinct r, site, text, trim(unnest(string_split(text, chr(10)))) as line from docs),
+worded as (select *, regexp_extract_all(lower(line), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from parts),
+runs as (select r, line, md5(array_to_string(w[i:i + {bagminhash.SHINGLE - 1}], ' ')) as run
+  from (select r, line, w, unnest(range(1, greatest(1, len(w) - {bagminhash.SHINGLE - 1}) + 1)) as i from worded where len(w) > 0)),
+least_runs as (select r, line, {", ".join(f"min(substr(run, {1 + 10 * o}, 10)) as run{o}" for o in range(3))} from runs group by r, line),
+outside as (select p.r, p.line, site, text, {", ".join(f"coalesce(min(run{o}) over others, '') as kind{o}" for o in range(3))}
+  from parts p left join least_runs l on l.r = p.r and l.line = p.line
+  window others as (partition by p.r rows between unbounded preceding and unbounded following exclude current row)),
+spread as (select line, count(distinct site) as sites, count(distinct text) as texts, ({" + ".join(f"count(distinct kind{o})" for o in range(3))}) / 3.0::double as kinds
+  from outside where len(string_split(line, ' ')) >= {linespread.WORDS} group by line),
+gone as (select coalesce(list(line), []) as lost from spread where sites >= {linespread.SITES} and kinds >= {linespread.SITES} and kinds >= {linespread.KINDS} * texts),
+cut as (
   select doc_id, string_split(text, chr(10)) as parts,
     list_filter(string_split(text, chr(10)), lambda x: not list_contains(lost, trim(x))) as rest
   from docs, gone

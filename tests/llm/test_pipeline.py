@@ -22,6 +22,16 @@ def test_stages_keep_the_columns_and_run_ends_in_tokens(spark, sf):
     assert len(texts) == len(set(texts))
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from ledgerloom.llm import common
+
+    cluster = Fake(sparkContext=Fake(master="spark://host:7077", getConf=lambda: Fake(get=lambda _: None), getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
+
+
 def test_toxic_documents_go(spark, sf):
     docs = spark.createDataFrame([(1, "you pathetic idiot, such trash and scum", "en", "s", 39), (2, "a clean text about the weather of today", "en", "s", 39)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.toxic_out(spark, docs, sf).collect()] == [2]
