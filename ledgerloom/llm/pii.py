@@ -3,9 +3,12 @@
 A chain of transducers rewrites a text while carrying, for every character it emits, the span of
 source characters that it stands for: look-alike characters become ASCII and invisible ones go;
 ``[at]``, ``(dot)`` and spoken forms become ``@`` and ``.``; runs of spelled digits become digits.
+Spoken forms are those of English, French, German and Spanish.  Words that mean other things as well
+count only where an identifier may be: ``point``, ``punkt`` and ``punto`` beside an ``@`` or between
+numbers, and ``at`` before a written domain only after what is no common word (``COMMON``).
 Identifiers found in the rewritten text are mapped back through those spans, so every reported
 offset is one of the source text.  Spans found in the plain text stay as they are; rewriting adds
-those that no plain span of the kind covers.
+those that neither lie in a plain span of the kind nor hold one.
 
 Every matcher is linear in the text: candidates start from their rarest character and runs are
 taken whole, so long runs of digits or letters cost no more than others.
@@ -21,6 +24,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from .common import map_batches
@@ -39,7 +43,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
-    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 REPEATED = {"double": 2, "triple": 3}
@@ -56,12 +60,23 @@ _ODD = re.compile("[^\\x00-¬®-ɏ]")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _NUMBER = rf"(?:(?:double|triple)[ \t]+)?(?:{_WORD})"
 _RUN = re.compile(rf"(?i)(?<!\w){_NUMBER}(?:[ \t,-]{{1,3}}{_NUMBER})*(?!\w)")
-_PLUS = re.compile(rf"(?i)(?<!\w)plus[ \t]+(?=[0-9(]|{_NUMBER}(?!\w))")
+_PLUS = re.compile(rf"(?i)(?<!\w)(?:plus|más)[ \t]+(?=[0-9(]|{_NUMBER}(?!\w))")
+# Words for the signs, of which ``dot`` alone is never another word; common words before a spoken "at".
+AT_WORDS, DOT_WORDS = "at ät arobase arroba klammeraffe".split(), "dot point punkt punto".split()
+COMMON = frozenset(
+    "a about all am and are arrive arrived available be been buy call click contact email found from go he her here him hosted i is it join live located look mail me meet more off on online or order out page read see shop site sold starts stay store stop team that the them there they this to us visit was we were work you".split()
+)
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_BRACKET_AT = re.compile(rf"(?i){_OPEN}(?:at|@|arroba){_CLOSE}")
-_BRACKET_DOT = re.compile(rf"(?i){_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}")
-_SPOKEN_AT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z0-9-])")
+_AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
+_BRACKET_AT = re.compile(rf"(?i){_OPEN}(?:{_AT}|@){_CLOSE}")
+_BRACKET_DOT = re.compile(rf"(?i){_OPEN}(?:{_DOT}|\.){_CLOSE}")
+_SPOKEN_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])[ \t]+({_AT})[ \t]+(?=[A-Za-z0-9-]++(?:[ \t]+(?:{_DOT})[ \t]+[A-Za-z0-9-]|(\.)(?:[A-Za-z0-9-]++(?:[ \t]+(?:{_DOT})[ \t]+|\.))*[A-Za-z]{{2}}))")
+_LAST_WORD = re.compile(r"[A-Za-z]+\Z|[A-Za-z]+(?=[ \t]*\Z)")
 _SPOKEN_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])[ \t]+dot[ \t]+(?=[A-Za-z0-9-])")
+_GAP = re.compile(rf"(?i)[ \t]+(?:{_DOT})[ \t]+")
+_DOMAIN_GAPS = re.compile(rf"(?i)(?<=@)[A-Za-z0-9-]++(?:[ \t]+(?:{_DOT})[ \t]+[A-Za-z0-9-]++)+")
+_LOCAL_GAPS_BACKWARDS = re.compile(rf"(?i)(?<=@)[A-Za-z0-9_%+-]++(?:[ \t]+(?:{_DOT[::-1]})[ \t]+[A-Za-z0-9_%+-]++)+")
+_NUMBER_GAPS = regex.compile(rf"(?i)(?<=[0-9]|(?<!\w)(?:{_WORD}))[ \t]+(?:{_DOT})[ \t]+(?=[0-9]|(?:{_WORD})(?!\w))")
 _AROUND_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z])")
 
 Span = tuple[int, int]
@@ -142,6 +157,17 @@ class Mapped:
         if at:
             self.text, self.start, self.end = "".join([*out, self.text[at:]]), [*start, *self.start[at:]], [*end, *self.end[at:]]
 
+    def replace(self, spans: list[Span], sign: str) -> None:
+        """Replace the given spans, in order, by a sign."""
+        out, start, end, at = [], [], [], 0
+        for s, e in spans:
+            out += [self.text[at:s], sign]
+            start += [*self.start[at:s], self.start[s]]
+            end += [*self.end[at:s], self.end[e - 1]]
+            at = e
+        if at:
+            self.text, self.start, self.end = "".join([*out, self.text[at:]]), [*start, *self.start[at:]], [*end, *self.end[at:]]
+
     def span(self, s: int, e: int) -> Span:
         return self.start[s], self.end[e - 1]
 
@@ -158,33 +184,79 @@ def _joined(sign: str):
     return lambda m: [(sign, 0, len(m[0]))]
 
 
+_SAME = str.maketrans("ſıİ", "sii")
 _NUMBERS = re.compile(rf"(?i)(?:(double|triple)[ \t]+)?({_WORD})(?!\w)")
 
 
+def _low(word: str) -> str:
+    """Lower case, with the letters that a matcher takes for ``s`` and ``i`` whatever their case."""
+    return word.translate(_SAME).lower()
+
+
 def _digits(m: re.Match):
     """A run of spelled digits; a single one only beside digits, dots or a plus."""
     words = list(_NUMBERS.finditer(m[0]))
     text, (a, b) = m.string, m.span()
     if len(words) < 2 and not (text[a - 1 : a] in {".", "+"} or text[b : b + 1] in {"."} or text[max(0, a - 2) : a].strip()[-1:].isdigit() or text[b : b + 2].strip()[:1].isdigit()):
         return None
-    return [(SPELLED[w[2].lower()] * REPEATED.get((w[1] or "").lower(), 1), w.start(), w.end()) for w in words]
+    return [(SPELLED[_low(w[2])] * REPEATED.get(_low(w[1] or ""), 1), w.start(), w.end()) for w in words]
+
+
+def _spoken_at(m: re.Match):
+    """``at`` before a domain with a written dot may be the plain word: it is after a common one."""
+    if _low(m[1]) == "at" and m[2]:
+        word = _LAST_WORD.search(m.string, max(0, m.start() - 12), m.start())
+        if word and word[0].lower() in COMMON:
+            return None
+    return [("@", 0, len(m[0]))]
+
+
+# A text of ASCII and Latin letters alone, whose words part at ASCII signs: then its set of words says which rules can apply.
+_NO_PLAIN = re.compile("[^\\x00-\\x7fÀ-ÖØ-öø-įĲ-žƀ-ɏ]|[İı]")
+_PARTS = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b == 95 or b >= 128 else 32 for b in range(256))
+
+
+def _all_of(words) -> frozenset[bytes]:
+    return frozenset(w.encode() for w in words)
+
+
+_NUMBER_SET, _PLUS_SET, _AT_SET, _DOT_SET = map(_all_of, (SPELLED, ("plus", "más"), AT_WORDS, DOT_WORDS))
 
 
 def normalise(text: str) -> Mapped:
+    """The rewritten text.  Rules that no word of the text can meet are passed over; that changes no result."""
     out = Mapped(text)
     out.rewrite(_ODD, _plain_character)
-    out.rewrite(_BRACKET_AT, _joined("@"))
-    out.rewrite(_BRACKET_DOT, _joined("."))
-    out.rewrite(_SPOKEN_AT, _joined("@"))
-    out.rewrite(_SPOKEN_DOT, _joined("."))
-    out.rewrite(_AROUND_AT, _joined("@"))
-    out.rewrite(_PLUS, _joined("+"))
-    out.rewrite(_RUN, _digits)
+    if _NO_PLAIN.search(out.text):
+        numbers = plus = ats = dots = True
+    else:
+        words = set(out.text.lower().encode().translate(_PARTS).split())
+        numbers, plus, ats, dots = (not words.isdisjoint(some) for some in (_NUMBER_SET, _PLUS_SET, _AT_SET, _DOT_SET))
+    if any(sign in out.text for sign in "[({<"):
+        if ats or "@" in out.text:
+            out.rewrite(_BRACKET_AT, _joined("@"))
+        out.rewrite(_BRACKET_DOT, _joined("."))
+    if ats:
+        out.rewrite(_SPOKEN_AT, _spoken_at)
+    if "@" in out.text:
+        out.rewrite(_AROUND_AT, _joined("@"))
+    if dots:
+        if "@" in out.text:
+            out.replace([g.span() for m in _DOMAIN_GAPS.finditer(out.text) for g in _GAP.finditer(out.text, *m.span())], ".")
+            back, n = out.text[::-1], len(out.text)
+            spans = [(n - m.end(), n - m.start()) for m in _LOCAL_GAPS_BACKWARDS.finditer(back)]
+            out.replace([g.span() for a, b in reversed(spans) for g in _GAP.finditer(out.text, a, b)], ".")
+        out.rewrite(_SPOKEN_DOT, _joined("."))
+        out.rewrite(_NUMBER_GAPS, _joined("."))
+    if plus:
+        out.rewrite(_PLUS, _joined("+"))
+    if numbers:
+        out.rewrite(_RUN, _digits)
     return out
 
 
 def extra(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans that show only after rewriting: those that no plain span of the kind covers."""
+    """Spans that show only after rewriting: those that neither lie in a plain span of the kind nor hold one."""
     mapped = normalise(text)
     if mapped.text == text:
         return {k: [] for k in KINDS}
@@ -192,7 +264,7 @@ def extra(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
     out = {}
     for kind in KINDS:
         spans = [mapped.span(s, e) for s, e in found[kind]]
-        out[kind] = [(s, e) for s, e in spans if not any(a <= s and e <= b for a, b in plain[kind])]
+        out[kind] = [(s, e) for s, e in spans if not any(a <= s and e <= b or s <= a and b <= e for a, b in plain[kind])]
     return out
 
 
