@@ -20,9 +20,10 @@ def brute(text, items):
     return len(ws), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("limit", [8_000_000, 40])
-def test_like_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", limit)
+@pytest.mark.parametrize("limit,slots,few", [(8_000_000, 1 << 22, 100_000), (40, 1 << 22, 100_000), (0, 16, 0)])
+def test_like_brute_force(spark, monkeypatch, limit, slots, few):
+    for name, value in (("HELD_CHARS", limit), ("SLOTS", slots), ("BROADCAST_TEXTS", few)):
+        monkeypatch.setattr(decontam, name, value)
     random.seed(2)
     text = lambda n: " ".join(random.choices("aA b B-b é".split(), k=n))
     items = [(1, text(14)), (2, text(3)), (10, "b"), (3, None), (4, "..."), (5, text(11)), (1, text(12))]
@@ -34,6 +35,31 @@ def test_like_brute_force(spark, monkeypatch, limit):
     assert decontam.decontaminate(d, b.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("limit", [8_000_000, 0])
+def test_the_tables_like_each_other_and_columns_of_any_name(spark, sf, monkeypatch, limit):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = {(r["doc_id"], r["n_words"], r["n_hit"], r["items_sha256"]) for r in decontam.decontaminate(docs, items).collect()}
+    monkeypatch.setattr(decontam, "HELD_CHARS", limit)
+    odd = docs.withColumns({c: F.lit(3) for c in ("key", "items", "n_hit", "m", "start", "window", "__0", "hits")})
+    got = decontam.decontaminate(odd, items.withColumn("m", F.lit(1)), id_cols=("doc_id", "source"))
+    assert {(r["doc_id"], r["n_words"], r["n_hit"], r["items_sha256"]) for r in got.collect()} == want
+    assert got.columns[:2] == ["doc_id", "source"]
+
+
+def test_a_very_long_text_takes_time_in_proportion():
+    import time
+
+    search = decontam.searchers([(1, "a b c d e f g h i j"), (2, "x y")])
+
+    def seconds(n):
+        began = time.process_time()
+        ws = decontam.words("a b c d e f g h i j x y " * n)
+        assert sum(1 for s in search for _ in s.search(ws)) == 2 * n
+        return time.process_time() - began
+
+    assert seconds(80_000) < 16 * max(seconds(10_000), 0.05)
+
+
 def test_words():
     assert decontam.words("Ab-C éÉ 1٣\nx") == ["ab".encode(), b"c", "éÉ".encode(), "1٣".encode(), b"x"]
 
