@@ -34,10 +34,10 @@ from .common import cut, map_batches, pieces
 #: Words of a shingle, least similarity, registers of a signature, registers of a band.
 SHINGLE, SIMILARITY, REGISTERS, ROWS = 5, 0.8, 128, 5
 BANDS = REGISTERS // ROWS
-#: Registers that may differ, in two bits each, between signatures worth verifying: about five deviations beyond 0.8.
-DIFFER = 38
-#: The same for the longer signatures of texts that stay apart in crowded buckets.
-LONG_REGISTERS, LONG_DIFFER = 1024, 208
+#: Registers of the longer signatures of texts that stay apart in crowded buckets; deviations that signatures worth verifying may be off.
+LONG_REGISTERS, DEVIATIONS = 1024, 4.77
+#: Nodes from which on a bucket is crowded: its one row is broadcast to them; nodes of a block of pairs in such a bucket.
+CROWDED, BLOCK = 256, 512
 #: Words whose hashes a Python worker keeps; nodes that are few enough to broadcast (16 bytes each).
 SEEN_WORDS, BROADCAST_NODES = 200_000, 500_000
 
@@ -200,17 +200,23 @@ def _packed(registers: np.ndarray) -> list[tuple[list[int], list[int]]]:
     return list(zip(planes.tolist(), bands.tolist(), strict=True))
 
 
-def _close(a: str, b: str, registers: int = REGISTERS, differ: int = DIFFER) -> Column:
+def differ(registers: int, similarity: float) -> int:
+    """Registers that differ, in two bits each, between signatures of texts of the given similarity, most likely at most."""
+    p = (1 - similarity) * 3 / 4
+    return int(registers * p + DEVIATIONS * (registers * p * (1 - p)) ** 0.5)
+
+
+def _close(a: str, b: str, similarity: float, registers: int = REGISTERS) -> Column:
     """Do two signatures differ in few enough registers?"""
     half = registers // 64
-    return F.expr(" + ".join(f"bit_count(({a}[{i}] ^ {b}[{i}]) | ({a}[{i + half}] ^ {b}[{i + half}]))" for i in range(half)) + f" <= {differ}")
+    return F.expr(" + ".join(f"bit_count(({a}[{i}] ^ {b}[{i}]) | ({a}[{i + half}] ^ {b}[{i + half}]))" for i in range(half)) + f" <= {differ(registers, similarity)}")
 
 
 class Bags:
     """Multisets of the texts met last, up to a number of shingles."""
 
-    def __init__(self, most: int = 2_000_000):
-        self.shingler, self.most, self.held, self.total = Shingler(), most, {}, 0
+    def __init__(self, similarity: float = SIMILARITY, most: int = 2_000_000):
+        self.shingler, self.similarity, self.most, self.held, self.total = Shingler(), similarity, most, {}, 0
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         bag = self.held.get(text)
@@ -226,22 +232,22 @@ class Bags:
     def similar(self, a: str, b: str) -> bool:
         """Is the weighted Jaccard similarity of two texts enough?"""
         (x, n, p), (y, m, q) = sorted((self.of(a), self.of(b)), key=lambda t: len(t[0]))
-        if min(p, q) < SIMILARITY * max(p, q) or not len(x):
+        if min(p, q) < self.similarity * max(p, q) or not len(x):
             return False
         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
         same = y[at] == x
         both = int(np.minimum(n[same], m[at[same]]).sum())
-        return both >= SIMILARITY * (p + q - both)
+        return both >= self.similarity * (p + q - both)
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b: nodes) whose texts' multisets overlap by ``SIMILARITY`` or more."""
+def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b: nodes) whose texts' multisets overlap by ``similarity`` or more."""
     needed = cut(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct(), "needed")
     texts = _texts_of(needed, docs, "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def make():
-        bags = Bags()
+        bags = Bags(similarity)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = [bags.similar(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -307,7 +313,44 @@ def longer(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(map_batches(_texts_of(nodes, docs, "mixed-texts"), make, "node binary, long array<bigint>"), "long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def meet(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` joined with ``buckets``, which has one row a bucket with the number ``n`` of its nodes.
+
+    Rows of crowded buckets stay where they are, as those few buckets' rows are broadcast to them, so
+    no bucket is dealt to one task; the others are shuffled.  What counts as crowded rises until the
+    crowded buckets are few enough.
+    """
+    least = CROWDED
+    while (crowded := buckets.where(F.col("n") >= least)).count() > BROADCAST_NODES:
+        least *= 4
+    rest = rows.join(F.broadcast(crowded.select("bucket")), "bucket", "left_anti").join(buckets.where(F.col("n") < least), "bucket")
+    return rows.join(F.broadcast(crowded), "bucket").unionByName(rest)
+
+
+def _rest(left: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes outside their bucket's central class with the bucket's nodes of other classes, where all signatures are close.
+
+    A pair comes from the first band that it shares.  Large buckets are dealt in blocks: each block
+    of the one side meets each block of the other under a key of its own.
+    """
+    known = longer(cut(left.select("node").distinct(), "mixed-nodes"), docs).join(nodes.select("node", "planes", "bands"), "node")
+    centre = left.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "node")).alias("centre"), F.count("*").alias("n"))
+    rows = cut(meet(left.select("bucket", "node", "class"), cut(centre, "centre-classes")), "blocks")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+
+    def side(some: DataFrame, x: str) -> DataFrame:
+        return some.join(known, "node").select("bucket", "block_a", "block_b", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("class", "planes", "bands", "long")))
+
+    one = side(rows.where(F.col("class") != F.col("centre")).select("bucket", "node", "class", own.alias("block_a"), every.alias("block_b")), "a")
+    two = side(rows.select("bucket", "node", "class", every.alias("block_a"), own.alias("block_b")), "b")
+    first_shared = F.expr("element_at(bands_a, cast(array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) as int)) = bucket")
+    pairs = one.join(two, ["bucket", "block_a", "block_b"])
+    close = _close("planes_a", "planes_b", similarity) & _close("long_a", "long_b", similarity, LONG_REGISTERS)
+    return pairs.where((F.col("class_a") != F.col("class_b")) & close & first_shared)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (verified links of its text), node, class: one row for each row of ``docs``.
 
     ``class`` (its least node) tells classes apart; ``class_id`` is a label, which classes share where
@@ -316,52 +359,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = cut(sign(docs), "signed")
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("planes").alias("planes"), F.first("bands").alias("bands")), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
-    members = cut(entries.join(heads, "bucket"), "members")
+    heads = cut(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "heads")
+    members = cut(meet(entries, heads), "members")
     planes = nodes.select("node", "planes")
 
     def with_planes(rows: DataFrame, side: str) -> DataFrame:
         return rows.join(planes.withColumnsRenamed({"node": side, "planes": f"planes_{side}"}), side)
 
     pairs = members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = cut(with_planes(with_planes(pairs, "a"), "b").where(_close("planes_a", "planes_b")).select("a", "b"), "pairs")
-    links = verify(pairs, docs)
+    pairs = cut(with_planes(with_planes(pairs, "a"), "b").where(_close("planes_a", "planes_b", similarity)).select("a", "b"), "pairs")
+    links = verify(pairs, docs, similarity)
     classes = components(links)
 
     def in_order(rows: DataFrame) -> DataFrame:
         return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def mixed(rows: DataFrame, name: str) -> DataFrame:
-        """Rows of the buckets that hold several classes, with their classes."""
-        now = rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        several = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
-        return cut(now.join(several, "bucket", "left_semi"), name)
+        """Rows of the buckets that hold several classes, with their classes and the number of nodes."""
+        now = cut(rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), f"{name}-classes")
+        several = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low != high")
+        return cut(meet(now, cut(several.select("bucket", "n"), f"{name}-buckets")), name)
 
     tried = in_order(pairs)
-    left = mixed(members.select("bucket", "node", "n"), "mixed")
-    weights = left.groupBy("node").agg(F.sum("n").alias("weight"))
-    left = with_planes(left.select("bucket", "node", "class").join(weights, "node"), "node")
-    centre = left.groupBy("bucket").agg(F.max(F.struct("weight", "node", "planes_node", "class")).alias("c"))
-    centre = centre.select("bucket", F.col("c.node").alias("b"), F.col("c.planes_node").alias("planes_b"), F.col("c.class").alias("class_b"))
-    near = left.withColumnsRenamed({"node": "a", "planes_node": "planes_a", "class": "class_a"}).join(centre, "bucket").where(F.col("class_a") != F.col("class_b"))
-    more = cut(in_order(near.where(_close("planes_a", "planes_b"))).join(tried, ["a", "b"], "left_anti"), "central-pairs")
+    left = mixed(members.select("bucket", "node", F.col("n").alias("size")), "mixed")
+    weights = left.groupBy("node").agg(F.sum("size").alias("weight"))
+    left = cut(with_planes(left.select("bucket", "node", "class", "n").join(weights, "node"), "node"), "weighed")
+    centre = left.groupBy("bucket").agg(F.max(F.struct("weight", "node", "planes_node", "class")).alias("c"), F.first("n").alias("n"))
+    centre = cut(centre.select("bucket", "n", F.col("c.node").alias("b"), F.col("c.planes_node").alias("planes_b"), F.col("c.class").alias("class_b")), "centres")
+    near = meet(left.select("bucket", F.col("node").alias("a"), F.col("planes_node").alias("planes_a"), F.col("class").alias("class_a")), centre)
+    near = near.where((F.col("class_a") != F.col("class_b")) & _close("planes_a", "planes_b", similarity))
+    more = cut(in_order(near).join(tried, ["a", "b"], "left_anti"), "central-pairs")
     if not more.isEmpty():
-        found = verify(more, docs)
+        found = verify(more, docs, similarity)
         tried, links, classes = tried.union(more), links.union(found), merged(classes, found)
     left = mixed(left.select("bucket", "node", "weight"), "mixed-again")
     if not left.isEmpty():
-        centre = left.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "node")).alias("centre_class"))
-        known = longer(cut(left.select("node").distinct(), "mixed-nodes"), docs).join(nodes.select("node", "planes", "bands"), "node")
-
-        def side(rows: DataFrame, x: str) -> DataFrame:
-            return rows.select("bucket", "node", "class").join(known, "node").select("bucket", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("class", "planes", "bands", "long")))
-
-        one, two = side(left.join(centre, "bucket").where(F.col("class") != F.col("centre_class")), "a"), side(left, "b")
-        first_shared = F.expr("element_at(bands_a, cast(array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) as int))") == one["bucket"]
-        rest = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("class_a") != F.col("class_b")) & _close("planes_a", "planes_b") & _close("long_a", "long_b", LONG_REGISTERS, LONG_DIFFER) & first_shared)
-        more = cut(in_order(rest).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+        more = cut(in_order(_rest(left.drop("n"), nodes, docs, similarity)).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
         if not more.isEmpty():
-            found = verify(more, docs)
+            found = verify(more, docs, similarity)
             links, classes = links.union(found), merged(classes, found)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -371,9 +406,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", "node", "class")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the one that names it."""
-    found = cut(near_duplicates(docs), "classes")
+    found = cut(near_duplicates(docs, similarity), "classes")
     best = found.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("best"))
     rows = found.groupBy("doc_id", "node").agg(F.first("class").alias("class"), F.count("*").alias("n"))
     gone = rows.join(best, "class").where(~(F.struct(rows["doc_id"], rows["node"]).eqNullSafe(F.col("best"))))

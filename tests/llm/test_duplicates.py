@@ -65,6 +65,43 @@ def test_like_brute_force_over_a_gradient_of_edits(spark):
     assert got == classes(texts)
 
 
+@pytest.mark.parametrize("nodes", [500_000, 0])
+def test_crowded_buckets_and_tables_too_large_to_broadcast(spark, monkeypatch, nodes):
+    for name, value in (("CROWDED", 4), ("BLOCK", 3), ("BROADCAST_NODES", nodes)):
+        monkeypatch.setattr(B, name, value)
+    random.seed(4)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    base, texts = [word() for _ in range(100)], []
+    for _ in range(60):
+        ws = list(base)
+        for k in random.sample(range(100), random.choice([1, 2, 3, 4, 5])):
+            ws[k] = word()
+        texts.append(" ".join(ws))
+    got = {r["doc_id"]: r["class_id"] for r in B.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == classes(texts)
+
+
+def test_recall_by_similarity_on_the_driver_s_documents(spark):
+    """Every pair of 0.8 or more shares a class; what lies below is reported and not promised."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    got = {r["doc_id"]: r["class_id"] for r in B.near_duplicates(docs).collect()}
+    shingler, holders = B.Shingler(), collections.defaultdict(list)
+    bags = [collections.Counter(shingler.shingles(t).tolist()) for _, t in rows]
+    for i, bag in enumerate(bags):
+        for h in bag:
+            holders[h].append(i)
+    pairs = {(i, j) for some in holders.values() if len(some) > 1 for n, i in enumerate(some) for j in some[n + 1 :]}
+    told = collections.Counter()
+    for i, j in pairs:
+        s = sum((bags[i] & bags[j]).values()) / sum((bags[i] | bags[j]).values())
+        if s >= 0.5:
+            told[int(s * 10) / 10, got[rows[i][0]] == got[rows[j][0]]] += 1
+    print("pairs by similarity and whether they share a class:", sorted(told.items()))
+    assert sum(n for (s, same), n in told.items() if s >= 0.8 and same) >= 50
+    assert not any(n for (s, same), n in told.items() if s >= 0.8 and not same)
+
+
 def test_keep_one(spark):
     text = "a b c d e f g h i j k"
     rows = spark.createDataFrame([(5, text, 1), (3, text, 2), (3, text, 2), (4, "A b c d e f g h i j k.", 3), (9, "other words in here", 4), (None, None, 5)], "doc_id long, text string, node int")
