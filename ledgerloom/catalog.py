@@ -60,13 +60,13 @@ FACTS = with_sql("v_facts")
 ONE = "quarter is null and financial_type = 'consolidated' and metric = 'revenue'"
 
 
-@query(FACTS + f"select company, metric, financial_type, fiscal_year, quarter, cast(value as double) as value from v_facts where company = 'BUILDING' and fiscal_year = 1997 and {ONE}")
+@query(FACTS + f"select tenant_id, company, metric, financial_type, fiscal_year, quarter, cast(value as double) as value from v_facts where company = 'BUILDING' and fiscal_year = 1997 and {ONE}")
 def point_in_time(spark, d):
     q = dsl.validate({"metric": "Turnover", "entity": "building", "fiscal_year": "FY97", "financial_type": "Consolidated", "operation": "point_in_time"}).query
     return dsl.plan(q, relation(spark, d, "v_facts"))
 
 
-YOY = "select c.company, c.metric, c.financial_type, c.quarter, c.fiscal_year, cast(c.value as double) as current_value, cast(p.value as double) as prior_value, round((cast(c.value as double) - cast(p.value as double)) / nullif(abs(cast(p.value as double)), 0) * 100, 2) as yoy_pct from v_facts c left join v_facts p on p.company = c.company and p.metric = c.metric and p.financial_type = c.financial_type and p.quarter is not distinct from c.quarter and p.fiscal_year = c.fiscal_year - 1"
+YOY = "select c.tenant_id, c.company, c.metric, c.financial_type, c.quarter, c.fiscal_year, cast(c.value as double) as current_value, cast(p.value as double) as prior_value, round((cast(c.value as double) - cast(p.value as double)) / nullif(abs(cast(p.value as double)), 0) * 100, 2) as yoy_pct from v_facts c left join v_facts p on p.tenant_id = c.tenant_id and p.company = c.company and p.metric = c.metric and p.financial_type = c.financial_type and p.quarter is not distinct from c.quarter and p.fiscal_year = c.fiscal_year - 1"
 
 
 @query(FACTS + YOY + " where c.company = 'MACHINERY' and c.metric = 'pat' and c.financial_type = 'standalone' and c.quarter = 'Q2' and c.fiscal_year = 1999")
@@ -80,12 +80,12 @@ def yoy_all_periods(spark, d):
     return G.year_over_year(relation(spark, d, "v_facts"))
 
 
-@query(FACTS + "select c.company, c.metric, c.financial_type, c.quarter, c.fiscal_year, cast(c.value as double) as current_value, cast(p.value as double) as prior_value from v_facts c join v_facts p on p.company = c.company and p.metric = c.metric and p.financial_type = c.financial_type and p.quarter is not distinct from c.quarter and p.fiscal_year = c.fiscal_year - 1")
+@query(FACTS + "select c.tenant_id, c.company, c.metric, c.financial_type, c.quarter, c.fiscal_year, cast(c.value as double) as current_value, cast(p.value as double) as prior_value from v_facts c join v_facts p on p.tenant_id = c.tenant_id and p.company = c.company and p.metric = c.metric and p.financial_type = c.financial_type and p.quarter is not distinct from c.quarter and p.fiscal_year = c.fiscal_year - 1")
 def prior_period_join(spark, d):
     return G.prior_period(relation(spark, d, "v_facts"))
 
 
-PAIR = "select 'BUILDING' as entity1, 'FURNITURE' as entity2, a.metric, a.financial_type, a.fiscal_year, a.quarter, cast(a.value as double) as value1, cast(b.value as double) as value2, round(cast(a.value as double) - cast(b.value as double), 2) as difference, round((cast(a.value as double) - cast(b.value as double)) / nullif(abs(cast(b.value as double)), 0) * 100, 2) as difference_pct from v_facts a join v_facts b on a.metric = b.metric and a.financial_type = b.financial_type and a.fiscal_year = b.fiscal_year and a.quarter is not distinct from b.quarter where a.company = 'BUILDING' and b.company = 'FURNITURE'"
+PAIR = "select a.tenant_id, 'BUILDING' as entity1, 'FURNITURE' as entity2, a.metric, a.financial_type, a.fiscal_year, a.quarter, cast(a.value as double) as value1, cast(b.value as double) as value2, round(cast(a.value as double) - cast(b.value as double), 2) as difference, round((cast(a.value as double) - cast(b.value as double)) / nullif(abs(cast(b.value as double)), 0) * 100, 2) as difference_pct from v_facts a join v_facts b on a.tenant_id = b.tenant_id and a.metric = b.metric and a.financial_type = b.financial_type and a.fiscal_year = b.fiscal_year and a.quarter is not distinct from b.quarter where a.company = 'BUILDING' and b.company = 'FURNITURE'"
 
 
 @query(FACTS + PAIR)
@@ -95,14 +95,14 @@ def comparison(spark, d):
 
 @query(
     FACTS
-    + f", yoy as ({YOY} where p.value is not null and c.company in ('BUILDING', 'FURNITURE')) select 'BUILDING' as entity_a, 'FURNITURE' as entity_b, a.metric, a.financial_type, a.fiscal_year, a.quarter, a.current_value as a_current_value, a.prior_value as a_prior_value, a.yoy_pct as yoy_a_pct, b.current_value as b_current_value, b.prior_value as b_prior_value, b.yoy_pct as yoy_b_pct, case when a.prior_value = 0 or b.prior_value = 0 then null when a.yoy_pct > b.yoy_pct then 'BUILDING' else 'FURNITURE' end as faster_growing_entity, case when a.prior_value = 0 or b.prior_value = 0 then 'prior value is zero' end as error from yoy a join yoy b on a.metric = b.metric and a.financial_type = b.financial_type and a.fiscal_year = b.fiscal_year and a.quarter is not distinct from b.quarter where a.company = 'BUILDING' and b.company = 'FURNITURE'"
+    + f", yoy as ({YOY} where p.value is not null and c.company in ('BUILDING', 'FURNITURE')) select a.tenant_id, 'BUILDING' as entity_a, 'FURNITURE' as entity_b, a.metric, a.financial_type, a.fiscal_year, a.quarter, a.current_value as a_current_value, a.prior_value as a_prior_value, a.yoy_pct as yoy_a_pct, b.current_value as b_current_value, b.prior_value as b_prior_value, b.yoy_pct as yoy_b_pct, case when a.prior_value = 0 or b.prior_value = 0 then null when a.yoy_pct > b.yoy_pct then 'BUILDING' else 'FURNITURE' end as faster_growing_entity, case when a.prior_value = 0 or b.prior_value = 0 then 'prior value is zero' end as error from yoy a join yoy b on a.tenant_id = b.tenant_id and a.metric = b.metric and a.financial_type = b.financial_type and a.fiscal_year = b.fiscal_year and a.quarter is not distinct from b.quarter where a.company = 'BUILDING' and b.company = 'FURNITURE'"
 )
 def growth_comparison(spark, d):
     return G.compare_growth(relation(spark, d, "v_facts"), "BUILDING", "FURNITURE")
 
 
 def _cagr(steps: str) -> str:
-    return FACTS + f", s as (select company, metric, financial_type, quarter, min(fiscal_year) as start_fy, max(fiscal_year) as end_fy, cast(arg_min(value, fiscal_year) as double) as first, cast(arg_max(value, fiscal_year) as double) as last, count(*) as n from v_facts group by all) select company, metric, financial_type, quarter, start_fy, end_fy, first as start_value, last as end_value, case when first > 0 and last > 0 and ({steps}) > 0 then round((power(last / first, 1.0 / ({steps})) - 1) * 100, 2) end as cagr_pct, case when n < 2 then 'insufficient_data_for_cagr' when first <= 0 then 'start value is not positive' when last <= 0 then 'end value is not positive' end as error from s"
+    return FACTS + f", s as (select tenant_id, company, metric, financial_type, quarter, min(fiscal_year) as start_fy, max(fiscal_year) as end_fy, cast(arg_min(value, fiscal_year) as double) as first, cast(arg_max(value, fiscal_year) as double) as last, count(*) as n from v_facts group by all) select tenant_id, company, metric, financial_type, quarter, start_fy, end_fy, first as start_value, last as end_value, case when first > 0 and last > 0 and ({steps}) > 0 then round((power(last / first, 1.0 / ({steps})) - 1) * 100, 2) end as cagr_pct, case when n < 2 then 'insufficient_data_for_cagr' when first <= 0 then 'start value is not positive' when last <= 0 then 'end value is not positive' end as error from s"
 
 
 @query(_cagr("n - 1"))
@@ -115,10 +115,10 @@ def cagr_by_span(spark, d):
     return G.compound_growth(relation(spark, d, "v_facts"), by="span")
 
 
-@query(FACTS + "select company, metric, financial_type, fiscal_year, cast(value as double) as value from v_facts where quarter is not distinct from null and fiscal_year >= 1998")
+@query(FACTS + "select tenant_id, company, metric, financial_type, fiscal_year, cast(value as double) as value from v_facts where quarter is not distinct from null and fiscal_year >= 1998")
 def quarter_null_safe(spark, d):
     rows = G.select_facts(relation(spark, d, "v_facts"), quarter=None).where("fiscal_year >= 1998")
-    return rows.select("company", "metric", "financial_type", "fiscal_year", numbers.number(F.col("value")).alias("value"))
+    return rows.select("tenant_id", "company", "metric", "financial_type", "fiscal_year", numbers.number(F.col("value")).alias("value"))
 
 
 @query("select o_orderkey, cast(year(o_orderdate) + case when month(o_orderdate) >= 4 then 1 else 0 end as int) as fiscal_year, 'Q' || cast(cast(floor(((month(o_orderdate) + 8) % 12) / 3) as int) + 1 as varchar) as quarter, 'FY' || lpad(cast((year(o_orderdate) + case when month(o_orderdate) >= 4 then 1 else 0 end) % 100 as varchar), 2, '0') as label from orders")
@@ -127,14 +127,14 @@ def fiscal_period(spark, d):
     return rows.select("o_orderkey", F.col("fy").alias("fiscal_year"), periods.quarter(F.col("o_orderdate")).alias("quarter"), periods.label(F.col("fy")).alias("label"))
 
 
-@query(FACTS + "select company, financial_type, fiscal_year, quarter, cast(max(value) filter (metric = 'revenue') as double) as revenue, cast(max(value) filter (metric = 'total_income') as double) as total_income, cast(max(value) filter (metric = 'pat') as double) as pat from v_facts group by 1, 2, 3, 4")
+@query(FACTS + "select tenant_id, company, financial_type, fiscal_year, quarter, cast(max(value) filter (metric = 'revenue') as double) as revenue, cast(max(value) filter (metric = 'total_income') as double) as total_income, cast(max(value) filter (metric = 'pat') as double) as pat from v_facts group by 1, 2, 3, 4, 5")
 def long_to_wide_pivot(spark, d):
     names = ["revenue", "total_income", "pat"]
     rows = G.widen(relation(spark, d, "v_facts"), names)
-    return rows.select("company", "financial_type", "fiscal_year", "quarter", *(numbers.number(F.col(n)).alias(n) for n in names))
+    return rows.select("tenant_id", "company", "financial_type", "fiscal_year", "quarter", *(numbers.number(F.col(n)).alias(n) for n in names))
 
 
-@query(FACTS + "select company, financial_type, fiscal_year, quarter, metric, cast(value as double) as value from v_facts where metric in ('revenue', 'pat')")
+@query(FACTS + "select tenant_id, company, financial_type, fiscal_year, quarter, metric, cast(value as double) as value from v_facts where metric in ('revenue', 'pat')")
 def wide_to_long_unpivot(spark, d):
     rows = G.lengthen(G.widen(relation(spark, d, "v_facts"), ["revenue", "pat"]), ["revenue", "pat"])
     return rows.withColumn("value", numbers.number(F.col("value")))
@@ -185,21 +185,21 @@ def restated_delta(spark, d):
 
 # -- statements ------------------------------------------------------------------------------------
 BROKEN = with_sql("v_broken")
-WIDE = "w as (select company, financial_type, fiscal_year, quarter, " + ", ".join(f"max(value) filter (metric = '{m}') as {m}" for m in ("revenue", "other_income", "total_income", "total_expenses", "profit_before_tax", "tax_expense", "pat")) + " from v_broken group by 1, 2, 3, 4)"
+WIDE = "w as (select tenant_id, company, financial_type, fiscal_year, quarter, " + ", ".join(f"max(value) filter (metric = '{m}') as {m}" for m in ("revenue", "other_income", "total_income", "total_expenses", "profit_before_tax", "tax_expense", "pat")) + " from v_broken group by 1, 2, 3, 4, 5)"
 
 
 @query(
     BROKEN
-    + f", {WIDE}, a as (select *, case when revenue is not null then round(revenue + coalesce(other_income, 0), 2) else total_income end as ti from w), b as (select *, case when profit_before_tax is not null and ti is not null and (total_expenses is null or abs(round(ti - profit_before_tax, 2) - total_expenses) > 1) then round(ti - profit_before_tax, 2) else total_expenses end as te from a) select company, financial_type, fiscal_year, quarter, cast(ti as double) as total_income, cast(te as double) as total_expenses, cast(profit_before_tax as double) as profit_before_tax, cast(coalesce(tax_expense, round(profit_before_tax - pat, 2)) as double) as tax_expense from b"
+    + f", {WIDE}, a as (select *, case when revenue is not null then round(revenue + coalesce(other_income, 0), 2) else total_income end as ti from w), b as (select *, case when profit_before_tax is not null and ti is not null and (total_expenses is null or abs(round(ti - profit_before_tax, 2) - total_expenses) > 1) then round(ti - profit_before_tax, 2) else total_expenses end as te from a) select tenant_id, company, financial_type, fiscal_year, quarter, cast(ti as double) as total_income, cast(te as double) as total_expenses, cast(profit_before_tax as double) as profit_before_tax, cast(coalesce(tax_expense, round(profit_before_tax - pat, 2)) as double) as tax_expense from b"
 )
 def derived_totals(spark, d):
     rows = D.derive_totals(relation(spark, d, "v_broken"))
-    return rows.select(*D.PERIOD, *(numbers.number(F.col(n)).alias(n) for n in ("total_income", "total_expenses", "profit_before_tax", "tax_expense")))
+    return rows.select("tenant_id", *D.PERIOD, *(numbers.number(F.col(n)).alias(n) for n in ("total_income", "total_expenses", "profit_before_tax", "tax_expense")))
 
 
 FAILURES = (
     BROKEN
-    + f", {WIDE}, c as (select company, financial_type, fiscal_year, quarter, 'total_income' as \"check\", cast(revenue + other_income as double) as expected, cast(total_income as double) as actual from w union all select company, financial_type, fiscal_year, quarter, 'profit_before_tax', cast(total_income - total_expenses as double), cast(profit_before_tax as double) from w union all select company, financial_type, fiscal_year, quarter, 'pat', cast(profit_before_tax - coalesce(tax_expense, 0) as double), cast(pat as double) from w), x as (select *, abs(expected - actual) / nullif(abs(actual), 0) * 100 as diff from c where expected is not null and actual is not null), bad as (select company, financial_type, fiscal_year, quarter, \"check\", round(expected, 2) as expected, round(actual, 2) as actual, round(diff, 2) as diff_pct from x where case when actual = 0 then abs(expected) > 1 else diff > 0.5 end) "
+    + f", {WIDE}, c as (select tenant_id, company, financial_type, fiscal_year, quarter, 'total_income' as \"check\", cast(revenue + other_income as double) as expected, cast(total_income as double) as actual from w union all select tenant_id, company, financial_type, fiscal_year, quarter, 'profit_before_tax', cast(total_income - total_expenses as double), cast(profit_before_tax as double) from w union all select tenant_id, company, financial_type, fiscal_year, quarter, 'pat', cast(profit_before_tax - coalesce(tax_expense, 0) as double), cast(pat as double) from w), x as (select *, abs(expected - actual) / nullif(abs(actual), 0) * 100 as diff from c where expected is not null and actual is not null), bad as (select tenant_id, company, financial_type, fiscal_year, quarter, \"check\", round(expected, 2) as expected, round(actual, 2) as actual, round(diff, 2) as diff_pct from x where case when actual = 0 then abs(expected) > 1 else diff > 0.5 end) "
 )
 
 

@@ -13,6 +13,36 @@ TOKENS = {"text": 200, "risk_disclosure": 250, "management_discussion": 200, "un
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
+# Names of sections by class of block; any other is "General".
+SECTION_LABELS = {"financial_statement": "Financial Statements", "table": "Tables", "risk_disclosure": "Risk Disclosures", "management_discussion": "Management Discussion", "text": "General", "unknown": "General"}
+
+
+def section_label(block: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in SECTION_LABELS.items() for x in pair)), block), F.lit("General"))
+
+
+def described(chunks: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks (doc, page, block, position, text, chunk_id) with what retrieval filters by and citations print.
+
+    ``pages`` has doc, page, financial_type.  ``documents`` has doc, tenant_id, company, filing_date,
+    may have doc_id by financial_type, and any of ticker, fiscal_year, quarter, document_type,
+    version; what it lacks is null.  A chunk of unknown type is of its file's first document.
+    """
+    own = documents if "financial_type" in documents.columns else documents.withColumn("financial_type", F.lit(None).cast("string"))
+    for name, kind in (("doc_id", "string"), ("ticker", "string"), ("fiscal_year", "int"), ("quarter", "string"), ("document_type", "string"), ("version", "string")):
+        if name not in own.columns:
+            own = own.withColumn(name, (F.col("doc") if name == "doc_id" else F.lit(None)).cast(kind))
+    by_file = own.groupBy("doc").agg(*(F.min_by(c, F.coalesce("financial_type", F.lit(""))).alias(c) for c in ("tenant_id", "company", "ticker", "fiscal_year", "quarter", "document_type", "filing_date", "version", "doc_id")), F.map_from_entries(F.collect_list(F.struct(F.coalesce("financial_type", F.lit("")), "doc_id"))).alias("ids"))
+    rows = chunks.join(pages.select("doc", "page", "financial_type"), ["doc", "page"], "left").join(by_file, "doc")
+    kind = F.coalesce("financial_type", F.lit("unknown"))
+    return rows.select(
+        F.coalesce(F.element_at("ids", kind), "doc_id").alias("doc_id"), "tenant_id", "chunk_id", "company", "ticker", "fiscal_year", "quarter", kind.alias("financial_type"), "document_type",
+        F.lit("Ind AS").alias("reporting_standard"), "filing_date", F.col("filing_date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(True).alias("is_latest"), "version",
+        F.col("page").alias("page_number"), section_label(F.col("block")).alias("section"), F.lit("").alias("subsection"), F.col("block").alias("chunk_type"), F.lit(None).cast("string").alias("table_header"),
+        F.lit(False).alias("needs_review"), "position", "text",
+    )
+
+
 def windows(text: str, size: int, overlap: int) -> list[str]:
     """Pieces of ``size`` characters, each starting ``overlap`` before the end of the last."""
     step = max(1, size - overlap)

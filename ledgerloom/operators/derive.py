@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import number
-from .growth import widen
+from .growth import owners, widen
 
 PERIOD = ["company", "financial_type", "fiscal_year", "quarter"]
 USED = ["revenue", "other_income", "other_operating_revenue", "total_income", "total_expenses", "profit_before_exceptional_items", "exceptional_items", "profit_before_tax", "tax_expense", "current_tax", "deferred_tax", "pat"]
@@ -36,7 +36,7 @@ def derive_totals(facts: DataFrame) -> DataFrame:
 
 def identity_failures(facts: DataFrame) -> DataFrame:
     """One row for each identity that a period breaks: check, expected, actual, diff_pct."""
-    rows = widen(facts, USED)
+    rows, period = widen(facts, USED), [*owners(facts), *PERIOD]
     parts = F.col("revenue") + F.col("other_income") + _or_zero("other_operating_revenue")
     net, extra, before = F.col("total_income") - F.col("total_expenses"), _or_zero("exceptional_items"), F.col("profit_before_tax")
     rescued = F.when((F.abs(net - before) > LEAST) & (extra != 0) & (F.abs(net + extra - before) <= LEAST), net + extra).when((F.abs(net - before) > LEAST) & (extra != 0) & (F.abs(net - extra - before) <= LEAST), net - extra).otherwise(net)
@@ -44,10 +44,10 @@ def identity_failures(facts: DataFrame) -> DataFrame:
     tax = F.when((_or_zero("tax_expense") == 0) & split, _or_zero("current_tax") + _or_zero("deferred_tax")).otherwise(_or_zero("tax_expense"))
     checks = [("total_income", parts, F.col("total_income")), ("profit_before_tax", rescued, before), ("pat", before - tax, F.col("pat"))]
     told = F.array(*(F.struct(F.lit(name).alias("check"), number(expected).alias("expected"), number(actual).alias("actual")) for name, expected, actual in checks))
-    rows = rows.select(*PERIOD, F.explode(told).alias("c")).select(*PERIOD, "c.*").where("expected is not null and actual is not null")
+    rows = rows.select(*period, F.explode(told).alias("c")).select(*period, "c.*").where("expected is not null and actual is not null")
     diff = F.try_divide(F.abs(F.col("expected") - F.col("actual")), F.abs("actual")) * 100
     broken = F.when(F.col("actual") == 0, F.abs("expected") > LEAST).otherwise(diff > TOLERANCE)
-    return rows.where(broken).select(*PERIOD, "check", F.round("expected", 2).alias("expected"), F.round("actual", 2).alias("actual"), F.round(diff, 2).alias("diff_pct"))
+    return rows.where(broken).select(*period, "check", F.round("expected", 2).alias("expected"), F.round("actual", 2).alias("actual"), F.round(diff, 2).alias("diff_pct"))
 
 
 def gate_failures(failures: DataFrame) -> DataFrame:

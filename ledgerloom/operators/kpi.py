@@ -43,3 +43,13 @@ def tiers(audit: DataFrame) -> DataFrame:
 def latency_by_path(audit: DataFrame) -> DataFrame:
     rows = audit.where("latency_ms > 0").groupBy("query_path").agg(F.avg("latency_ms").alias("x"))
     return rows.select(F.coalesce("query_path", F.lit("unknown")).alias("path"), _places(F.col("x"), 0).alias("avg_latency_ms"))
+
+
+def ordered_lists(audit: DataFrame) -> dict[str, DataFrame]:
+    """The lists as a page shows them: the largest first, days in order; ties by name."""
+    return {
+        "paths": paths(audit).orderBy(F.desc("n"), "path"),
+        "days": by_day(audit).orderBy("day"),
+        "tiers": tiers(audit).orderBy(F.desc("n"), "tier"),
+        "latency": latency_by_path(audit).orderBy(F.desc("avg_latency_ms"), "path"),
+    }

@@ -6,7 +6,7 @@ alias, and a label follows from the name unless one is given.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +18,9 @@ class Metric:
     queryable: bool = False
     derived: bool = False
     given_label: str = ""
+    #: How questions put it, and what it is not to be taken for.
+    said: str = ""
+    warning: str = ""
 
     @property
     def label(self) -> str:
@@ -40,21 +43,21 @@ class Company:
 QUERYABLE = [
     Metric("revenue", ("revenue", "revenue from operations", "total income from operations", "income from operations", "operating revenue", "net revenue", "gross revenue", "sales", "net sales", "turnover", "total revenue", "top line", "sale of products", "sale of services", "standalone revenue"), True),
     Metric("other_operating_revenue", ("other operating revenue", "other operating revenues"), True),
-    Metric("total_income", ("total income", "total income i+ii"), True),
+    Metric("total_income", ("total income", "total income i+ii", "ill total incomc 1+11"), True),
     Metric("other_income", ("other income", "non operating income", "interest income"), True),
     Metric("purchases_of_stock_in_trade", ("purchases of stock-in-trade",), True),
     Metric("employee_benefits_expense", ("employee benefits expense", "employee cost", "staff cost", "salary expense"), True),
     Metric("finance_costs", ("finance costs", "interest expense", "borrowing costs"), True),
-    Metric("depreciation", ("depreciation", "depreciation and amortization expenses", "depreciation and amortisation", "depreciation and amortization", "d&a", "da"), True, given_label="Depreciation & Amortisation"),
+    Metric("depreciation", ("depreciation", "depreciation and amortization expenses", "depreciation_and_amortisation_expense", "depreciation_and_amortization_expense", "depreciation_and_amortisation", "depreciation_and_amortization", "depreciation_expense", "amortisation_expense", "amortization_expense", "depreciation_and_amortisation_expenses", "depreciation_and_amortization_expenses", "depreciation_expenses", "depreciation and amortisation", "depreciation and amortization", "d&a", "da"), True, given_label="Depreciation & Amortisation"),
     Metric("advertising", ("advertising", "marketing expense"), True, given_label="Advertising & Marketing"),
     Metric("advertisement_and_sales_promotion", ("advertisement and sales promotion", "advertising and sales promotion"), True, given_label="Advertisement & Sales Promotion"),
     Metric("total_expenses", ("total expenses",), True),
-    Metric("delivery_and_related_charges", ("delivery and related charges",), True),
+    Metric("delivery_and_related_charges", ("delivery and related charges", "delivery and related charges n4"), True),
     Metric("profit_before_tax", ("profit before tax", "profit/(loss) before tax", "pbt", "profit before taxes"), True),
     Metric("pat", ("pat", "profit after tax", "net profit", "net income", "earnings", "profit for the period", "profit for the year", "profit/(loss) for the period/year", "profit/(loss) for the period", "profit/(loss) for the year"), True, given_label="PAT"),
     Metric("tax_expense", ("tax expense", "income tax expense", "total tax expense", "tax expenses", "total tax expenses", "taxation", "tax expense for the period"), True),
-    Metric("eps_basic", ("earnings per share", "basic earnings per share", "basic eps", "basic"), True, given_label="Basic EPS"),
-    Metric("eps_diluted", ("diluted earnings per share", "diluted eps", "diluted"), True, given_label="Diluted EPS"),
+    Metric("eps_basic", ("earnings per share", "basic earnings per share", "basic eps", "basic (not annualised)", "basic"), True, given_label="Basic EPS"),
+    Metric("eps_diluted", ("diluted earnings per share", "diluted eps", "diluted (not annualised)", "diluted"), True, given_label="Diluted EPS"),
     Metric("geo_revenue_india", ("india",), True, given_label="India Revenue"),
     Metric("geo_revenue_rest_of_world", ("rest of the world",), True, given_label="Rest of World Revenue"),
     Metric("pat_attributable_to_owners", ("owners of the group",), True, given_label="PAT Attributable to Owners of the Group"),
@@ -65,13 +68,76 @@ QUERYABLE = [
     Metric("gross_profit", ("gross profit",), True, True),
     Metric("operating_expenses", ("operating expenses",), True, True),
 ]
-# Metrics that are only stored, by name; their aliases follow from the names.
-STORED = "gmv gov cost_of_materials_consumed changes_in_inventories other_expenses share_based_payment_expense ebit operating_profit profit_before_exceptional_items share_of_profit_of_associate current_tax deferred_tax cash operating_cash_flow inventory receivables payables total_assets total_liabilities equity other_equity net_gain_on_investments liabilities_written_back orders mtu mau active_users segment_revenue_watches segment_revenue_jewellery segment_revenue_eyecare segment_revenue_others segment_unallocated".split()
-STORED_ALIASES = {"profit_before_exceptional_items": ("profit before exceptional items and tax", "profit/(loss) before exceptional items and tax"), "cash": ("cash and cash equivalents",), "equity": ("total equity",), "receivables": ("trade receivables",), "payables": ("trade payables",), "segment_revenue_watches": ("watches",), "segment_revenue_jewellery": ("jewellery",), "segment_revenue_eyecare": ("eyecare",), "segment_revenue_others": ("others",)}
-# Derived metrics that no filing states, and how they would be computed.
+# Metrics that are only stored, by name, with their aliases; another alias follows from each name.
+STORED = {
+    "gmv": ("gmv", "gross merchandise value"),
+    "gov": ("gov", "gross order value"),
+    "cost_of_materials_consumed": ("cost of materials consumed", "raw material consumed", "cost of materials and components consumed"),
+    "changes_in_inventories": ("changes in inventories",),
+    "other_expenses": ("other expenses",),
+    "share_based_payment_expense": ("share-based payment expense", "share based payment expense"),
+    "ebit": ("ebit",),
+    "operating_profit": ("operating profit",),
+    "profit_before_exceptional_items": ("profit before exceptional items and tax", "profit before share of profit of an associate and a joint venture exceptional items and tax", "profit/(loss) before share of profit/(loss) of associates/joint ventures exceptional items and tax", "profit/(loss) before exceptional items and tax", "profit before exceptional items"),
+    "share_of_profit_of_associate": ("share of profit/(loss) of an associate and a joint", "share in (profit)/loss of associate/joint venture", "~ associate•"),
+    "current_tax": ("current tax", "current lax"),
+    "deferred_tax": ("deferred tax", "deferred rnx"),
+    "cash": ("cash", "cash and cash equivalents"),
+    "operating_cash_flow": ("operating cash flow",),
+    "inventory": ("inventory",),
+    "receivables": ("trade receivables",),
+    "payables": ("trade payables",),
+    "total_assets": ("total assets",),
+    "total_liabilities": ("total liabilities",),
+    "equity": ("equity", "total equity"),
+    "other_equity": ("other equity",),
+    "net_gain_on_investments": ("net gain on mutual fund units", "net gain on mutual funds"),
+    "liabilities_written_back": ("liabilities written back",),
+    "orders": ("orders",),
+    "mtu": ("mtu",),
+    "mau": ("mau",),
+    "active_users": ("active users",),
+    "impairment_of_loans_and_investments_in_associates": ("impairment of loans/investment in associates", "impairment of loans / investment in associates", "impairment of loans/investments in associates", "impairment of loans / investments in associates", "provision for impairment of loans/investments in subsidiary/associate", "provision for impairment ofloans/investments in subsidiary/associate", "provision for impainnent ofloans/investments in subsidiary/associate"),
+    "segment_revenue_watches": ("watches",),
+    "segment_revenue_jewellery": ("jewellery",),
+    "segment_revenue_eyecare": ("eyecare",),
+    "segment_revenue_others": ("others",),
+    "segment_unallocated": ("corporate (unallocated)", "corporate unallocated"),
+    "oci_tax_on_remeasurement": ("income-tax on (i) above", "income-tax on (i) above*", "income-tax on (i) above•"),
+    "oci_tax_on_fx_translation": ("income-tax on (ii) above", "income-tax on (ii) above•"),
+    "oci_remeasurement_defined_benefit": ("remeasurements of the defined benefit plans", "remeasurements of the defined benetit plans", "remeasuremcnls of the defined benefit plans 0 0", "-remeasurement of employee defined benefit plan", "remeasurement of employee defined benefit plan", "remeasurement of employee defined benefit plans"),
+    "oci_fx_translation": ("exchange differences on translation of foreign operations", "exchange differences on trnnslation of foreign operations 8 2", "exchange differences on lranslation of foreign operations 0 5 i", "-exchange differences in translating the financial statements of foreign", "exchange differences in translating the financial statements of foreign"),
+    "ppe_disposal_gain_loss": ("(profit)/ loss on sale of property, plant and equipment (net)",),
+}
+# Metrics that no filing states, their aliases, and how they would be computed.
+DERIVED = {"adjusted_ebitda": ("adjusted ebitda",), "gross_margin": ("gross margin",), "ebitda_margin": ("ebitda margin",), "pat_margin": ("pat margin",), "fcf": ("free cash flow",)}
 FORMULAS = {"ebitda": "operating_profit + depreciation", "gross_profit": "revenue - cost_of_materials_consumed", "operating_expenses": "total_expenses - finance_costs - depreciation", "gross_margin": "gross_profit / revenue * 100", "ebitda_margin": "ebitda / revenue * 100", "pat_margin": "pat / revenue * 100", "fcf": "operating_cash_flow - capex"}
-
-METRICS = [*QUERYABLE, *(Metric(n, STORED_ALIASES.get(n, ())) for n in STORED), *(Metric(n, derived=True) for n in ("adjusted_ebitda", "gross_margin", "ebitda_margin", "pat_margin", "fcf"))]
+# What questions call a metric, and what it is not to be taken for.
+SAID = {
+    "revenue": "revenue from operations, top line, turnover",
+    "other_operating_revenue": "other operating revenue, secondary revenue line",
+    "total_income": "total income, revenue plus other income",
+    "other_income": "other income, non-operating income",
+    "employee_benefits_expense": "employee benefits, staff costs, people costs, salaries",
+    "finance_costs": "finance costs, interest expense, borrowing costs",
+    "depreciation": "depreciation, amortisation, D&A",
+    "advertising": "advertising, ad spend, marketing, sales promotion",
+    "total_expenses": "total expenses, total costs, operating costs",
+    "delivery_and_related_charges": "delivery charges, logistics costs, fulfillment costs",
+    "profit_before_tax": "profit before tax, PBT (BEFORE tax is deducted — do NOT confuse with PAT)",
+    "pat": "profit after tax, net profit, bottom line, PAT (AFTER tax is deducted)",
+    "tax_expense": "tax expense, income tax expense, total tax",
+    "eps_basic": "basic earnings per share, basic eps",
+    "eps_diluted": "diluted earnings per share, diluted eps",
+    "exceptional_items": "exceptional items, one-off items",
+}
+WARNINGS = {
+    "other_operating_revenue": "Distinct from 'revenue' — this is a SEPARATE sub-line some companies report alongside main revenue.",
+    "other_income": "'other income' maps here — NOT to total_income.",
+    "profit_before_tax": "PBT and PAT are DIFFERENT numbers; PBT is measured BEFORE tax is subtracted, PAT is AFTER.",
+}
+
+METRICS = [replace(m, said=SAID.get(m.name, ""), warning=WARNINGS.get(m.name, "")) for m in (*QUERYABLE, *(Metric(n, a) for n, a in STORED.items()), *(Metric(n, a, derived=True) for n, a in DERIVED.items()))]
 
 # Companies with the names that filings and questions use for them.
 COMPANIES = [
@@ -96,6 +162,26 @@ def alias_rows(metrics: list[Metric] = METRICS, queryable_only: bool = False) ->
     return [(a, n, i) for i, (a, n) in enumerate(pairs.items())]
 
 
+def prompt_lines(metrics: list[Metric] = METRICS) -> list[str]:
+    """One line for each metric that a query may ask for and that filings state, for whoever turns questions into queries."""
+    return [f'  "{m.name}" — also called: {m.said}' for m in metrics if m.queryable and not m.derived]
+
+
+def prompt_warnings(metrics: list[Metric] = METRICS) -> list[str]:
+    return [f'- {m.label} ("{m.name}"): {m.warning}' for m in metrics if m.queryable and m.warning]
+
+
+def not_yet_derivable(metrics: list[Metric] = METRICS) -> list[str]:
+    """Metrics that queries may name but that nothing computes yet."""
+    return [m.name for m in metrics if m.queryable and m.derived]
+
+
+def views(spark: SparkSession, metrics: list[Metric] = METRICS) -> DataFrame:
+    """metric, label, queryable, derived, n_aliases: the registry as a relation."""
+    rows = [(m.name, m.label, m.queryable, m.derived, len(m.names)) for m in metrics]
+    return spark.createDataFrame(rows, "metric string, label string, queryable boolean, derived boolean, n_aliases int")
+
+
 def aliases(spark: SparkSession, metrics: list[Metric] = METRICS) -> DataFrame:
     return spark.createDataFrame(alias_rows(metrics), "alias string, metric string, ord int")
 

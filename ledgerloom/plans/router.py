@@ -73,5 +73,10 @@ def cross_examine(hits: DataFrame, verified: DataFrame) -> tuple[DataFrame, Data
 
     A question without a verified row keeps its chunks and gets no flags.
     """
-    rows = hits.join(verified, "query_id", "left")
+    rows = both_sides(hits, verified).where("chunk_id is not null")
     return magnitude_flags(rows), direction_flags(rows.where("yoy_pct is not null"))
+
+
+def both_sides(hits: DataFrame, verified: DataFrame) -> DataFrame:
+    """Retrieved chunks and verified rows of each question: either side may be absent, and then its columns are null."""
+    return hits.join(verified, "query_id", "full")

@@ -45,7 +45,9 @@ def scan(files: DataFrame, reader: Reader = plumber) -> DataFrame:
             for digest, content in zip(files_["digest"], files_["content"], strict=True):
                 try:
                     found = reader(bytes(content))
-                except (ValueError, OSError):
+                except (ImportError, MemoryError):  # no fault of the file
+                    raise
+                except Exception:  # readers have errors of their own for broken files
                     found = []
                 yield pd.DataFrame([(digest, i + 1, p.text, p.ruled, [dict(zip(("text", "x0", "x1", "top"), w, strict=True)) for w in p.words]) for i, p in enumerate(found)], columns=["doc", "page", "content", "ruled", "words"])
 

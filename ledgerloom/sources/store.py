@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.latest import outcomes, upsert
@@ -12,9 +13,14 @@ from ..operators.latest import outcomes, upsert
 LARGEST, KEPT_TEXT = 50 * 1024 * 1024, 500
 
 
+def acceptable(name: Column, length: Column) -> Column:
+    """May a file be taken in?  A PDF file by name, not empty and within the size limit."""
+    return F.lower(name).endswith(".pdf") & (length > 0) & (length <= LARGEST)
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """path, length, digest, content of files up to the size limit."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).where(F.col("length") <= LARGEST)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).where(acceptable(F.col("path"), F.col("length")))
     return rows.select("path", "length", F.sha2("content", 256).alias("digest"), "content")
 
 
@@ -22,6 +28,11 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Scored results as JSON, one object a line."""
+    results.write.mode("overwrite").json(path)
+
+
 def section_digest(digest: Column, financial_type: Column) -> Column:
     return F.concat_ws("_", digest, financial_type)
 
@@ -37,6 +48,37 @@ def write_facts(existing: DataFrame, incoming: DataFrame, path: str) -> DataFram
     return told.where("new").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def merge_facts(incoming: DataFrame, path: str) -> DataFrame:
+    """Merge a batch into the stored versions at ``path`` and return the outcomes' counts.
+
+    Only the partitions (tenant and year) that the batch touches are read and rewritten; the others
+    stay as they are.  Running the same batch again changes nothing.
+    """
+    spark = incoming.sparkSession
+    incoming = incoming.select(*(c for c in incoming.columns if c not in ("tenant_id", "fiscal_year")), "tenant_id", "fiscal_year")
+    touched = F.broadcast(incoming.select("tenant_id", "fiscal_year").distinct())
+    try:
+        stored = spark.read.schema(incoming.withColumn("is_latest", F.lit(True)).schema).parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        stored = spark.createDataFrame([], incoming.withColumn("is_latest", F.lit(True)).schema)
+    held = stored.select(incoming.columns).join(touched, ["tenant_id", "fiscal_year"], "left_semi").select(incoming.columns)
+    told = outcomes(held.withColumn("new", F.lit(False)).unionByName(incoming.withColumn("new", F.lit(True)))).where("new")
+    counts = spark.createDataFrame(told.groupBy("outcome").agg(F.count("*").alias("n")).collect(), "outcome string, n bigint")
+    upsert(held, incoming).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "fiscal_year").parquet(path)
+    return counts
+
+
+def verify_facts(facts: DataFrame, company: str, fiscal_year: int, financial_type: str) -> DataFrame:
+    """Latest facts of a company, year and type in the order of metrics, to be held against what was expected."""
+    rows = facts.where(F.col("is_latest") & (F.col("company") == company) & (F.col("fiscal_year") == fiscal_year) & (F.col("financial_type") == financial_type))
+    return rows.select("metric", "value", *(c for c in ("unit", "quarter", "filing_date") if c in rows.columns)).orderBy("metric", "quarter")
+
+
+def user_by_email(users: DataFrame, email: str) -> DataFrame:
+    """The user who signs in, before any tenant is known."""
+    return users.where(F.col("email") == email).select("user_id", "tenant_id", "role", "password_hash")
+
+
 def read_facts(spark: SparkSession, path: str, tenant: str | None) -> DataFrame:
     """A tenant's latest facts: the partition filter prunes other tenants' files."""
     return spark.read.parquet(path).where((F.col("tenant_id") == F.lit(tenant).cast("string")) & F.col("is_latest"))
@@ -50,9 +92,12 @@ def read_sql(spark: SparkSession, sql: str, facts: DataFrame, **args) -> DataFra
 
 
 def upsert_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Chunks by id, a later one in place of an earlier: ids follow from content, so replays add nothing."""
+    """Chunks by id, a later one in place of an earlier: ids follow from content, so replays add nothing.
+
+    Rows of one batch that share an id are alike but for errors; then the least counts, whatever their order.
+    """
     rows = existing.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    w = Window.partitionBy("chunk_id").orderBy(F.desc("__new"))
+    w = Window.partitionBy("chunk_id").orderBy(F.desc("__new"), *(c for c, kind in existing.dtypes if c != "chunk_id" and not kind.startswith("map")))
     return rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth", "__new")
 
 
@@ -62,7 +107,7 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def register_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming documents with the id of an earlier registration of the same digest, if any."""
-    known = existing.select("digest", F.col("doc_id").alias("known_id"))
+    known = existing.groupBy("digest").agg(F.min("doc_id").alias("known_id"))  # one id even where a digest was stored twice
     return incoming.join(known, "digest", "left").withColumn("doc_id", F.coalesce("known_id", "doc_id")).drop("known_id")
 
 
@@ -86,3 +131,8 @@ def embeddings_of_size(vectors: DataFrame, dim: int) -> DataFrame:
 
 def collection_size(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"))
+
+
+def collection_info(chunks: DataFrame) -> DataFrame:
+    """n_chunks and the chunk of the least id as a sample: one pass."""
+    return chunks.agg(F.count("*").alias("n_chunks"), F.min_by(F.struct(*chunks.columns), "chunk_id").alias("sample"))

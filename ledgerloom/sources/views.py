@@ -20,11 +20,19 @@ select c_mktsegment as company,
   l_linestatus as line_status, l_returnflag as return_flag
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey""",
     "v_sums": """
-select company, financial_type, fiscal_year, case when grouping(quarter) = 1 then null else quarter end as quarter,
-  cast(sum(ext * (1 - disc)) as decimal(28, 6)) as revenue, cast(sum(ext * (1 - disc) * tax) as decimal(28, 6)) as other_income,
-  cast(sum(ext * disc) as decimal(28, 6)) as finance_costs, cast(sum(ext) as decimal(28, 6)) as gross
-from (select 'consolidated' as financial_type, l.* from v_lines l union all select 'standalone' as financial_type, l.* from v_lines l where line_status = 'F') x
-group by grouping sets ((company, financial_type, fiscal_year), (company, financial_type, fiscal_year, quarter))""",
+select company, financial_type, fiscal_year, quarter,
+  case financial_type when 'consolidated' then all_revenue else some_revenue end as revenue,
+  case financial_type when 'consolidated' then all_other else some_other end as other_income,
+  case financial_type when 'consolidated' then all_costs else some_costs end as finance_costs,
+  case financial_type when 'consolidated' then all_gross else some_gross end as gross
+from (select company, fiscal_year, case when grouping(quarter) = 1 then null else quarter end as quarter,
+    cast(sum(ext * (1 - disc)) as decimal(28, 6)) as all_revenue, cast(sum(case when line_status = 'F' then ext * (1 - disc) end) as decimal(28, 6)) as some_revenue,
+    cast(sum(ext * (1 - disc) * tax) as decimal(28, 6)) as all_other, cast(sum(case when line_status = 'F' then ext * (1 - disc) * tax end) as decimal(28, 6)) as some_other,
+    cast(sum(ext * disc) as decimal(28, 6)) as all_costs, cast(sum(case when line_status = 'F' then ext * disc end) as decimal(28, 6)) as some_costs,
+    cast(sum(ext) as decimal(28, 6)) as all_gross, cast(sum(case when line_status = 'F' then ext end) as decimal(28, 6)) as some_gross
+  from v_lines group by grouping sets ((company, fiscal_year), (company, fiscal_year, quarter))) x
+cross join (values ('consolidated'), ('standalone')) as k(financial_type)
+where financial_type = 'consolidated' or some_gross is not null""",
     "v_wide": """
 select company, financial_type, fiscal_year, quarter, revenue, other_income, finance_costs,
   cast(revenue + other_income as decimal(28, 6)) as total_income,
@@ -35,11 +43,12 @@ select w.*, cast(total_income - total_expenses as decimal(28, 6)) as profit_befo
   cast(cast(total_income - total_expenses as decimal(28, 6)) * cast(0.25 as decimal(4, 2)) as decimal(28, 6)) as tax_expense
 from v_wide w""",
     "v_facts": """
-select 't' || cast(length(company) % 2 as varchar(4)) as tenant_id, company, financial_type, fiscal_year, quarter, metric,
-  case metric when 'revenue' then revenue when 'other_income' then other_income when 'finance_costs' then finance_costs
+select tenant_id, company, financial_type, fiscal_year, quarter, metric,
+  cast(times * case metric when 'revenue' then revenue when 'other_income' then other_income when 'finance_costs' then finance_costs
     when 'total_income' then total_income when 'total_expenses' then total_expenses when 'profit_before_tax' then profit_before_tax
-    when 'tax_expense' then tax_expense else cast(profit_before_tax - tax_expense as decimal(28, 6)) end as value
-from v_full cross join (values ('revenue'), ('other_income'), ('finance_costs'), ('total_income'), ('total_expenses'), ('profit_before_tax'), ('tax_expense'), ('pat')) as m(metric)""",
+    when 'tax_expense' then tax_expense else cast(profit_before_tax - tax_expense as decimal(28, 6)) end as decimal(28, 6)) as value
+from v_full cross join (values ('revenue'), ('other_income'), ('finance_costs'), ('total_income'), ('total_expenses'), ('profit_before_tax'), ('tax_expense'), ('pat')) as m(metric)
+cross join (values ('t0', 1), ('t1', 3)) as o(tenant_id, times)""",
     "v_broken": """
 select tenant_id, company, financial_type, fiscal_year, quarter, metric,
   case when metric = 'total_income' and quarter = 'Q3' then cast(value * cast(1.02 as decimal(4, 2)) as decimal(28, 6)) when metric = 'tax_expense' and quarter = 'Q1' then null else value end as value
@@ -70,7 +79,7 @@ from documents""",
 select company || '-' || cast(fiscal_year as varchar(8)) as chunk_id, company, fiscal_year, cast(value as double) as verified,
   'Revenue ' || case when fiscal_year % 2 = 0 then 'grew' when fiscal_year % 5 = 0 then 'rose but later fell' else 'declined' end || ' to approximately Rs. '
     || cast(cast(floor(value * (100 + 4 * (fiscal_year % 7)) / 100) as bigint) as varchar(24)) || ' crore' || case when fiscal_year % 3 = 0 then ' from 1,250.5 cr' else '' end as text
-from v_facts where metric = 'revenue' and quarter is null and financial_type = 'consolidated'""",
+from v_facts where tenant_id = 't0' and metric = 'revenue' and quarter is null and financial_type = 'consolidated'""",
     "v_pages": """
 select cast(floor(page_id / 25) as bigint) as doc, cast(page_id % 25 + 1 as int) as page,
   case when page_id % 25 in (4, 14) then 'Audit of the ' || case when page_id % 25 = 4 then 'standalone' else 'consolidated' end || ' results. Independent auditor''s report. Total income'
@@ -109,10 +118,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a lazy DataFrame; only the tables that it reads are opened."""
+    """A view as a lazy DataFrame; only the tables that it reads are opened, under names of their own.
+
+    Tables are named by common table expressions of the query itself, so no view of the session is
+    made or replaced.
+    """
     sql = with_sql(name)
     used = [t for t in TABLES if f" {t}" in sql.replace("\n", " ")]
-    frames = {t: table(spark, sf_dir, t) for t in used}
-    for t, df in frames.items():
-        df.createOrReplaceTempView(t)
-    return spark.sql(sql + f"select * from {name}")
+    tables = ",\n".join(f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in used)
+    return spark.sql(sql.replace("with ", f"with {tables},\n", 1) + f"select * from {name}" if used else sql + f"select * from {name}")

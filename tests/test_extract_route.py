@@ -95,3 +95,45 @@ def test_vectors_hold_words_far_into_a_text(spark, tmp_path):
     spark.createDataFrame([(1, long), (2, long + "other " * 200)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["embedding"] for r in catalog.queries()["hashed_vectors"](spark, str(tmp_path)).collect()}
     assert got[1] != got[2]
+
+
+def test_one_bad_document_does_not_stop_the_others(spark, tmp_path):
+    from ledgerloom.sources import store
+
+    rows = []
+    for doc, total in ((1, "105"), (2, "150")):
+        n = 0
+        for top, label, a, b in ((50, "", "31.03.2026", "31.03.2025"), (70, "Revenue", "100", "90"), (80, "Other income", "5", "4"), (90, "Total income", total, "94")):
+            for text, x in ((label, 30.0), (a, 100.0), (b, 200.0)):
+                if text:
+                    rows.append((doc, 1, n, text, x - 20, x, float(top)))
+                    n += 1
+    words = spark.createDataFrame(rows, "doc int, page int, ord int, text string, x0 double, x1 double, top double")
+    raw = spark.createDataFrame([(d, p, t, k) for d in (1, 2) for p, t, k in ((1, "Consolidated balance sheet. Particulars", "table"), (2, "plain words " * 30, "text"))], "doc int, page int, content string, kind string")
+    docs = spark.createDataFrame([(1, "t", "A", "2026-05-01"), (2, "u", "A", "2026-05-01")], "doc int, tenant_id string, company string, filed string").withColumn("filing_date", F.to_date("filed")).drop("filed")
+    path = str(tmp_path / "facts")
+    counts, chunks = ingest.ingest(raw, words, docs, path, 1)
+    assert {r["outcome"]: r["n"] for r in counts.collect()} == {"inserted": 6, "errors": 6}
+    assert [(r["doc_id"], r["tenant_id"], r["section"], r["is_latest"], r["page_number"]) for r in chunks.collect()] == [("1_consolidated", "t", "General", True, 2)]
+    again, _ = ingest.ingest(raw, words, docs, path, 2)
+    assert {r["outcome"]: r["n"] for r in again.collect()} == {"skipped": 6, "errors": 6}
+    stored = store.read_facts(spark, path, "t")
+    assert stored.count() == 6 and store.read_facts(spark, path, "u").count() == 0
+    assert [r["metric"] for r in store.verify_facts(stored, "A", 2026, "consolidated").collect()] == ["other_income", "revenue", "total_income"]
+
+
+def test_a_merge_leaves_other_partitions_alone(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from ledgerloom.sources import store
+
+    schema = "tenant_id string, company string, metric string, fiscal_year int, financial_type string, quarter string, doc_id string, filing_date date, seq int, value double"
+    row = lambda year, doc, day, seq: ("t", "A", "revenue", year, "consolidated", None, doc, dt.date(2024, 1, day), seq, float(seq))
+    path = str(tmp_path / "facts")
+    store.merge_facts(spark.createDataFrame([row(2024, "a", 5, 1), row(2023, "a", 5, 1)], schema), path)
+    before = sorted(os.listdir(f"{path}/tenant_id=t/fiscal_year=2023"))
+    told = store.merge_facts(spark.createDataFrame([row(2024, "b", 9, 2)], schema), path)
+    assert {r["outcome"]: r["n"] for r in told.collect()} == {"restated": 1}
+    assert sorted(os.listdir(f"{path}/tenant_id=t/fiscal_year=2023")) == before
+    assert {(r["fiscal_year"], r["doc_id"]) for r in store.read_facts(spark, path, "t").collect()} == {(2024, "b"), (2023, "a")}
