@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TOP_RETRIEVED, TOP_RANKED, RRF_K, K1, B = 20, 5, 60, 1.2, 0.75
+#: Queries of a block that is broadcast.
+ASKED = 4096
 
 
 def visible(chunks: DataFrame, tenant: str | None, financial_type: str | None = None, company: str | None = None, fiscal_year: int | None = None, quarter: str | None = None) -> DataFrame:
@@ -34,10 +36,21 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_RETRIEVED, dim: int | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank by inner product.  ``queries`` is a bounded set: a block of questions."""
-    rows = vectors.where(F.size("embedding") == dim) if dim else vectors
-    pairs = rows.select("chunk_id", "embedding").join(F.broadcast(queries.select("query_id", F.col("embedding").alias("asked"))), F.size("embedding") == F.size("asked"))
-    return ranked(pairs.select("query_id", "chunk_id", dot(F.col("embedding"), F.col("asked")).alias("score")), k)
+    """query_id, chunk_id, score, rank by inner product.
+
+    The queries are counted and go over the vectors in blocks of about ``ASKED`` at most: one block is
+    broadcast at a time, so what is broadcast is bounded whatever their number.
+    """
+    rows = (vectors.where(F.size("embedding") == dim) if dim else vectors).select("chunk_id", "embedding")
+    asked = queries.select("query_id", F.col("embedding").alias("asked"))
+    blocks = max(1, -(-asked.count() // ASKED))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        pairs = rows.join(F.broadcast(asked if blocks == 1 else asked.where(block == i)), F.size("embedding") == F.size("asked"))
+        best = ranked(pairs.select("query_id", "chunk_id", dot(F.col("embedding"), F.col("asked")).alias("score")), k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def terms(rows: DataFrame, item: str) -> DataFrame:
@@ -49,18 +62,23 @@ def terms(rows: DataFrame, item: str) -> DataFrame:
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_RETRIEVED, use_idf: bool = True) -> DataFrame:
     """query_id, chunk_id, score, rank by BM25.
 
-    Only the terms that some query asks for are counted, so what is shuffled follows the questions'
-    words and not the corpus's vocabulary; lengths and the number of chunks cover all chunks.
+    Each chunk is split into words once: what is kept of it is its length and the terms that some
+    query asks for with their counts, so all that follows, the shuffles too, grows with the questions'
+    words and not with the corpus's vocabulary.  ``queries`` is a bounded set, like ``dense``'s blocks.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("question"), r"[^a-z0-9]+"), lambda t: t != ""))).alias("term"))
-    tokens = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda t: t != "")
-    rows = chunks.select("chunk_id", tokens.alias("tokens")).withColumn("n", F.size("tokens"))
-    n_chunks, mean = rows.agg(F.count("*")).scalar(), rows.agg(F.avg("n")).scalar()
-    found = rows.select("chunk_id", "n", F.explode("tokens").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("chunk_id", "n", "term").agg(F.count("*").alias("tf"))
+    split = lambda x: F.filter(F.split(F.lower(x), r"[^a-z0-9]+"), lambda t: t != "")
+    asked = queries.select("query_id", F.explode(F.array_distinct(split(F.col("question")))).alias("term"))
+    wanted = F.broadcast(asked.agg(F.collect_set("term").alias("wanted")))
+    rows = chunks.select("chunk_id", split(F.col("text")).alias("tokens")).crossJoin(wanted)
+    hits = F.filter("tokens", lambda t: F.array_contains("wanted", t))
+    rows = rows.select("chunk_id", F.greatest(F.size("tokens"), F.lit(0)).alias("n"), F.coalesce(hits, F.array().cast("array<string>")).alias("hits"))
+    rows = rows.select("chunk_id", "n", F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf"))).alias("hits")).persist()
+    totals = F.broadcast(rows.agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean")))
+    found = rows.select("chunk_id", "n", F.inline("hits"))
     spread = found.groupBy("term").agg(F.count("*").alias("df"))
-    scored = found.join(F.broadcast(spread), "term").join(F.broadcast(asked), "term")
-    idf = F.log(1 + (n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5)) if use_idf else F.lit(1.0)
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
+    scored = found.join(F.broadcast(spread), "term").join(F.broadcast(asked), "term").crossJoin(totals)
+    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if use_idf else F.lit(1.0)
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     return ranked(scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * weight), 6).alias("score")), k)
 
 

@@ -74,7 +74,7 @@ def prompt_block(hits: DataFrame) -> DataFrame:
 
 def sources_block(hits: DataFrame) -> DataFrame:
     """query_id, block, n_sources: the sources of an answer as its readers see them, and how many distinct chunks they are."""
-    line = F.concat(F.lit("  ["), F.col("rank").cast("string"), F.lit("] "), F.col("company"), F.lit(" "), F.col("fiscal_year").cast("string"), F.lit(" ("), F.col("financial_type"), F.lit(") — page "), F.col("page_number").cast("string"), F.lit(", filed "), F.col("filing_date").cast("string"), F.lit(" (relevance score: "), F.format_number("score", "0.00"), F.lit(")"))
+    line = F.concat(F.lit("  ["), F.col("rank").cast("string"), F.lit("] "), F.col("company"), F.lit(" "), F.col("fiscal_year").cast("string"), F.lit(" ("), F.col("financial_type"), F.lit(") — page "), F.col("page_number").cast("string"), F.lit(", filed "), F.col("filing_date").cast("string"), F.lit(" (relevance score: "), F.format_number("score", 2), F.lit(")"))
     rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"), F.count_distinct("chunk_id").alias("n_sources"))
     return rows.select("query_id", F.concat(F.lit("\n\nSources:\n"), F.array_join(F.col("x.line"), "\n")).alias("block"), "n_sources")
 
