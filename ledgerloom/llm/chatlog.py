@@ -15,7 +15,9 @@ doubled, so no text holds a control string and the texts can be read back.
 Defined results: a null text is empty; a null role is the empty role; a null kind is ``message``;
 events without a conversation form one of their own (null conv_id); a message none of whose events
 carries text is an empty turn; deleted messages leave no turn; ties in sequence fold in the order
-of kind, then text.
+of kind, then text, so a whole message that the log repeats counts once, while a repeated delta is
+appended again; other columns play no part; an empty log gives no conversations.  A conversation of
+any length is rendered whole, in one row, as its output is one text.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ of its words' vectors and shapes with its share of repeats and its length.  A tw
 numpy classifies it; a temperature fitted on rows that the network did not train on calibrates its
 probabilities.
 
-The sample is bounded (``TRAIN_ROWS`` documents of at most ``TRAIN_CHARS`` characters each), and so
-is the vocabulary (``WORDS``).  Every whole text is scored, in one narrow pass.
+The sample is bounded (``TRAIN_ROWS`` documents, whole), and its words are the vocabulary: all that
+two of its texts hold.  Every whole text is scored, in one narrow pass.
 
 Defined results: a null text is empty; an empty text has zero vectors and gets the network's score
 for that; without labels of both kinds every score is the labelled share of ones (0.5 without any
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches
 from .labelled import held_out, training_rows
 
-#: Bounds of the sample and of the vocabulary; sizes of the vectors, of the shape table and of the hidden layer.
-TRAIN_ROWS, TRAIN_CHARS, WORDS = 4_000, 100_000, 20_000
+#: Bound of the sample; sizes of the vectors, of the shape table and of the hidden layer.
+TRAIN_ROWS = 4_000
 SIZE, SHAPES, HIDDEN, REACH = 64, 4096, 32, 2
 SEEN_WORDS = 400_000
 
@@ -38,7 +38,7 @@ _UPPER, _LOWER, _NUMBER, _SAME = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[
 
 def shape(word: str) -> str:
     """Runs of capitals, other letters, digits; signs stand for themselves; repeats once."""
-    word = _NUMBER.sub("0", _LOWER.sub("a", _UPPER.sub("A", word[:64])))
+    word = _NUMBER.sub("0", _LOWER.sub("a", _UPPER.sub("A", word)))
     return _SAME.sub(r"\1", word)
 
 
@@ -94,7 +94,7 @@ def learn_vectors(texts: list[str]) -> Vectors:
     """Random indexing over the sample: each word gathers the index vectors of its neighbours."""
     split = [t.split() for t in texts]
     spread = Counter(w for ws in split for w in set(ws))
-    words = {w: i for i, (w, n) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:WORDS]) if n >= 2}
+    words = {w: i for i, (w, n) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))) if n >= 2}
     keys = [*words, "\0rare"]
     own, (places, signs) = index_vectors(keys), index_places(keys)
     around, seen = np.zeros(own.size), np.ones(len(own), np.float32)
@@ -158,7 +158,7 @@ class Network:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Vectors, Network]:
     """Learn from at most ``TRAIN_ROWS`` labelled documents; they are the only rows that reach the driver."""
-    rows = training_rows(docs, labels, "quality", TRAIN_ROWS).where(F.length("text") <= TRAIN_CHARS).collect()
+    rows = training_rows(docs, labels, "quality", TRAIN_ROWS).collect()
     rows.sort()
     texts, y = [r["text"] for r in rows], np.array([r["label"] for r in rows], float)
     vectors = learn_vectors(texts)

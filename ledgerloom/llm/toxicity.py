@@ -7,8 +7,8 @@ determinised as text is read, so a word costs one table look-up a character.  Ea
 by the words around it: a hit inside quotation marks or after a word of reporting counts little,
 one after a word of address more.  A logistic function of the weighed hits gives the score.
 
-The sample that is learned from is bounded (``TRAIN_ROWS``); terms are at most ``TERMS``.  Every
-whole text is scored, in one narrow pass.
+The sample that is learned from is bounded (``TRAIN_ROWS``), so its terms are too.  Every whole text
+is scored, in one narrow pass.
 
 Defined results: a null text is empty; an empty text gets the score of a text without hits;
 without a usable label of each kind the weights keep their starting values; repeated rows are
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches
 from .labelled import held_out, training_rows
 
-#: Labelled documents to learn from, terms to keep, unlike toxic documents and log odds that a term needs.
-TRAIN_ROWS, TERMS, SUPPORT, LOG_ODDS = 8_000, 2_000, 4, 3.0
+#: Labelled documents to learn from, unlike toxic documents and log odds that a term needs.
+TRAIN_ROWS, SUPPORT, LOG_ODDS = 8_000, 4, 3.0
 #: Words around a hit that say how it is meant; weights of hits in quotation, after address, misspelled.
 AROUND, QUOTED, ADDRESSED, MISSPELLED = 5, 0.15, 1.25, 0.8
 #: Words a Python worker remembers, and automaton states it keeps.
@@ -178,7 +178,7 @@ class Reader:
 
 def learn_terms(train: DataFrame) -> list[str]:
     """Words far likelier in toxic texts, by log odds over documents."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,40})"), F.lit(1)))
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))), lambda w: F.rlike(w, F.lit(r"^\p{L}{3,}$")))
     rows = train.select("label", words.alias("words")).withColumn("kin", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
     sizes = {int(r[0]): r[1] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -189,7 +189,7 @@ def learn_terms(train: DataFrame) -> list[str]:
     counts = by_kin.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) * (clean + 1) / ((F.col("c") + 0.5) * (toxic + 1)))
     found = counts.where(F.col("t") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS)
-    return [r["word"] for r in found.orderBy(F.desc(F.col("odds") * F.log1p("t")), "word").limit(TERMS).collect()]
+    return [r["word"] for r in found.orderBy(F.desc(F.col("odds") * F.log1p("t")), "word").collect()]
 
 
 def _hits_of(rows: DataFrame, keep: list[str], terms: list[str]) -> DataFrame:

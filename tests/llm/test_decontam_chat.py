@@ -104,3 +104,23 @@ def test_conversation_query(spark, sf):
     for conv in {r["conv_id"] for r in source}:
         own = [r for r in source if r["conv_id"] == conv]
         assert rows[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r['role']}\n{r['text']}\n" for r in own).encode()).hexdigest()
+
+
+def test_odd_logs(spark):
+    from pyspark.sql import Row
+
+    turns, loss = told(spark, (None, 0, 1, "message", "user", "a"), (None, 1, 2, "message", "assistant", "b"), (3, 0, 1, "message", "user", "x"), (3, 0, 1, "message", "user", "x"))
+    assert turns[None] == [("user", "a"), ("assistant", "b")] and loss[None] == "b"
+    assert turns[3] == [("user", "x")]  # a repeated event is the same message again
+    events = spark.createDataFrame([(1, 0, 1, "message", "user", "hi")], "conv_id long, message int, seq int, kind string, role string, text string")
+    odd = events.withColumns({c: F.lit(9) for c in ("log", "start", "alive", "turn", "turns", "formatted", "loss")})
+    assert chatlog.parse(chatlog.render(chatlog.fold(odd))).select("turns").first() == Row(turns=[Row(role="user", text="hi")])
+    assert chatlog.render(chatlog.fold(events.limit(0))).count() == 0
+
+
+def test_long_logs(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("1L as conv_id", "cast(id div 100 as int) as message", "cast(id as int) as seq", "if(id % 100 = 0, 'message', 'delta') as kind", "if(id div 100 % 2 = 0, 'user', 'assistant') as role", "repeat('x', 200) as text")
+    got = chatlog.parse(chatlog.render(chatlog.fold(rows))).first()
+    assert len(got["turns"]) == n // 100 and all(len(t["text"]) == 100 * 200 for t in got["turns"])
+    assert len(got["loss_text"]) == n // 200 * 100 * 200
