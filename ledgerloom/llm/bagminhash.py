@@ -313,18 +313,18 @@ def longer(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(map_batches(_texts_of(nodes, docs, "mixed-texts"), make, "node binary, long array<bigint>"), "long")
 
 
-def meet(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """``rows`` joined with ``buckets``, which has one row a bucket with the number ``n`` of its nodes.
+def meet(rows: DataFrame, groups: DataFrame, key: str = "bucket") -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row a bucket, or class, with the number ``n`` of its rows.
 
-    Rows of crowded buckets stay where they are, as those few buckets' rows are broadcast to them, so
-    no bucket is dealt to one task; the others are shuffled.  What counts as crowded rises until the
-    crowded buckets are few enough.
+    Rows of crowded groups stay where they are, as those few groups' rows are broadcast to them, so
+    no group is dealt to one task; the others are shuffled.  What counts as crowded rises until the
+    crowded groups are few enough.
     """
     least = CROWDED
-    while (crowded := buckets.where(F.col("n") >= least)).count() > BROADCAST_NODES:
+    while (crowded := groups.where(F.col("n") >= least)).count() > BROADCAST_NODES:
         least *= 4
-    rest = rows.join(F.broadcast(crowded.select("bucket")), "bucket", "left_anti").join(buckets.where(F.col("n") < least), "bucket")
-    return rows.join(F.broadcast(crowded), "bucket").unionByName(rest)
+    rest = rows.join(F.broadcast(crowded.select(key)), key, "left_anti").join(groups.where(F.col("n") < least), key)
+    return rows.join(F.broadcast(crowded), key).unionByName(rest)
 
 
 def _rest(left: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -400,22 +400,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             links, classes = links.union(found), merged(classes, found)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.select("node", "first").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left")
-    names = named.groupBy("class").agg(F.min("first").alias("class_id"))
-    named = named.join(names, "class").select("node", "class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = cut(nodes.select("node", "first").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left"), "named")
+    names = cut(named.groupBy("class").agg(F.min("first").alias("class_id"), F.count("*").alias("n")), "names")
+    named = meet(named, names, "class").select("node", "class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", "node", "class")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the one that names it."""
     found = cut(near_duplicates(docs, similarity), "classes")
-    best = found.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("best"))
-    rows = found.groupBy("doc_id", "node").agg(F.first("class").alias("class"), F.count("*").alias("n"))
-    gone = rows.join(best, "class").where(~(F.struct(rows["doc_id"], rows["node"]).eqNullSafe(F.col("best"))))
+    best = cut(found.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("best"), F.count("*").alias("n")), "best")
+    rows = found.groupBy("doc_id", "node").agg(F.first("class").alias("class"), F.count("*").alias("copies"))
+    gone = meet(rows, best, "class").where(~F.struct("doc_id", "node").eqNullSafe(F.col("best")))
     gone = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")), "gone")
     few = gone.count() <= BROADCAST_NODES
     marked = docs.withColumn("__node", node_of(F.col("text")))
     kept = marked.join(F.broadcast(gone) if few else gone, marked["doc_id"].eqNullSafe(F.col("gone_id")) & (F.col("__node") == F.col("gone_node")), "left_anti")
-    if not rows.where("n > 1").isEmpty():  # rows that repeat id and text
+    if not rows.where("copies > 1").isEmpty():  # rows that repeat id and text
         kept = kept.dropDuplicates(["doc_id", "__node"])
     return kept.select(*docs.columns)
