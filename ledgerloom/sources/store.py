@@ -11,6 +11,8 @@ from ..operators.latest import outcomes, upsert
 
 #: Bytes of a file that may be ingested, characters of a query that the audit log keeps.
 LARGEST, KEPT_TEXT = 50 * 1024 * 1024, 500
+#: What facts are partitioned by; partitions of a batch that the scan of the stored facts is told by name.
+PARTITIONS, NAMED = ["tenant_id", "fiscal_year"], 1_000
 
 
 def acceptable(name: Column, length: Column) -> Column:
@@ -48,23 +50,42 @@ def write_facts(existing: DataFrame, incoming: DataFrame, path: str) -> DataFram
     return told.where("new").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def _beside(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows of ``stored`` in the partitions that ``incoming`` touches; null tenants and years are partitions too.
+
+    Up to ``NAMED`` partitions become a filter of the scan, so others are not read; the join then
+    keeps exactly those touched, however many they are.
+    """
+    parts = incoming.select(PARTITIONS).distinct()
+    named = parts.take(NAMED + 1)
+    if len(named) <= NAMED:
+        for c in PARTITIONS:
+            values = {r[c] for r in named}
+            within = F.col(c).isin([v for v in values if v is not None])
+            stored = stored.where(within | F.col(c).isNull() if None in values else within)
+    touched = parts.toDF(*(f"touched_{c}" for c in PARTITIONS))
+    tenant, year = (F.col(c).eqNullSafe(F.col(f"touched_{c}")) for c in PARTITIONS)
+    return stored.join(touched, tenant & year, "left_semi")
+
+
 def merge_facts(incoming: DataFrame, path: str) -> DataFrame:
     """Merge a batch into the stored versions at ``path`` and return the outcomes' counts.
 
     Only the partitions (tenant and year) that the batch touches are read and rewritten; the others
-    stay as they are.  Running the same batch again changes nothing.
+    stay as they are.  Running the same batch again changes nothing.  Partitions are swapped once the
+    whole batch is written, so lost executors do no harm.
     """
     spark = incoming.sparkSession
-    incoming = incoming.select(*(c for c in incoming.columns if c not in ("tenant_id", "fiscal_year")), "tenant_id", "fiscal_year")
-    touched = F.broadcast(incoming.select("tenant_id", "fiscal_year").distinct())
+    incoming = incoming.select(*(c for c in incoming.columns if c not in PARTITIONS), *PARTITIONS)
+    schema = incoming.withColumn("is_latest", F.lit(True)).schema
     try:
-        stored = spark.read.schema(incoming.withColumn("is_latest", F.lit(True)).schema).parquet(path)
+        stored = spark.read.schema(schema).parquet(path)
     except AnalysisException:  # nothing is stored yet
-        stored = spark.createDataFrame([], incoming.withColumn("is_latest", F.lit(True)).schema)
-    held = stored.select(incoming.columns).join(touched, ["tenant_id", "fiscal_year"], "left_semi").select(incoming.columns)
+        stored = spark.createDataFrame([], schema)
+    held = _beside(stored, incoming).select(incoming.columns)
     told = outcomes(held.withColumn("new", F.lit(False)).unionByName(incoming.withColumn("new", F.lit(True)))).where("new")
     counts = spark.createDataFrame(told.groupBy("outcome").agg(F.count("*").alias("n")).collect(), "outcome string, n bigint")
-    upsert(held, incoming).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "fiscal_year").parquet(path)
+    upsert(held, incoming).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     return counts
 
 

@@ -137,3 +137,37 @@ def test_a_merge_leaves_other_partitions_alone(spark, tmp_path):
     assert {r["outcome"]: r["n"] for r in told.collect()} == {"restated": 1}
     assert sorted(os.listdir(f"{path}/tenant_id=t/fiscal_year=2023")) == before
     assert {(r["fiscal_year"], r["doc_id"]) for r in store.read_facts(spark, path, "t").collect()} == {(2024, "b"), (2023, "a")}
+
+
+def test_a_merge_keeps_versions_without_tenant_or_year(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from ledgerloom.sources import store
+
+    schema = "tenant_id string, company string, metric string, fiscal_year int, financial_type string, quarter string, doc_id string, filing_date date, seq int, value double"
+    row = lambda tenant, year, doc, seq: (tenant, "A", "revenue", year, "consolidated", None, doc, dt.date(2024, 1, seq), seq, float(seq))
+    for named in (0, 1_000):  # by join alone, and with the partitions named to the scan
+        monkeypatch.setattr(store, "NAMED", named)
+        path = str(tmp_path / f"facts-{named}")
+        store.merge_facts(spark.createDataFrame([row("t", None, "a", 1), row(None, 2024, "a", 1), row("t", 2024, "a", 1)], schema), path)
+        told = store.merge_facts(spark.createDataFrame([row("t", None, "b", 2), row(None, 2024, "b", 2)], schema), path)
+        assert {r["outcome"]: r["n"] for r in told.collect()} == {"restated": 2}
+        stored = spark.read.schema(schema + ", is_latest boolean").parquet(path)
+        assert sorted((r["tenant_id"] or "", r["fiscal_year"] or 0, r["doc_id"], r["is_latest"]) for r in stored.collect()) == [
+            ("", 2024, "a", False), ("", 2024, "b", True), ("t", 0, "a", False), ("t", 0, "b", True), ("t", 2024, "a", True),
+        ]
+    assert store.merge_facts(spark.createDataFrame([], schema), path).count() == 0 and spark.read.parquet(path).count() == 5
+
+
+def test_a_merge_reads_touched_partitions_only(spark, tmp_path):
+    from ledgerloom.sources import store
+
+    path, schema = str(tmp_path / "facts"), "metric string, tenant_id string, fiscal_year int"
+    spark.createDataFrame([("m", "t", year) for year in range(2000, 2010)], schema).write.partitionBy("tenant_id", "fiscal_year").parquet(path)
+    for year in set(range(2000, 2010)) - {2003}:  # unreadable, so that reading them fails
+        for file in (tmp_path / f"facts/tenant_id=t/fiscal_year={year}").iterdir():
+            file.write_bytes(b"junk") if file.suffix == ".parquet" else file.unlink()
+    for file in (tmp_path / "facts/tenant_id=t").glob("fiscal_year=*/.*.crc"):
+        file.unlink()
+    held = store._beside(spark.read.schema(schema).parquet(path), spark.createDataFrame([("m", "t", 2003)], schema))
+    assert [r["fiscal_year"] for r in held.collect()] == [2003]
