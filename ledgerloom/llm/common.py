@@ -49,8 +49,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     """``mapInArrow`` with state built once for each task: ``make()`` returns the function of one batch.
 
     Batches have ``ROWS`` rows at most, so that executors and workers hold few texts at once: the
-    session's batch size is lowered to that, and larger batches are taken in parts.  When its task
-    ends, a worker gives freed memory back.
+    session's batch size is lowered to that, and larger batches are taken in parts.  A function with a
+    ``finish`` method gives a last batch by it.  When its task ends, a worker gives freed memory back.
     """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS:
@@ -63,6 +63,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 step = make()
             for start in range(0, max(1, batch.num_rows), ROWS):
                 yield step(batch.slice(start, ROWS))
+        if hasattr(step, "finish"):
+            yield step.finish()
         del step
         give_back()
 
