@@ -70,6 +70,7 @@ class WordBpe:
         self.words, self.restated = regex.compile(pattern), pattern == RESTATED
         self.alphabet = byte_alphabet()
         self.final = {t.removesuffix(END): i for t, i in self.vocab.items() if t.endswith(END)}
+        self.longest = max(map(len, self.final), default=0)
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(END)}
         lengths: dict[str, set[int]] = {}
         for t in self.inner:
@@ -149,9 +150,9 @@ class WordBpe:
     # -- speculation --------------------------------------------------------------------------
     def _propose(self, s: str) -> list[int]:
         """Greedy longest match over the word's characters; empty when a character has no token."""
-        final, inner, lengths, n, i, out = self.final, self.inner, self.lengths, len(s), 0, []
+        final, inner, lengths, longest, n, i, out = self.final, self.inner, self.lengths, self.longest, len(s), 0, []
         while True:
-            if (t := final.get(s[i:])) is not None:
+            if n - i <= longest and (t := final.get(s[i:])) is not None:  # no token is longer: nothing of a long word is copied
                 out.append(t)
                 return out
             for k in lengths.get(s[i : i + 3]) or lengths.get(s[i : i + 2]) or lengths.get(s[i : i + 1], ()):

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -68,3 +69,16 @@ def test_rows(spark):
     assert got == {(1, 2, hashlib.sha256(b"the</w> cat</w>").hexdigest()), (None, 0, empty), (3, 0, empty)}
     assert bpe.encode(rows, PATH).where("doc_id = 1").first()["decoded"] == "the</w> cat</w>"
     assert bpe.digests(rows.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["a", "é", "ab9x", "QUJD+/zoq"])
+def test_one_very_long_word(unit):
+    """Time follows the length of a word: one of megabytes without a space is no quadratic case."""
+    check(unit * (300_000 // len(unit)))
+
+
+def test_a_word_of_ten_megabytes():
+    began = time.time()
+    found = ids("é" * 5_000_000)
+    assert time.time() - began < 120
+    assert found == THEIRS.encode("é" * 5_000_000, add_special_tokens=False).ids
