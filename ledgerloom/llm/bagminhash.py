@@ -38,6 +38,8 @@ BANDS = REGISTERS // ROWS
 LONG_REGISTERS, DEVIATIONS = 1024, 4.77
 #: Nodes from which on a bucket is crowded: its one row is broadcast to them; nodes of a block of pairs in such a bucket.
 CROWDED, BLOCK = 256, 512
+#: Copies of a node's row at most, over which the pairs of that node are dealt.
+SALTS = 256
 #: Words whose hashes a Python worker keeps; nodes that are few enough to broadcast (16 bytes each).
 SEEN_WORDS, BROADCAST_NODES = 200_000, 500_000
 
@@ -240,11 +242,22 @@ class Bags:
         return both >= self.similarity * (p + q - both)
 
 
+def beside(pairs: DataFrame, nodes: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    """``pairs`` (a, b) with ``columns`` of the node on one side, named for it.
+
+    A head or a centre is in as many pairs as its bucket has nodes: its row is copied for the salts
+    that its pairs have (never more copies than pairs), so that no node's pairs go to one task.
+    """
+    rows = pairs.withColumn("salt", F.pmod(F.xxhash64("b" if side == "a" else "a"), F.lit(SALTS)))
+    copies = rows.select(side, "salt").distinct().join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    return rows.join(copies, [side, "salt"]).drop("salt")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b: nodes) whose texts' multisets overlap by ``similarity`` or more."""
     needed = cut(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct(), "needed")
     texts = _texts_of(needed, docs, "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = beside(beside(pairs, texts, "a", ["text"]), texts, "b", ["text"])
 
     def make():
         bags = Bags(similarity)
@@ -357,17 +370,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     ids are null or repeated.  ``docs`` needs ``doc_id`` and ``text``.
     """
     signed = cut(sign(docs), "signed")
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("planes").alias("planes"), F.first("bands").alias("bands")), "nodes")
+    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("planes").alias("planes"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = cut(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "heads")
     members = cut(meet(entries, heads), "members")
-    planes = nodes.select("node", "planes")
-
-    def with_planes(rows: DataFrame, side: str) -> DataFrame:
-        return rows.join(planes.withColumnsRenamed({"node": side, "planes": f"planes_{side}"}), side)
-
     pairs = members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = cut(with_planes(with_planes(pairs, "a"), "b").where(_close("planes_a", "planes_b", similarity)).select("a", "b"), "pairs")
+    pairs = cut(beside(beside(pairs, nodes, "a", ["planes"]), nodes, "b", ["planes"]).where(_close("planes_a", "planes_b", similarity)).select("a", "b"), "pairs")
     links = verify(pairs, docs, similarity)
     classes = components(links)
 
@@ -383,7 +391,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     tried = in_order(pairs)
     left = mixed(members.select("bucket", "node", F.col("n").alias("size")), "mixed")
     weights = left.groupBy("node").agg(F.sum("size").alias("weight"))
-    left = cut(with_planes(left.select("bucket", "node", "class", "n").join(weights, "node"), "node"), "weighed")
+    left = left.select("bucket", "node", "class", "n").join(weights, "node").join(nodes.select("node", F.col("planes").alias("planes_node")), "node")
+    left = cut(left, "weighed")
     centre = left.groupBy("bucket").agg(F.max(F.struct("weight", "node", "planes_node", "class")).alias("c"), F.first("n").alias("n"))
     centre = cut(centre.select("bucket", "n", F.col("c.node").alias("b"), F.col("c.planes_node").alias("planes_b"), F.col("c.class").alias("class_b")), "centres")
     near = meet(left.select("bucket", F.col("node").alias("a"), F.col("planes_node").alias("planes_a"), F.col("class").alias("class_a")), centre)
@@ -400,18 +409,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             links, classes = links.union(found), merged(classes, found)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = cut(nodes.select("node", "first").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left"), "named")
+    named = cut(nodes.select("node", "first", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left"), "named")
     names = cut(named.groupBy("class").agg(F.min("first").alias("class_id"), F.count("*").alias("n")), "names")
-    named = meet(named, names, "class").select("node", "class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", "node", "class")
+    named = meet(named, names, "class").select("node", "class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n"))
+    return meet(signed.select("doc_id", "node"), cut(named, "named-nodes"), "node").select("doc_id", "class_id", "n_links", "node", "class")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: the one that names it."""
+    """``docs`` with one document of each class: the one that names it; one without an id only where no other has one."""
     found = cut(near_duplicates(docs, similarity), "classes")
-    best = cut(found.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("best"), F.count("*").alias("n")), "best")
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    best = cut(found.groupBy("class").agg(F.min(ranked).alias("best"), F.count("*").alias("n")), "best")
     rows = found.groupBy("doc_id", "node").agg(F.first("class").alias("class"), F.count("*").alias("copies"))
-    gone = meet(rows, best, "class").where(~F.struct("doc_id", "node").eqNullSafe(F.col("best")))
+    gone = meet(rows, best, "class").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node"))))
     gone = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")), "gone")
     few = gone.count() <= BROADCAST_NODES
     marked = docs.withColumn("__node", node_of(F.col("text")))

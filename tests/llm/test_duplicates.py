@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import bagminhash as B
 from ledgerloom.llm import linespread as L
@@ -110,6 +111,23 @@ def test_keep_one(spark):
     assert B.keep_one(rows.limit(0)).count() == 0
 
 
+def test_an_id_goes_before_none(spark):
+    """A class with null and other ids is named by the least id, and that row stays."""
+    text = "a b c d e f g h i j k"
+    rows = spark.createDataFrame([(None, text), (7, text + "."), (None, "A" + text[1:]), (None, "some other words here")], "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in B.near_duplicates(rows).collect()} == {(None, 7), (7, 7), (None, None)}
+    assert sorted(str(r["doc_id"]) for r in B.keep_one(rows).collect()) == ["7", "None"]
+
+
+def test_pairs_of_one_node_are_dealt(spark, monkeypatch):
+    """A head in many pairs meets them over copies of its row, and no pair is lost."""
+    monkeypatch.setattr(B, "SALTS", 8)
+    pairs = spark.createDataFrame([(bytes([i % 250, i // 250]), b"h") for i in range(500)] + [(b"h", b"z")], "a binary, b binary")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("text", F.hex("node"))
+    both = B.beside(B.beside(pairs, nodes, "a", ["text"]), nodes, "b", ["text"]).collect()
+    assert len(both) == 501 and all(r["text_a"] == r["a"].hex().upper() and r["text_b"] == r["b"].hex().upper() for r in both)
+
+
 def test_unlike_texts_stay_whatever_their_ids(spark):
     rows = [(None, f"a text with its very own words{i} and number{i} and end{i}") for i in range(6)]
     rows += [(7, "one text under a repeated id here"), (7, "quite unlike the other one that has this number"), (None, rows[0][1])]
