@@ -63,3 +63,19 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     best = Window.partitionBy(*KEY).orderBy(F.desc("filing_date"), F.desc("seq"), F.desc("doc_id"))
     rows = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
     return rows.withColumn("is_latest", F.row_number().over(best) == 1)
+
+
+def history(versions: DataFrame) -> DataFrame:
+    """Versions with ``valid_from`` and ``valid_to``: from its filing until the next one's, a value is the one that counts.
+
+    Of filings of one date the last to arrive counts, and the others for no time at all; filings
+    without a date never count.
+    """
+    in_turn = Window.partitionBy(*KEY).orderBy("filing_date", "seq", "doc_id")
+    return versions.withColumn("valid_from", F.col("filing_date")).withColumn("valid_to", F.lead("filing_date").over(in_turn))
+
+
+def as_of(rows: DataFrame, date) -> DataFrame:
+    """The rows of a ``history`` that counted on a date."""
+    day = F.lit(date).cast("date")
+    return rows.where((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to"))))

@@ -70,7 +70,7 @@ def ingest(raw: DataFrame, words: DataFrame, documents: DataFrame, path: str, se
     """
     classified = classify_pages(raw)
     facts = facts_of(classified, words, documents).persist()
-    counts = store.merge_facts(filings_of(checked(facts), seq), path)
+    counts = store.commit_facts(filings_of(checked(facts), seq), path)
     bad = rejected(facts).persist()
     lost = facts.join(bad.select("tenant_id", "doc"), ["tenant_id", "doc"], "left_semi").agg(F.count("*").alias("n")).where("n > 0").select(F.lit("errors").alias("outcome"), "n")
     sound = classified.join(bad.select("doc"), "doc", "left_anti")

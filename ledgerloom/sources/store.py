@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.latest import outcomes, upsert
+from ..operators.latest import history, outcomes, upsert
+from .snapshots import Table
 
 #: Bytes of a file that may be ingested, characters of a query that the audit log keeps.
 LARGEST, KEPT_TEXT = 50 * 1024 * 1024, 500
@@ -89,6 +91,37 @@ def merge_facts(incoming: DataFrame, path: str) -> DataFrame:
     return counts
 
 
+def commit_facts(incoming: DataFrame, path: str, batch: tuple[str, int] | None = None) -> DataFrame:
+    """Merge a batch into the versions at ``path`` as one commit, and return the outcomes' counts.
+
+    As ``merge_facts``, but with many writers: none waits for another, and none's work is lost (see
+    ``snapshots``).  The batch is written down once, so whatever it costs to find is paid once, and
+    each stored version tells from when to when it counted.  A batch that was committed before
+    (writer, number) changes nothing and has no outcomes.
+    """
+    spark = incoming.sparkSession
+    folder = f"{path}/staged/{uuid.uuid4().hex}"
+    incoming.write.parquet(folder)
+    staged = spark.read.schema(incoming.schema).parquet(folder)
+    columns = incoming.columns
+    rewrite = lambda held, new: history(upsert(held.select(columns), new))
+    told_as = "outcome string, n bigint"
+    stored = history(spark.createDataFrame([], incoming.schema).withColumn("is_latest", F.lit(True))).schema
+    table = Table(spark, path, stored, PARTITIONS)
+    version, base = table.merge(staged, rewrite, batch)
+    if version == base:
+        return spark.createDataFrame([], told_as)
+    touched = set(table.touched(staged))
+    held = table.read(base, only=touched.__contains__) if base >= 0 else spark.createDataFrame([], stored)
+    told = outcomes(held.select(columns).withColumn("new", F.lit(False)).unionByName(staged.withColumn("new", F.lit(True)))).where("new")
+    return spark.createDataFrame(told.groupBy("outcome").agg(F.count("*").alias("n")).collect(), told_as)
+
+
+def facts_at(spark: SparkSession, path: str, tenant: str | None = None, version: int | None = None, at=None) -> DataFrame:
+    """Versions of facts as they stood after a commit or at a moment (now, if neither is given); a tenant opens its own folders only."""
+    return Table(spark, path).read(version, at, only=(lambda p: p[0] == tenant) if tenant is not None else None)
+
+
 def verify_facts(facts: DataFrame, company: str, fiscal_year: int, financial_type: str) -> DataFrame:
     """Latest facts of a company, year and type in the order of metrics, to be held against what was expected."""
     rows = facts.where(F.col("is_latest") & (F.col("company") == company) & (F.col("fiscal_year") == fiscal_year) & (F.col("financial_type") == financial_type))
@@ -101,7 +134,9 @@ def user_by_email(users: DataFrame, email: str) -> DataFrame:
 
 
 def read_facts(spark: SparkSession, path: str, tenant: str | None) -> DataFrame:
-    """A tenant's latest facts: the partition filter prunes other tenants' files."""
+    """A tenant's latest facts, of a folder or of a table with versions: other tenants' files are not read."""
+    if Table(spark, path, StructType()).version() >= 0:
+        return facts_at(spark, path, tenant if tenant is not None else "").where((F.col("tenant_id") == F.lit(tenant).cast("string")) & F.col("is_latest"))
     return spark.read.parquet(path).where((F.col("tenant_id") == F.lit(tenant).cast("string")) & F.col("is_latest"))
 
 
