@@ -6,6 +6,7 @@ from the same view definitions, for another engine to check.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,9 +22,10 @@ from .operators import kpi as K
 from .operators import latest as V
 from .operators import layout as Y
 from .operators import pages as P
+from .operators import postings
 from .operators import retrieval as T
 from .plans import answer, dsl, evaluation, registry, router, session
-from .sources import ingest, store
+from .sources import ingest, snapshots, store
 from .sources.views import relation, table, with_sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +57,10 @@ def _sql_list(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(told, r)) + ")" for r in rows)
 
 
+def _fresh(spark, name: str) -> str:
+    return f"{snapshots.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # -- facts -----------------------------------------------------------------------------------------
 FACTS = with_sql("v_facts")
 ONE = "quarter is null and financial_type = 'consolidated' and metric = 'revenue'"
@@ -169,6 +175,31 @@ def restatement_outcomes(spark, d):
     return V.outcomes(_filings(spark, d)).select("company", "fiscal_year", "doc_id", "outcome")
 
 
+AT_VERSION = "select company, fiscal_year, doc_id, cast(value as double) as value, {part} from f where {when} qualify row_number() over (partition by {key} order by filing_date desc, seq desc, doc_id desc) = 1"
+
+
+def _committed(spark, d) -> tuple[str, int]:
+    """The filings as a table in versions, one commit for each number that filings have; its path and the version of the second commit."""
+    rows, path = _filings(spark, d).drop("version", "filed_year", "filed_order"), _fresh(spark, "facts")
+    for number in (1, 2, 3, 4):
+        store.commit_facts(rows.where(F.col("seq") == number), path, ("filings", number))
+    return path, 1
+
+
+@query(FILINGS + AT_VERSION.format(part="cast(filing_date as date) as valid_from", when="seq <= 2", key=FILING_KEY))
+def facts_at_version(spark, d):
+    path, version = _committed(spark, d)
+    rows = store.facts_at(spark, path, "t1", version).where("is_latest")
+    return rows.select("company", "fiscal_year", "doc_id", numbers.number(F.col("value")).alias("value"), "valid_from")
+
+
+@query(FILINGS + AT_VERSION.format(part="filing_date as valid_from", when="filing_date <= date '1996-04-15'", key=FILING_KEY))
+def facts_as_of_date(spark, d):
+    path, _ = _committed(spark, d)
+    rows = V.as_of(store.facts_at(spark, path), "1996-04-15")
+    return rows.select("company", "fiscal_year", "doc_id", numbers.number(F.col("value")).alias("value"), "valid_from")
+
+
 @query(FILINGS + "select n.company, n.fiscal_year, n.doc_id from f n where n.version <= 2 and not exists (select 1 from f o where o.version = 1 and o.doc_id = n.doc_id and o.metric = n.metric and o.fiscal_year = n.fiscal_year and o.financial_type = n.financial_type and o.quarter is not distinct from n.quarter)")
 def idempotent_insert(spark, d):
     rows = _filings(spark, d)
@@ -315,6 +346,21 @@ def bm25_topk(spark, d):
     return _rounded(T.bm25(_questions(spark), _chunks(spark, d)))
 
 
+USERS = "select conv_id * 1000 + turn as query_id, string_agg(text, ' ' order by text) as question from conversations where role = 'user' and conv_id % 20 = 0 group by 1"
+INDEXED = BM25.replace(f"(values {_sql_list(ASKED)}) q(query_id, question)", f"({USERS}) q")
+
+
+@query(f"with {INDEXED} " + _ranked("select * from bm", 20))
+def indexed_topk(spark, d):
+    """What users said in every conversation with an id divisible by 20, asked of an index that took its chunks in two steps."""
+    said = table(spark, d, "conversations").where("role = 'user' and conv_id % 20 = 0")
+    asked = said.groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")).agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("question"))
+    index = postings.Index(spark, _fresh(spark, "index"))
+    for part in (0, 1):
+        index.add(_chunks(spark, d).where(F.pmod("chunk_id", F.lit(2)) == part))
+    return _rounded(index.search(asked))
+
+
 LEGS = f"dense as ({_ranked(DOT, 20)}), other as ({_ranked(DOT + ' and v.label in (1, 2)', 20)})"
 FUSED = f"{LEGS}, fused as (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from dense union all select * from other) u group by 1, 2)"
 

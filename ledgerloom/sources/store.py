@@ -172,12 +172,17 @@ def set_state(documents: DataFrame, doc_ids: DataFrame, state: str) -> DataFrame
     return documents.join(marked, "doc_id", "left").withColumn("ingestion_state", F.when(F.col("__hit"), state).otherwise(F.col("ingestion_state"))).drop("__hit")
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Append only: queries are cut to a bounded length, the parsed query goes in as JSON."""
+def audit_rows(rows: DataFrame) -> DataFrame:
+    """Audit rows as they are kept: queries are cut to a bounded length, the parsed query goes in as JSON."""
     out = rows.withColumn("query_text", F.substring("query_text", 1, KEPT_TEXT))
     if "dsl_generated" in rows.columns:
         out = out.withColumn("dsl_generated", F.to_json("dsl_generated"))
-    out.write.mode("append").parquet(path)
+    return out
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Append only."""
+    audit_rows(rows).write.mode("append").parquet(path)
 
 
 def embeddings_of_size(vectors: DataFrame, dim: int) -> DataFrame:
