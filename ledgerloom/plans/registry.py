@@ -149,6 +149,8 @@ COMPANIES = [
     Company("SWIGGY", "SWIGGY", ("swiggy", "bundl technologies", "bundl")),
     Company("TITAN", "TITAN", ("titan", "titan company", "titan company limited", "titan ltd", "titan company ltd")),
 ]
+#: Aliases that a worker's automaton holds at once.
+HELD_NAMES = 500_000
 PARENTS = {"BLINKIT": "ETERNAL", "HYPERPURE": "ETERNAL"}
 
 
@@ -203,26 +205,80 @@ def resolve_by_words(labels: DataFrame, names: DataFrame, label: str = "label")
     """``labels`` with ``metric``: the equal alias, else the alias of most words that contains the label's words or is contained in them.
 
     Ties go to the registry's order; unknown labels keep their words joined by underscores, and
-    blank ones become ``unmapped_metric``.  Distinct labels alone meet the registry (a bounded list).
+    blank ones become ``unmapped_metric``.
+
+    Every way of matching is an equi-join, so registries of any size will do.  An alias can be inside
+    a label only if the label has the alias's rarest word, and around it only if the alias has the
+    label's rarest word; words of aliases are counted for that.  What meets there is then compared whole.
     """
     from ..functions.labels import label_words
 
     known = names.select("alias", "metric", "ord", label_words(F.col("alias")).alias("alias_words"))
-    asked = labels.select(label).distinct().withColumn("words", label_words(F.col(label)))
-    within = (F.size(F.array_except("words", "alias_words")) == 0) | (F.size(F.array_except("alias_words", "words")) == 0)
+    asked = labels.select(label).distinct().withColumn("words", label_words(F.col(label))).where(F.size("words") > 0)
+    by_word = known.select("*", F.explode("alias_words").alias("word"))
+    spread = by_word.groupBy("word").agg(F.count("*").alias("spread"))
+    rarest = F.min_by("word", F.struct("spread", "word")).alias("word")
+    keyed = by_word.join(spread, "word").groupBy("alias", "metric", "ord", "alias_words").agg(rarest)
+    in_labels = asked.select("*", F.explode("words").alias("word"))
+    inside = in_labels.join(keyed, "word").where(F.size(F.array_except("alias_words", "words")) == 0)
+    sought = in_labels.join(spread, "word").groupBy(label, "words").agg(rarest, F.count("*").alias("n")).where(F.col("n") == F.size("words"))
+    around = sought.drop("n").join(by_word, "word").where(F.size(F.array_except("words", "alias_words")) == 0)
+    equal = asked.join(known, asked[label] == known["alias"])
+    columns = [label, "alias", "metric", "ord", "alias_words"]
     best = F.max_by("metric", F.struct(F.when(F.col("alias") == F.col(label), 1).otherwise(0), F.size("alias_words"), -F.col("ord"))).alias("best")
-    found = asked.join(F.broadcast(known), (F.size("words") > 0) & within, "left").groupBy(label).agg(best)
+    found = equal.select(columns).unionByName(inside.select(columns)).unionByName(around.select(columns)).groupBy(label).agg(best)
     metric = F.when(F.trim(label) == "", "unmapped_metric").otherwise(F.coalesce("best", F.replace(F.col(label), F.lit(" "), F.lit("_"))))
-    return labels.join(found.select(label, metric.alias("metric")), label, "left")
+    return labels.join(found, label, "left").withColumn("metric", metric).drop("best")
 
 
 def resolve_company(rows: DataFrame, names: DataFrame, text: str = "name") -> DataFrame:
-    """``rows`` with company and ticker: the equal alias, else the first alias inside the text, else null."""
-    key = F.lower(F.trim(text))
-    asked = rows.select(text).distinct().withColumn("key", key)
-    found = asked.join(F.broadcast(names), F.contains("key", "alias"), "left").groupBy(text)
-    first = F.struct(F.when(F.col("alias") == F.col("key"), 0).otherwise(1), "ord")
-    return rows.join(found.agg(F.min_by("company", first).alias("company"), F.min_by("ticker", first).alias("ticker")), text, "left")
+    """``rows`` with company and ticker: the equal alias, else the first alias inside the text, else null.
+
+    One automaton of all aliases reads each distinct text once.  It is built in the workers from at
+    most ``HELD_NAMES`` aliases; a larger registry is read in as many turns as it takes.
+    """
+    spark = rows.sparkSession
+    asked, turns = rows.where(F.col(text).isNotNull()).select(text).distinct().withColumn("__key", F.lower(F.trim(text))), max(1, -(-names.count() // HELD_NAMES))
+    out = None
+    for turn in range(turns):
+        some = names if turns == 1 else names.where(F.pmod(F.xxhash64("alias"), F.lit(turns)) == turn)
+        held = spark.sparkContext.broadcast([tuple(r) for r in some.select("alias", "ord", "company", "ticker").where(F.col("alias").isNotNull()).collect()])
+        part = asked.mapInArrow(_named_in(held), f"{text} string, within int, ord int, company string, ticker string")
+        out = part if out is None else out.unionByName(part)
+    first = F.struct("within", "ord")
+    found = out if turns == 1 else out.groupBy(text).agg(*(F.min_by(c, first).alias(c) for c in ("company", "ticker")))
+    return rows.join(found.select(text, "company", "ticker"), text, "left")
+
+
+def _named_in(held):
+    """For texts in Arrow batches: the alias equal to a text's key, else the first in order inside it."""
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        finder, equal, anywhere = ahocorasick.Automaton(), {}, None
+        for alias, order, company, ticker in held.value:
+            entry = (order, company, ticker)
+            if alias == "":  # inside every text
+                anywhere = min(filter(None, (anywhere, entry)))
+            elif alias not in equal or entry < equal[alias]:
+                equal[alias] = entry
+                finder.add_word(alias, entry)
+        if equal:
+            finder.make_automaton()
+        for batch in batches:
+            out = []
+            for text, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                best, within = (equal[key], 0) if key in equal else (min((e for _, e in finder.iter(key)), default=None) if equal else None, 1)
+                if within and anywhere is not None:
+                    best = min(filter(None, (best, anywhere)))
+                if best:
+                    out.append((text, within, *best))
+            columns = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=[batch.schema.names[0], "within", "ord", "company", "ticker"])
+
+    return run
 
 
 def resolve_parent(rows: DataFrame, parents: dict[str, str] = PARENTS, entity: str = "entity") -> DataFrame:

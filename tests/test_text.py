@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +74,49 @@ def test_word_resolution(spark):
     assert got == {"syntax": "syntax", "sale of products/services": "revenue", "": "unmapped_metric", "profit before tax and more": "profit_before_tax", "net sales": "revenue"}
 
 
+def test_a_large_registry_without_nested_loops(spark):
+    """100 000 aliases: the same metrics as holding every label against every alias, by equi-joins alone."""
+    rng = random.Random(7)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(60_000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    names = [(some(rng.randint(1, 5)), f"m{i % 1000}", i) for i in range(100_000)]
+    asked = [some(rng.randint(1, 9)) for _ in range(150)] + [names[i][0] for i in range(0, 100_000, 2500)] + ["", " ", "/", "never heard", None, "w1"]
+    df = registry.resolve_by_words(spark.createDataFrame([(x,) for x in asked], "label string"), spark.createDataFrame(names, "alias string, metric string, ord int"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    known = [(a, frozenset(a.split()), m, i) for a, m, i in names]
+
+    def plain(x):
+        if x is None:
+            return None
+        if not x.strip():
+            return "unmapped_metric"
+        w = frozenset(p for p in x.replace("/", " ").split())
+        hits = [(a == x, len(k), -i, m) for a, k, m, i in known if w and (k <= w or w <= k)]
+        return max(hits)[3] if hits else x.replace(" ", "_")
+
+    assert {r["label"]: r["metric"] for r in df.collect()} == {x: plain(x) for x in asked}
+
+
+def test_names_inside_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    names = list({a: (a, f"c{i}", f"t{i}", i) for i, a in enumerate(some(rng.randint(2, 5)) for _ in range(400))}.values())
+    texts = [some(rng.randint(0, 25)).upper() for _ in range(200)] + ["", "  ", None, " " + names[5][0].upper() + " "]
+    rows, known = spark.createDataFrame([(t,) for t in texts], "name string"), spark.createDataFrame(names, "alias string, company string, ticker string, ord int")
+
+    def plain(t):
+        key = None if t is None else t.strip(" ").lower()
+        hits = [(a != key, i, c) for a, c, _, i in names if key is not None and a in key]
+        return min(hits)[2] if hits else None
+
+    wanted = sorted(((t, plain(t)) for t in texts), key=str)
+    assert sorted(((r["name"], r["company"]) for r in registry.resolve_company(rows, known).collect()), key=str) == wanted
+    monkeypatch.setattr(registry, "HELD_NAMES", 150)
+    assert sorted(((r["name"], r["company"]) for r in registry.resolve_company(rows, known).collect()), key=str) == wanted
+    assert registry.resolve_company(rows, known.limit(0)).where("company is not null").count() == 0
+
+
 def test_skipped_rows(spark):
     rows = spark.createDataFrame([("Revenue", [1.0, 2.0]), (".1,203", [1.0]), ("iv", [1.0]), ("Total", [1.0]), ("x", [0.0, None]), ("big", [2e7]), ("segment revenue of it", [1.0]), ("12 ab", [1.0])], "d string, v array<double>")
     assert [r[0] for r in rows.select(labels.skipped_row(F.col("d"), F.col("v"))).collect()] == [False] + [True] * 7
