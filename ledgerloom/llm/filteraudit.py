@@ -31,14 +31,13 @@ COPY = 1 << FILTERS.index("E")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def own_failures(docs: DataFrame) -> DataFrame:
-    """doc_id, part, text, mask of the filters that a document fails by itself."""
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+def own_failures(rows: DataFrame) -> DataFrame:
+    """doc_id, part, text, print and the mask of the filters that a document fails by itself."""
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     n, text = F.size("words"), F.col("text")
     conditions = [n < 200, 100 * F.size(F.array_distinct("words")).cast("bigint") < 50 * n.cast("bigint"), 100 * F.regexp_count(text, F.lit("[A-Z]")).cast("bigint") > 2 * F.length(text).cast("bigint"), text.rlike("[#$%&*|]")]
     mask = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions)), F.lit(0))
-    return rows.select("doc_id", "part", "text", mask.alias("mask"))
+    return rows.select("doc_id", "part", "text", "print", mask.alias("mask"))
 
 
 class _Runs:
@@ -83,15 +82,19 @@ class _Runs:
 
 
 def masks(docs: DataFrame) -> DataFrame:
-    """doc_id, part, mask with the bit of copies: one shuffle of the texts, range-sorted."""
-    rows = own_failures(docs).select("*", F.sha2(F.col("text").cast("binary"), 256).alias("print"), F.monotonically_increasing_id().alias("row"))
+    """doc_id, part, mask with the bit of copies: one shuffle of the texts, range-sorted.
+
+    The other filters look at texts once they are sorted, so that finding the ranges reads no more than fingerprints.
+    """
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("print", F.sha2(F.col("text").cast("binary"), 256))
     by_id = F.col("doc_id").asc_nulls_last()
-    ordered = rows.repartitionByRange("print", by_id, "row").sortWithinPartitions("print", "text", by_id, "row").drop("row")
+    ordered = rows.repartitionByRange("print", by_id, "row").sortWithinPartitions("print", "text", by_id, "row")
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, part string, mask int, at int, run bigint, print string, text string, least {kind}"
     fields = docs.sparkSession.createDataFrame([], schema)
     arrow = fields.toArrow().schema
-    found = cut(map_batches(ordered, lambda: _Runs(arrow), schema), "audit-runs")
+    found = cut(map_batches(own_failures(ordered), lambda: _Runs(arrow), schema), "audit-runs")
     edges = found.where("print is not null").select("at", "run", "print", "text", "least")
     across = F.min("least").over(Window.partitionBy("print", "text"))
     settled = edges.select("at", "run", across.alias("least"))
