@@ -772,12 +772,12 @@ def parsed_lines(spark, d):
 HASHED = f"with r as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents), w as (select r, md5(unnest({WORDS})) as h from r), c as (select r, ('0x' || substr(h, 1, 6))::int % 64 as component, sum(1 - 2 * (('0x' || substr(h, 7, 1))::int % 2))::double as x from w group by 1, 2), n as (select r, sqrt(sum(x * x)) as norm from c group by 1), every as (select r, doc_id, unnest(range(64)) as component from r) "
 
 
-@query(HASHED + "select doc_id, component, round(case when norm > 0 then coalesce(x, 0) / norm else 0 end, 6) as value from every left join c using (r, component) left join n using (r)")
+@query(HASHED + "select doc_id, list(round(case when norm > 0 then coalesce(x, 0) / norm else 0 end, 6) order by component) as embedding from every left join c using (r, component) left join n using (r) group by r, doc_id")
 def hashed_vectors(spark, d):
     from .operators import encode
 
     rows = encode.dense(table(spark, d, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.posexplode("embedding").alias("component", "value")).select("doc_id", F.col("component").cast("bigint").alias("component"), F.round("value", 6).alias("value"))
+    return rows.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 # -- questions and their results, both sides, stored facts -------------------------------------------
