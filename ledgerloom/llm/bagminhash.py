@@ -38,8 +38,6 @@ BANDS = REGISTERS // ROWS
 LONG_REGISTERS, DEVIATIONS = 1024, 4.77
 #: Nodes from which on a bucket is crowded: its one row is broadcast to them; nodes of a block of pairs in such a bucket.
 CROWDED, BLOCK = 256, 512
-#: Copies of a node's row at most, over which the pairs of that node are dealt.
-SALTS = 256
 #: Words whose hashes a Python worker keeps; nodes that are few enough to broadcast (16 bytes each).
 SEEN_WORDS, BROADCAST_NODES = 200_000, 500_000
 
@@ -242,22 +240,30 @@ class Bags:
         return both >= self.similarity * (p + q - both)
 
 
-def beside(pairs: DataFrame, nodes: DataFrame, side: str, columns: list[str]) -> DataFrame:
-    """``pairs`` (a, b) with ``columns`` of the node on one side, named for it.
+def beside(pairs: DataFrame, nodes: DataFrame, side: str, columns: list[str], written: DataFrame | None = None) -> DataFrame:
+    """``pairs`` (a, b) with ``columns`` of the node on one side, named for it; ``written`` is the table that they come from.
 
-    A head or a centre is in as many pairs as its bucket has nodes: its row is copied for the salts
-    that its pairs have (never more copies than pairs), so that no node's pairs go to one task.
+    A head or a centre is in as many pairs as its bucket has nodes.  A node of more than ``CROWDED``
+    pairs has its row copied once for so many pairs, and its pairs are dealt over the copies; which
+    nodes these are is broadcast to the pairs.  What counts as crowded rises until they are few enough.
     """
-    rows = pairs.withColumn("salt", F.pmod(F.xxhash64("b" if side == "a" else "a"), F.lit(SALTS)))
-    copies = rows.select(side, "salt").distinct().join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
-    return rows.join(copies, [side, "salt"]).drop("salt")
+    counts, least = (pairs if written is None else written).groupBy(side).agg(F.count("*").alias("n")), CROWDED
+    while (crowded := counts.where(F.col("n") >= least)).count() > BROADCAST_NODES:
+        least *= 4
+    copies = F.ceil(F.col("n") / CROWDED).cast("int")
+    rows = pairs.join(F.broadcast(crowded.select(side, copies.alias("copies"))), side, "left")
+    salt = F.pmod(F.xxhash64("b" if side == "a" else "a"), F.coalesce("copies", F.lit(1))).cast("int")
+    held = counts.select(side, F.when(F.col("n") >= least, copies).otherwise(1).alias("copies"))
+    held = held.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    held = held.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")).drop("copies")
+    return rows.withColumn("salt", salt).drop("copies").join(held, [side, "salt"]).drop("salt")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b: nodes) whose texts' multisets overlap by ``similarity`` or more."""
     needed = cut(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct(), "needed")
     texts = _texts_of(needed, docs, "texts")
-    both = beside(beside(pairs, texts, "a", ["text"]), texts, "b", ["text"])
+    both = beside(beside(pairs, texts, "a", ["text"]), texts, "b", ["text"], pairs)
 
     def make():
         bags = Bags(similarity)
@@ -374,8 +380,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = cut(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "heads")
     members = cut(meet(entries, heads), "members")
-    pairs = members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = cut(beside(beside(pairs, nodes, "a", ["planes"]), nodes, "b", ["planes"]).where(_close("planes_a", "planes_b", similarity)).select("a", "b"), "pairs")
+    pairs = cut(members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "star-pairs")
+    pairs = cut(beside(beside(pairs, nodes, "a", ["planes"]), nodes, "b", ["planes"], pairs).where(_close("planes_a", "planes_b", similarity)).select("a", "b"), "pairs")
     links = verify(pairs, docs, similarity)
     classes = components(links)
 

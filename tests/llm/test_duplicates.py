@@ -121,7 +121,7 @@ def test_an_id_goes_before_none(spark):
 
 def test_pairs_of_one_node_are_dealt(spark, monkeypatch):
     """A head in many pairs meets them over copies of its row, and no pair is lost."""
-    monkeypatch.setattr(B, "SALTS", 8)
+    monkeypatch.setattr(B, "CROWDED", 8)
     pairs = spark.createDataFrame([(bytes([i % 250, i // 250]), b"h") for i in range(500)] + [(b"h", b"z")], "a binary, b binary")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().withColumn("text", F.hex("node"))
     both = B.beside(B.beside(pairs, nodes, "a", ["text"]), nodes, "b", ["text"]).collect()
