@@ -98,11 +98,16 @@ class Index:
         return known, slots, mean
 
     def scored(self, known: DataFrame, slots: DataFrame, mean: float, terms: list[str] | None) -> DataFrame:
-        """query_id, chunk_id, score of the chunks in the given slots."""
+        """query_id, chunk_id, score of the chunks in the given slots.
+
+        Postings meet the list of the questions that ask for them (``ASKED`` at most), so they are shuffled
+        once and not once for each question.
+        """
         blocks = self.blocks.read().select("term", "slot", "posts")
         if terms is not None:
             blocks = blocks.where(F.col("term").isin(terms))
-        wanted = blocks.join(F.broadcast(known), "term").join(slots.select("query_id", "slot"), ["query_id", "slot"], "left_semi")
+        askers = known.join(slots.select("query_id", "slot"), "query_id").groupBy("term", "slot").agg(F.collect_list(F.struct("query_id", "idf")).alias("askers"))
+        wanted = blocks.join(askers, ["term", "slot"]).select("posts", F.inline("askers"))
         posts = wanted.select("query_id", "idf", F.inline("posts"))
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
         return posts.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * weight), 6).alias("score"))
