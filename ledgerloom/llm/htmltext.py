@@ -2,17 +2,18 @@
 
 The standard library's parser streams events; text between block tags becomes a line that knows
 its tags, its linked characters and the elements around it.  A line's ratio is its unlinked text for
-each tag; linked text counts little.  Names of elements and classes act on ratios alone: lines
-inside elements that never hold an article (navigation, forms, adverts, comments, ...) have a ratio
-of zero; where an ``article`` or ``main`` holds most of the text, lines in it have the page's mean
-ratio at least and lines outside it none.
+each tag; linked text counts little.  Names of elements and classes act on ratios alone: inside
+elements that never hold an article (navigation, forms, adverts, comments, ...) each character
+brings tags with it, so that no line there reaches the floor; where an ``article`` or ``main`` holds
+most of the area under the ratios, so it is outside, and lines inside have its mean ratio at least.
 
 A Gaussian smooths the ratios over neighbouring lines of the same surroundings: what lies in
 another container, in another marked element or in a list of links is too far away to lend its
-ratio.  Lines whose smoothed ratio reaches a threshold form clusters, one in each container.  The
-large clusters choose the content region, which is the innermost element with most of their text,
-and the clustered lines of the region are the main text.  Short lines beside long ones are lifted
-by them and stay; nothing else is dropped.
+ratio.  Lines whose smoothed ratio reaches the threshold and the floor form clusters, one for each
+run of lines of the same surroundings.  The clusters with a large area under their ratios choose the
+content region, which is the innermost element with most of that area, and the clustered lines of
+the region are the main text.  Short lines beside long ones are lifted by them and stay; nothing
+else is dropped.
 
 Defined results: null or empty html gives an empty text; so does a page without unmarked text;
 broken markup is read as the parser reads it; a page of any length or depth is read whole, in time
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Spread of the smoothing in lines; share of the mean ratio that a clustered line reaches.
-SIGMA, THRESHOLD = 1.0, 0.05
-#: Share of the largest cluster's text that makes a cluster large, and of the large clusters' text that makes a region.
-LARGE, REGION = 0.34, 0.9
-#: What a linked character counts; the share of linked characters that makes a line a link; lines that surroundings part by.
-LINKED, MOSTLY, APART = 0.05, 0.8, 10.0
+#: Spread of the smoothing in lines; share of the mean ratio, and characters for each tag, that a clustered line reaches.
+SIGMA, THRESHOLD, FLOOR = 1.0, 0.05, 0.5
+#: Share of the largest cluster's area that makes a cluster large, and of the large clusters' area that makes a region; what lines in a row lend each other.
+LARGE, REGION, LENT = 0.5, 0.9, 2.0
+#: What a linked character counts; the share of linked characters that makes a line a link; lines that surroundings part by; tags for each character where names say so.
+LINKED, MOSTLY, APART, NAMED = 0.05, 0.8, 10.0, 100.0
 
 # Elements and words of class names, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,34 +215,45 @@ def main_text(html: str | None) -> str:
     linked = np.minimum(1.0, np.array([line.linked / sum(map(len, line.parts)) for line, _ in lines]))
     marked = np.array([bool(line.element.why) for line, _ in lines])
     plain = size * (1 - linked + LINKED * linked)
-    ratio = plain / np.array([line.tags for line, _ in lines])
-    ratio[marked] = 0
+    tags = np.array([line.tags for line, _ in lines], float)
+    ratio = ratios(plain, tags, marked)
     around, links = tree.containers(), linked > MOSTLY
-    if (holder := _holder(tree, np.where(marked, 0, plain))) is not None:
+    if (holder := _holder(tree, ratio)) is not None:
         within = tree.inside(holder)
-        ratio = np.where(within & ~marked, np.maximum(ratio, ratio[within & ~marked].mean()), 0)
+        ratio = ratios(plain, tags, marked | ~within)
+        ratio = np.where(within & ~marked, np.maximum(ratio, ratio[within & ~marked].mean()), ratio)
         around[within], links[within] = holder, False
     links[1:] &= links[:-1] | np.append(links[2:], False)  # one link alone is no list
     kind = np.stack([around, marked, links])
-    at = np.cumsum(np.append(0, 1 + APART * (kind[:, 1:] != kind[:, :-1]).any(0)))
-    ratio = smooth(ratio, at)
-    kept = (ratio > 0) & (ratio >= THRESHOLD * ratio.mean())
+    parts = np.append(0, np.cumsum((kind[:, 1:] != kind[:, :-1]).any(0)))
+    ratio = smooth(ratio, np.arange(len(parts)) + APART * parts)
+    kept = ratio >= max(FLOOR, THRESHOLD * ratio.mean())
     if not kept.any():
         return ""
-    kept &= tree.inside(_region(tree, around, np.where(kept, plain, 0)))
+    kept &= tree.inside(_region(tree, around, parts, np.where(kept, ratio, 0)))
     return " ".join(lines[i][1] for i in np.flatnonzero(kept))
 
 
-def _holder(tree: Tree, weight: np.ndarray) -> int | None:
-    """The innermost article-like element with at least half of the unmarked text."""
-    sums = tree.sums(weight)
-    return max((i for i, e in enumerate(tree.elements) if e.name in HOLDERS and sums[i] > 0 and sums[i] >= 0.5 * sums[0]), default=None)
+def ratios(plain: np.ndarray, tags: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """Characters for each tag; where names tell that no article is, each character brings ``NAMED`` tags with it."""
+    return plain / (tags + NAMED * plain * named)
 
 
-def _region(tree: Tree, around: np.ndarray, weight: np.ndarray) -> int:
-    """The innermost container of lines with most of the text of the large clusters."""
-    by = np.bincount(around, weight, len(tree.elements))
-    sums = tree.sums(np.where(by[around] >= LARGE * by.max(), weight, 0))
+def _holder(tree: Tree, ratio: np.ndarray) -> int | None:
+    """The innermost article-like element with at least half of the area under the ratios."""
+    sums = tree.sums(ratio)
+    return max((i for i, e in enumerate(tree.elements) if e.name in HOLDERS and sums[i] >= 0.5 * sums[0]), default=None)
+
+
+def _region(tree: Tree, around: np.ndarray, parts: np.ndarray, ratio: np.ndarray) -> int:
+    """The innermost container of lines with most of the area of the large clusters.
+
+    A cluster is a run of clustered lines of the same surroundings; its area is that under its smoothed
+    ratios, more where its lines have neighbours, so that lines in a row outweigh one line of their length.
+    """
+    n = np.bincount(parts)
+    by = np.bincount(parts, ratio) * (1 + LENT * (1 - 1 / n))
+    sums = tree.sums(np.where(by[parts] >= LARGE * by.max(), ratio, 0))
     some = np.unique(np.append(tree.containers(), around))
     enough = some[sums[some] >= REGION * sums[0]]
     return int(enough[-1]) if len(enough) else 0

@@ -61,19 +61,44 @@ def test_pages_like_plain_rules(pages):
     assert [main_text(h) for h in pages] == [plain_article(h) for h in pages]
 
 
-def test_ratios_find_most_articles_without_names(pages):
-    right = sum(main_text(bare(h)) == plain_article(h) for h in pages)
-    assert right >= 0.95 * len(pages)
+def plainer(html):
+    """The same with navigation and footer as plain containers."""
+    import re
+
+    return re.sub(r"<(/?)(?:nav|footer)>", r"<\1div>", bare(html))
+
+
+def right(pages, shape):
+    return sum(main_text(shape(h)) == plain_article(h) for h in pages)
+
+
+def test_ratios_find_articles_without_names(pages):
+    assert right(pages, bare) >= 0.98 * len(pages)
+    assert right(pages, plainer) >= 0.98 * len(pages)
+
+
+@pytest.mark.parametrize("shape", [str, bare, plainer])
+def test_a_constant_in_place_of_the_ratio_fails(pages, monkeypatch, shape):
+    import numpy as np
+
+    before = right(pages, shape)
+    monkeypatch.setattr(htmltext, "ratios", lambda plain, tags, named: np.ones(len(plain)))
+    assert right(pages, shape) < 0.5 * before
+
+
+def test_names_alone_fail_where_there_are_none(pages, monkeypatch):
+    """With one ratio for all lines that no name rules out; where navigation and footer are so named, runs of lines are enough."""
+    import numpy as np
 
+    before = right(pages, plainer)
+    monkeypatch.setattr(htmltext, "ratios", lambda plain, tags, named: np.where(named, 1 / htmltext.NAMED, 50.0))
+    assert right(pages, plainer) < 0.5 * before
 
-def test_ratios_decide(pages, monkeypatch):
-    def wrong():
-        return sum(main_text(bare(h)) != plain_article(h) for h in pages)
 
-    before = wrong()
-    monkeypatch.setattr(htmltext, "smooth", lambda values, at=None: values * 0 + 1.0)
-    assert wrong() > before
-    assert any(main_text(h) != plain_article(h) for h in pages)
+def test_smoothing_decides(pages, monkeypatch):
+    before = right(pages, bare), right(pages, plainer)
+    monkeypatch.setattr(htmltext, "smooth", lambda values, at=None: values)
+    assert right(pages, bare) < 0.9 * before[0] and right(pages, plainer) < 0.9 * before[1]
 
 
 def test_boilerplate_inside_an_article_lends_and_takes_nothing():
