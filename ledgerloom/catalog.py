@@ -22,9 +22,9 @@ from .operators import kpi as K
 from .operators import latest as V
 from .operators import layout as Y
 from .operators import pages as P
-from .operators import postings
+from .operators import postings, quantiles
 from .operators import retrieval as T
-from .plans import answer, dsl, evaluation, registry, router, session
+from .plans import answer, dsl, evaluation, registry, replies, router, session
 from .sources import ingest, snapshots, store
 from .sources.views import relation, table, with_sql
 
@@ -399,6 +399,23 @@ def crag_levels(spark, d):
     return T.broadened([level(w) for w in LEVELS]).select("query_id", "level", F.round("best", 6).alias("best"), "tier", "refused")
 
 
+@query(_SQL["crag_levels"])
+def crag_rounds(spark, d):
+    """The same levels, each asked only for the questions that need it."""
+
+    def level(where: str):
+        vectors = _vectors(spark, d).withColumn("vec_id", F.col("chunk_id")).where(where.replace("v.", ""))
+        tier = F.when(F.col("score") >= 0.9, "high").when(F.col("score") >= 0.25, "medium").otherwise("low")
+        return lambda asked: T.dense(asked, vectors, k=1).select("query_id", F.col("score").alias("best"), tier.alias("tier"))
+
+    def keep(rows: DataFrame) -> DataFrame:
+        path = _fresh(spark, "level")
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return T.broaden(_asked(spark, d), [level(w) for w in LEVELS], keep)[0].select("query_id", "level", F.round("best", 6).alias("best"), "tier", "refused")
+
+
 @query(with_sql("v_chunks") + "select chunk_id from v_chunks where is_latest and tenant_id = 't1' and financial_type in ('consolidated', 'unknown') and fiscal_year = 2021")
 def metadata_filter(spark, d):
     return T.visible(relation(spark, d, "v_chunks"), "t1", "consolidated", fiscal_year=2021).select("chunk_id")
@@ -409,6 +426,31 @@ def dimension_check(spark, d):
     return store.embeddings_of_size(_vectors(spark, d), 64).select("chunk_id", F.size("embedding").cast("bigint").alias("dim"))
 
 
+# -- replies and percentiles -----------------------------------------------------------------------
+REPLY = {f: f"nullif(nullif(nullif(lower(trim(coalesce(j ->> '$.{f}', j ->> '$.query.{f}'))), ''), 'null'), 'none')" for f in replies.FIELDS}
+
+
+@query(
+    with_sql("v_replies") + r", p as (select reply_id, reply, coalesce(try_cast(trim(reply) as json), try_cast(nullif(regexp_extract(reply, '```[A-Za-z]*\s*(.*?)\s*```', 1, 's'), '') as json), try_cast(nullif(regexp_extract(reply, '\{.*\}', 0, 's'), '') as json)) as j from v_replies)"
+    + ", f as (select *, " + ", ".join(f"{REPLY[f]} as {f}" for f in replies.FIELDS) + " from p)"
+    + r", y as (select *, try_cast(nullif(regexp_extract(upper(fiscal_year), '^(?:FY\s*)?(\d{4}|\d{2})$', 1), '') as int) as n, concat_ws(',', " + ", ".join(f"case when {f} is null then '{f}' end" for f in replies.REQUIRED) + ") as missing from f)"
+    + f" select reply_id, case when not regexp_matches(coalesce(reply, ''), '\\S') then 'empty' when j is null then 'unparsed' when json_type(j) <> 'OBJECT' then 'no_object' when missing <> '' then 'incomplete' when operation not in {tuple(dsl.OPERATIONS)} or financial_type not in {replies.KINDS} or n is null then 'unknown' else 'sound' end as state, missing, metric, upper(entity) as entity, cast(case when n > 99 then n when n >= 70 then n + 1900 else n + 2000 end as int) as fiscal_year, financial_type, operation, upper(quarter) as quarter, upper(comparison_entity) as comparison_entity, comparison_period from y"
+)
+def reply_records(spark, d):
+    return replies.records(relation(spark, d, "v_replies"))
+
+
+SHARES = [0.5, 0.95, 0.99]
+
+
+@query(AUDIT + " " + " union all ".join(f"select tenant_id, query_path, {s}::double as share, round(quantile_cont(latency_ms, {s}), 6) as latency_ms from a where latency_ms is not null group by 1, 2" for s in SHARES))
+def latency_percentiles(spark, d):
+    """From sketches by tenant, path and day, merged by tenant and path, then made exact."""
+    rows = relation(spark, d, "v_audit").withColumn("day", F.to_date("created_at"))
+    stored = quantiles.sketches(rows, ["tenant_id", "query_path", "day"], "latency_ms")
+    return quantiles.exact(rows, ["tenant_id", "query_path"], "latency_ms", SHARES, stored).select("tenant_id", "query_path", "share", F.round("value", 6).alias("latency_ms"))
+
+
 # -- text ------------------------------------------------------------------------------------------
 def _first(pairs: list[tuple[str, str]], column: str) -> str:
     return "case " + " ".join(f"when regexp_matches({column}, '(?i){p.replace(chr(39), chr(39) * 2)}') then '{c}'" for c, p in pairs) + " end"

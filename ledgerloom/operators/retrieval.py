@@ -7,6 +7,8 @@ the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TOP_RETRIEVED, TOP_RANKED, RRF_K, K1, B = 20, 5, 60, 1.2, 0.75
@@ -116,3 +118,27 @@ def broadened(levels: list[DataFrame]) -> DataFrame:
     second = F.max(F.when(F.col("level") == 1, F.col("tier"))).over(Window.partitionBy("query_id"))
     wanted = F.when(first == "high", 0).when(first == "medium", 1).when(second == "low", 2).otherwise(1)
     return rows.withColumn("wanted", wanted).where(F.col("level") == F.least("wanted", F.lit(len(levels) - 1))).drop("wanted").withColumn("refused", F.col("tier") == "low")
+
+
+def broaden(queries: DataFrame, levels: list[Callable[[DataFrame], DataFrame]], keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """Results of ever wider filters, round by round: a level is asked only for the questions that need it.
+
+    ``levels`` turn questions (query_id, ...) into results (query_id, tier, ...), one a query at most;
+    ``keep`` stores a level's results and gives them back, so that each is computed once and its rows
+    can be counted.  A first result of high tier stands; medium is tried once more; low, or none, once
+    more and again if that is low or none too.  A retry's result replaces even a better one; where a
+    retry finds nothing, the result before it stays.  Returns (query_id, tier, ..., level, refused) and
+    the stored results by level.
+    """
+    asked, out, told = queries, None, []
+    for i, level in enumerate(levels):
+        rows = keep(level(asked).withColumn("level", F.lit(i)))
+        told.append(rows)
+        out = rows if out is None else out.join(rows.select("query_id"), "query_id", "left_anti").unionByName(rows)
+        settled = rows.where(F.col("tier") == "high") if i == 0 else rows.where(F.col("tier") != "low")
+        asked = asked.join(settled.select("query_id"), "query_id", "left_anti")
+        if i == 1:
+            asked = asked.join(told[0].where("tier = 'medium'").select("query_id"), "query_id", "left_anti")
+        if i > 1 or asked.isEmpty():
+            break
+    return out.withColumn("refused", F.col("tier") == "low"), told
