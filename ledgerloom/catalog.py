@@ -22,7 +22,7 @@ from .operators import kpi as K
 from .operators import latest as V
 from .operators import layout as Y
 from .operators import pages as P
-from .operators import postings, quantiles
+from .operators import postings, quantiles, quantized
 from .operators import retrieval as T
 from .plans import answer, dsl, evaluation, registry, replies, router, session
 from .sources import ingest, snapshots, store
@@ -328,6 +328,21 @@ def dense_topk_filtered(spark, d):
     return _rounded(T.dense(_asked(spark, d), _vectors(spark, d).where("label in (1, 2)")))
 
 
+@query(_ranked(DOT, 20))
+def quantized_topk(spark, d):
+    """The same questions asked of stored codes."""
+    path = _fresh(spark, "codes")
+    quantized.encode(_vectors(spark, d)).write.parquet(path)
+    return _rounded(quantized.search(_asked(spark, d), spark.read.parquet(path)))
+
+
+@query(_ranked(DOT + " and v.label in (1, 2)", 20))
+def quantized_topk_filtered(spark, d):
+    path = _fresh(spark, "codes")
+    quantized.encode(_vectors(spark, d)).write.parquet(path)
+    return _rounded(quantized.search(_asked(spark, d), spark.read.parquet(path).where("label in (1, 2)")))
+
+
 ASKED = [(1, "the license of and"), (2, "version 2.0 rights reserved"), (3, "que de la"), (4, "general public")]
 WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
 BM25 = f"asked as (select query_id, unnest(list_distinct(list_filter(string_split_regex(lower(question), '[^a-z0-9]+'), lambda t: t <> ''))) as term from (values {_sql_list(ASKED)}) q(query_id, question)), c as (select doc_id as chunk_id, {WORDS} as tokens from documents), s as (select count(*) as chunks, avg(len(tokens)) as mean from c), e as (select chunk_id, len(tokens) as n, unnest(tokens) as term from c), f as (select chunk_id, n, term, count(*) as tf from e where term in (select term from asked) group by 1, 2, 3), g as (select term, count(*) as df from f group by 1), bm as (select query_id, chunk_id, round(sum(ln(1 + (chunks - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n / mean)))), 6) as score from f join g using (term) join asked using (term), s group by 1, 2)"
@@ -629,7 +644,29 @@ def fixed_chunks(spark, d):
     return C.fixed_chunks(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 500, 100)
 
 
-@query()
+def _split_sql(size: int = 800, overlap: int = C.OVERLAP, least: int = C.LEAST) -> str:
+    """The recursive splitter as SQL: every chunk is a stretch of what it was split from, so a fold over the lengths of the parts finds where chunks begin and end."""
+    steps = ["l0 as (select doc_id, [0::bigint] as path, text from documents where text is not null)"]
+    for i, sign in enumerate(C.SEPARATORS):
+        lit, n = "'" + sign.replace("\n", "'||chr(10)||'") + "'", len(sign)
+        cut = f"length(text) > {size} and contains(text, {lit})"
+        # at: where the next part begins; a, b: the open chunk; done: chunks that are closed.
+        part = f"list_transform(string_split(text, {lit}), lambda p: {{'at': length(p)::bigint, 'a': 0::bigint, 'b': 0::bigint, 'done': []::bigint[][]}})"
+        fits = f"(case when s.b > s.a then s.at + x.at - s.a else x.at end) <= {size}"
+        start = f"case when s.b <= s.a then s.at when {fits} then s.a else greatest(s.a, s.b - {overlap}) end"
+        done = f"case when {fits} then s.done else list_append(s.done, [s.a, s.b]) end"
+        fold = f"list_reduce({part}, lambda s, x: {{'at': s.at + x.at + {n}, 'a': {start}, 'b': s.at + x.at, 'done': {done}}}, {{'at': 0::bigint, 'a': 0::bigint, 'b': 0::bigint, 'done': []::bigint[][]}})"
+        steps.append(f"f{i} as (select doc_id, path, text, {fold} as r from l{i} where {cut})")
+        steps.append(f"c{i} as (select doc_id, path, text, unnest(list_append(r.done, [r.a, r.b])) as ab, generate_subscripts(list_append(r.done, [r.a, r.b]), 1) as j from f{i})")
+        steps.append(f"l{i + 1} as (select doc_id, list_append(path, 0) as path, text from l{i} where not ({cut}) union all select doc_id, list_append(path, j), substr(text, ab[1] + 1, ab[2] - ab[1]) from c{i})")
+    steps.append(f"w as (select doc_id, path, text, unnest(case when length(text) > {size} then range(0, length(text), {size - overlap}) else [0] end) as start from l{len(C.SEPARATORS)})")
+    steps.append(f"p as (select doc_id, path, start, substr(text, start + 1, greatest(length(text), {size}) * (length(text) <= {size})::int + {size} * (length(text) > {size})::int) as text from w)")
+    steps.append("o as (select doc_id, cast(row_number() over (partition by doc_id order by path, start) - 1 as int) as position, text from p where regexp_matches(text, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]'))")
+    digest = "md5(cast(doc_id as varchar) || ':1:' || cast(position as varchar) || ':' || substr(text, 1, 100))"
+    return f"with {', '.join(steps)} select doc_id as doc, 1 as page, 'text' as block, position, text, regexp_replace({digest}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') as chunk_id from o where length(trim(text, ' ')) >= {least}"
+
+
+@query(_split_sql())
 def recursive_chunks(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.lit("text").alias("block"), F.col("text").alias("content"))
     return C.recursive_chunks(rows)
