@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TOP_RETRIEVED, TOP_RANKED, RRF_K, K1, B = 20, 5, 60, 1.2, 0.75
-#: Queries of a block that is broadcast.
-ASKED = 4096
+#: Queries, and different words of queries, of a block that is broadcast.
+ASKED, WORDS = 4096, 200_000
 
 
 def visible(chunks: DataFrame, tenant: str | None, financial_type: str | None = None, company: str | None = None, fiscal_year: int | None = None, quarter: str | None = None) -> DataFrame:
@@ -62,26 +62,33 @@ def terms(rows: DataFrame, item: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_RETRIEVED, use_idf: bool = True) -> DataFrame:
-    """query_id, chunk_id, score, rank by BM25.
+    """query_id, chunk_id, score, rank by BM25, for any number of questions.
 
-    Each chunk is split into words once: what is kept of it is its length and the terms that some
-    query asks for with their counts, so all that follows, the shuffles too, grows with the questions'
-    words and not with the corpus's vocabulary.  ``queries`` is a bounded set, like ``dense``'s blocks.
+    The questions' words are counted and go over the chunks in blocks of about ``WORDS`` at most, so
+    what is broadcast is bounded.  Of a chunk's words only those that a block asks for are counted,
+    before any shuffle (the outer explode keeps Spark from splitting texts twice, for a filter of its
+    own); the counts lie by chunk, so scores are summed where they are and what is
+    ranked is k rows a question and task.
     """
     split = lambda x: F.filter(F.split(F.lower(x), r"[^a-z0-9]+"), lambda t: t != "")
-    asked = queries.select("query_id", F.explode(F.array_distinct(split(F.col("question")))).alias("term"))
-    wanted = F.broadcast(asked.agg(F.collect_set("term").alias("wanted")))
-    rows = chunks.select("chunk_id", split(F.col("text")).alias("tokens")).crossJoin(wanted)
-    hits = F.filter("tokens", lambda t: F.array_contains("wanted", t))
-    rows = rows.select("chunk_id", F.greatest(F.size("tokens"), F.lit(0)).alias("n"), F.coalesce(hits, F.array().cast("array<string>")).alias("hits"))
-    rows = rows.select("chunk_id", "n", F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf"))).alias("hits")).persist()
-    totals = F.broadcast(rows.agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean")))
-    found = rows.select("chunk_id", "n", F.inline("hits"))
-    spread = found.groupBy("term").agg(F.count("*").alias("df"))
-    scored = found.join(F.broadcast(spread), "term").join(F.broadcast(asked), "term").crossJoin(totals)
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if use_idf else F.lit(1.0)
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    return ranked(scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * weight), 6).alias("score")), k)
+    asked = queries.select("query_id", F.explode(split(F.col("question"))).alias("term")).distinct()
+    tokens = chunks.select("chunk_id", split(F.col("text")).alias("tokens")).withColumn("n", F.greatest(F.size("tokens"), F.lit(0)))
+    totals = F.broadcast(tokens.agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean")))
+    blocks = max(1, -(-asked.count() // WORDS))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        some = asked if blocks == 1 else asked.where(block == i)
+        words = tokens.select("chunk_id", "n", F.explode_outer("tokens").alias("term")).join(F.broadcast(some.select("term").distinct()), "term")
+        found = words.groupBy("chunk_id", "n", "term").agg(F.count("*").alias("tf")).repartition("chunk_id")
+        spread = found.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))  # reads all columns, so that Spark reuses the shuffle
+        idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if use_idf else F.lit(1.0)
+        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+        weighed = found.join(F.broadcast(spread), "term").crossJoin(totals).select("chunk_id", "term", (idf * weight).alias("weight"))
+        scored = weighed.join(F.broadcast(some), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+        best = ranked(scored, k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def fuse(legs: list[DataFrame], k: int = TOP_RETRIEVED, constant: int = RRF_K) -> DataFrame:
@@ -99,9 +106,15 @@ def overlap_score(question: Column, text: Column) -> Column:
 
 
 def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = TOP_RANKED, scorer=overlap_score) -> DataFrame:
-    """The k best of the fused hits by ``scorer``: only they meet their texts."""
-    rows = F.broadcast(fused.select("query_id", "chunk_id", F.col("rank").alias("fused_rank")))
-    found = chunks.select("chunk_id", "text").join(rows, "chunk_id").join(F.broadcast(queries.select("query_id", "question")), "query_id")
+    """The k best of the fused hits by ``scorer``: only they meet their texts.
+
+    Hits are broadcast where the questions are few enough for one block; beyond, both sides shuffle by chunk.
+    """
+    few = queries.select("query_id").limit(ASKED + 1).count() <= ASKED
+    hits = fused.select("query_id", "chunk_id", F.col("rank").alias("fused_rank"))
+    found = chunks.select("chunk_id", "text").join(F.broadcast(hits) if few else hits, "chunk_id")
+    asked = queries.select("query_id", "question")
+    found = found.join(F.broadcast(asked) if few else asked, "query_id")
     return ranked(found.select("query_id", "chunk_id", "fused_rank", F.round(scorer(F.col("question"), F.col("text")), 6).alias("score")), k)
 
 
