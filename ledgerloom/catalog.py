@@ -6,6 +6,7 @@ from the same view definitions, for another engine to check.
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
 
@@ -343,13 +344,15 @@ def quantized_topk_filtered(spark, d):
     return _rounded(quantized.search(_asked(spark, d), spark.read.parquet(path).where("label in (1, 2)")))
 
 
-ASKED = [(1, "the license of and"), (2, "version 2.0 rights reserved"), (3, "que de la"), (4, "general public")]
+USERS = "select conv_id * 1000 + turn as query_id, string_agg(text, ' ' order by text) as question from conversations where role = 'user' and conv_id % 20 = 0 group by 1"
 WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
-BM25 = f"asked as (select query_id, unnest(list_distinct(list_filter(string_split_regex(lower(question), '[^a-z0-9]+'), lambda t: t <> ''))) as term from (values {_sql_list(ASKED)}) q(query_id, question)), c as (select doc_id as chunk_id, {WORDS} as tokens from documents), s as (select count(*) as chunks, avg(len(tokens)) as mean from c), e as (select chunk_id, len(tokens) as n, unnest(tokens) as term from c), f as (select chunk_id, n, term, count(*) as tf from e where term in (select term from asked) group by 1, 2, 3), g as (select term, count(*) as df from f group by 1), bm as (select query_id, chunk_id, round(sum(ln(1 + (chunks - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n / mean)))), 6) as score from f join g using (term) join asked using (term), s group by 1, 2)"
+BM25 = f"asked as (select query_id, unnest(list_distinct(list_filter(string_split_regex(lower(question), '[^a-z0-9]+'), lambda t: t <> ''))) as term from ({USERS}) q), c as (select doc_id as chunk_id, {WORDS} as tokens from documents), s as (select count(*) as chunks, avg(len(tokens)) as mean from c), e as (select chunk_id, len(tokens) as n, unnest(tokens) as term from c), f as (select chunk_id, n, term, count(*) as tf from e where term in (select term from asked) group by 1, 2, 3), g as (select term, count(*) as df from f group by 1), bm as (select query_id, chunk_id, round(sum(ln(1 + (chunks - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n / mean)))), 6) as score from f join g using (term) join asked using (term), s group by 1, 2)"
 
 
-def _questions(spark):
-    return spark.createDataFrame(ASKED, "query_id int, question string")
+def _questions(spark, d):
+    """What users said in every conversation with an id divisible by 20."""
+    said = table(spark, d, "conversations").where("role = 'user' and conv_id % 20 = 0")
+    return said.groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")).agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("question"))
 
 
 def _chunks(spark, d):
@@ -358,22 +361,16 @@ def _chunks(spark, d):
 
 @query(f"with {BM25} " + _ranked("select * from bm", 20))
 def bm25_topk(spark, d):
-    return _rounded(T.bm25(_questions(spark), _chunks(spark, d)))
+    return _rounded(T.bm25(_questions(spark, d), _chunks(spark, d)))
 
 
-USERS = "select conv_id * 1000 + turn as query_id, string_agg(text, ' ' order by text) as question from conversations where role = 'user' and conv_id % 20 = 0 group by 1"
-INDEXED = BM25.replace(f"(values {_sql_list(ASKED)}) q(query_id, question)", f"({USERS}) q")
-
-
-@query(f"with {INDEXED} " + _ranked("select * from bm", 20))
+@query(f"with {BM25} " + _ranked("select * from bm", 20))
 def indexed_topk(spark, d):
-    """What users said in every conversation with an id divisible by 20, asked of an index that took its chunks in two steps."""
-    said = table(spark, d, "conversations").where("role = 'user' and conv_id % 20 = 0")
-    asked = said.groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")).agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("question"))
+    """The same questions asked of an index that took its chunks in two steps."""
     index = postings.Index(spark, _fresh(spark, "index"))
     for part in (0, 1):
         index.add(_chunks(spark, d).where(F.pmod("chunk_id", F.lit(2)) == part))
-    return _rounded(index.search(asked))
+    return _rounded(index.search(_questions(spark, d)))
 
 
 LEGS = f"dense as ({_ranked(DOT, 20)}), other as ({_ranked(DOT + ' and v.label in (1, 2)', 20)})"
@@ -387,10 +384,10 @@ def rrf_fusion(spark, d):
 
 
 @query(
-    f"with {BM25}, hits as ({_ranked('select * from bm', 20)}), r as (select h.query_id, h.chunk_id, h.rank as fused_rank, round(len(list_intersect(list_distinct({WORDS.replace('text', 'q.question')}), list_distinct({WORDS.replace('text', 'd.text')})))::double / len(list_distinct({WORDS.replace('text', 'q.question')})), 6) as score from hits h join documents d on d.doc_id = h.chunk_id join (values {_sql_list(ASKED)}) q(query_id, question) on q.query_id = h.query_id) select query_id, chunk_id, fused_rank, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from r) x where rank <= 5"
+    f"with {BM25}, hits as ({_ranked('select * from bm', 20)}), r as (select h.query_id, h.chunk_id, h.rank as fused_rank, round(len(list_intersect(list_distinct({WORDS.replace('text', 'q.question')}), list_distinct({WORDS.replace('text', 'd.text')})))::double / len(list_distinct({WORDS.replace('text', 'q.question')})), 6) as score from hits h join documents d on d.doc_id = h.chunk_id join ({USERS}) q on q.query_id = h.query_id) select query_id, chunk_id, fused_rank, score, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from r) x where rank <= 5"
 )
 def rerank_topk(spark, d):
-    rows = T.rerank(T.bm25(_questions(spark), _chunks(spark, d)), _questions(spark), _chunks(spark, d))
+    rows = T.rerank(T.bm25(_questions(spark, d), _chunks(spark, d)), _questions(spark, d), _chunks(spark, d))
     return rows.select("query_id", "chunk_id", F.col("fused_rank").cast("bigint").alias("fused_rank"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -711,10 +708,12 @@ RAW_LABELS = ["Revenue from Operations", "profil before tax", "Total Income (I+I
 NORMAL_LABELS = ["revenue from operations", "profit before tax", "total income (i+ii)", "revenue from operations", "danda", "syntax", "sale of products/services", "finance costs", "finance costs", "other income", "employee benefits expense", "total expenses", "watches", "", "ebitda", "profit for the year-restated", "unknown thing"]
 
 
-@query(f"select id, label from (values {_sql_list(list(enumerate(NORMAL_LABELS)))}) x(id, label)")
+@query(f"select p_partkey, coalesce(label, lower(p_type)) as label from part left join (values {_sql_list(list(enumerate(NORMAL_LABELS)))}) x(id, label) on id = p_partkey % {len(RAW_LABELS) + 1}")
 def nfkc_labels(spark, d):
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(RAW_LABELS)], "id int, raw string")
-    return rows.select("id", L.normal_label(F.col("raw"), unicode_forms=True).alias("label"))
+    """A label of the list, or its type in wide letters, for every part."""
+    wide = F.translate("p_type", string.ascii_uppercase, "".join(chr(ord(c) + 0xFEE0) for c in string.ascii_uppercase))
+    raw = F.coalesce(F.get(F.array(*map(F.lit, RAW_LABELS)), (F.col("p_partkey") % (len(RAW_LABELS) + 1)).cast("int")), wide)
+    return table(spark, d, "part").select("p_partkey", L.normal_label(raw, unicode_forms=True).alias("label"))
 
 
 ALIASES = f"(values {_sql_list(registry.alias_rows())}) a(alias, metric, ord)"

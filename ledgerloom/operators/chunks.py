@@ -26,13 +26,14 @@ def described(chunks: DataFrame, pages: DataFrame, documents: DataFrame) -> Data
 
     ``pages`` has doc, page, financial_type.  ``documents`` has doc, tenant_id, company, filing_date,
     may have doc_id by financial_type, and any of ticker, fiscal_year, quarter, document_type,
-    version; what it lacks is null.  A chunk of unknown type is of its file's first document.
+    version; what it lacks is null.  A chunk of unknown type is of its file's first
+    document.  A file that several tenants hold gives each of them its chunks.
     """
     own = documents if "financial_type" in documents.columns else documents.withColumn("financial_type", F.lit(None).cast("string"))
     for name, kind in (("doc_id", "string"), ("ticker", "string"), ("fiscal_year", "int"), ("quarter", "string"), ("document_type", "string"), ("version", "string")):
         if name not in own.columns:
             own = own.withColumn(name, (F.col("doc") if name == "doc_id" else F.lit(None)).cast(kind))
-    by_file = own.groupBy("doc").agg(*(F.min_by(c, F.coalesce("financial_type", F.lit(""))).alias(c) for c in ("tenant_id", "company", "ticker", "fiscal_year", "quarter", "document_type", "filing_date", "version", "doc_id")), F.map_from_entries(F.collect_list(F.struct(F.coalesce("financial_type", F.lit("")), "doc_id"))).alias("ids"))
+    by_file = own.groupBy("doc", "tenant_id").agg(*(F.min_by(c, F.coalesce("financial_type", F.lit(""))).alias(c) for c in ("company", "ticker", "fiscal_year", "quarter", "document_type", "filing_date", "version", "doc_id")), F.map_from_entries(F.collect_list(F.struct(F.coalesce("financial_type", F.lit("")), "doc_id"))).alias("ids"))
     rows = chunks.join(pages.select("doc", "page", "financial_type"), ["doc", "page"], "left").join(by_file, "doc")
     kind = F.coalesce("financial_type", F.lit("unknown"))
     return rows.select(

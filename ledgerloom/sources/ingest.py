@@ -7,6 +7,8 @@ filing date stay with every row, so that what comes out can be written as it is.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import normal_label, skipped_row
@@ -66,15 +68,22 @@ def ingest(raw: DataFrame, words: DataFrame, documents: DataFrame, path: str, se
     """Check a batch of files and merge its facts into the store: counts by outcome, and the chunks of the documents that passed.
 
     ``errors`` among the outcomes counts the facts of documents that the gate rejected.  The batch's
-    facts are few beside its pages and are asked for several times, so they are kept once found.
+    facts are few beside its pages and are asked for several times, so they are written beside the
+    store once found, in a folder of their own under ``{path}.batches``.  The gate is by tenant and
+    document: one tenant's rejected file leaves another's chunks of the same file alone.
     """
     classified = classify_pages(raw)
-    facts = facts_of(classified, words, documents).persist()
+    beside = f"{path}.batches/{seq}-{uuid.uuid4().hex}"
+    facts_of(classified, words, documents).write.parquet(f"{beside}/facts")
+    facts = raw.sparkSession.read.parquet(f"{beside}/facts")
+    rejected(facts).write.parquet(f"{beside}/rejected")
+    bad = raw.sparkSession.read.parquet(f"{beside}/rejected").toDF("t", "d", "n_failures")
+    theirs = F.col("tenant_id").eqNullSafe(F.col("t")) & F.col("doc").eqNullSafe(F.col("d"))
     counts = store.commit_facts(filings_of(checked(facts), seq), path)
-    bad = rejected(facts).persist()
-    lost = facts.join(bad.select("tenant_id", "doc"), ["tenant_id", "doc"], "left_semi").agg(F.count("*").alias("n")).where("n > 0").select(F.lit("errors").alias("outcome"), "n")
-    sound = classified.join(bad.select("doc"), "doc", "left_anti")
-    return counts.unionByName(lost), chunks.described(chunks.recursive_chunks(sound), sound, section_documents(documents, sound))
+    lost = facts.join(bad, theirs, "left_semi").agg(F.count("*").alias("n")).where("n > 0").select(F.lit("errors").alias("outcome"), "n")
+    passed = documents.join(bad, theirs, "left_anti")
+    sound = classified.join(passed.select("doc").distinct(), "doc", "left_semi")
+    return counts.unionByName(lost), chunks.described(chunks.recursive_chunks(sound), sound, section_documents(passed, sound))
 
 
 def chunks_of(classified: DataFrame) -> DataFrame:
