@@ -75,3 +75,13 @@ def test_flags_of_two_questions_that_share_a_chunk_stay_apart(spark):
     assert [(r["query_id"], r["claim"]) for r in sizes.collect()] == [(1, 500.0)]
     assert [r["query_id"] for r in ways.collect()] == [1]
     assert sorted((r["query_id"], r["kind"]) for r in contradictions.all_flags(sizes, ways).collect()) == [(1, "direction"), (1, "magnitude")]
+
+
+def test_a_file_of_two_tenants_gives_each_its_chunks(spark):
+    from ledgerloom.operators import chunks
+
+    pieces = spark.createDataFrame([("f", 1, "text", 0, "words", "c1")], "doc string, page int, block string, position int, text string, chunk_id string")
+    pages = spark.createDataFrame([("f", 1, "standalone")], "doc string, page int, financial_type string")
+    files = spark.createDataFrame([("f", "t", "A", None), ("f", "u", "B", None), ("f", None, "C", None)], "doc string, tenant_id string, company string, filing_date date")
+    got = chunks.described(pieces, pages, files).select("tenant_id", "company", "chunk_id").collect()
+    assert set(map(tuple, got)) == {("t", "A", "c1"), ("u", "B", "c1"), (None, "C", "c1")} and len(got) == 3
