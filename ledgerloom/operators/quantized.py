@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from .retrieval import ASKED, TOP_RETRIEVED, dot, ranked
 
-#: Rows that give first limits; pairs that a worker bounds at once; bytes of questions that a worker holds.
-SEED, PAIRS, HELD = 8192, 1 << 21, 1 << 25
+#: Rows that give first limits; pairs that a worker bounds at once; bytes of questions that a worker holds; tasks that thin a question's proposals.
+SEED, PAIRS, HELD, PARTS = 8192, 1 << 21, 1 << 25, 16
 #: Vectors of smaller components have codes of zeros, so that no code's unit is lost below the least number.
 TINY = 1e-300
 CODED = ("chunk_id", "code", "scale", "error", "digest")
@@ -125,12 +125,12 @@ def _bounds(asked: list, k: int, start: list | None, only_limits: bool):
                     some = rows[at : at + step]
                     row, q, lower, upper = block.open(codes[at : at + step], scale[some], error[some])
                     if not only_limits and len(row):
-                        yield _proposed(block.places[q], ids.take(pa.array(some[row])), lower, upper)
+                        yield _proposed(batch, block.places[q], some[row], lower, upper)
                 if block.zero.any() and not only_limits:
                     least = rows[sorted(range(len(rows)), key=[ids[int(r)].as_py() for r in rows].__getitem__)[:k]]
                     for place in block.places[block.zero]:
                         none = np.zeros(len(least))
-                        yield _proposed(np.full(len(least), place), ids.take(pa.array(least)), none, none)
+                        yield _proposed(batch, np.full(len(least), place), np.array(least), none, none)
         if only_limits:
             for b in blocks.values():
                 yield pa.RecordBatch.from_arrays([pa.array(b.places.astype(np.int32)), pa.array(b.best.min(axis=0))], ["place", "lower"])
@@ -138,8 +138,9 @@ def _bounds(asked: list, k: int, start: list | None, only_limits: bool):
     return run
 
 
-def _proposed(place: np.ndarray, ids: pa.Array, lower: np.ndarray, upper: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), ids, pa.array(lower), pa.array(upper)], ["place", "chunk_id", "lower", "upper"])
+def _proposed(batch: pa.RecordBatch, place: np.ndarray, rows: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> pa.RecordBatch:
+    ids, digest = (batch.column(c).take(pa.array(rows)) for c in ("chunk_id", "digest"))
+    return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), ids, digest, pa.array(lower), pa.array(upper)], ["place", "chunk_id", "digest", "lower", "upper"])
 
 
 def _blocks(asked: DataFrame) -> Iterator[list]:
@@ -152,12 +153,21 @@ def _blocks(asked: DataFrame) -> Iterator[list]:
             yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).collect()]
 
 
+def _settled(found: DataFrame, k: int, *by: str) -> DataFrame:
+    """The proposals that the k-th highest lower bound of their group does not rule out."""
+    same = Window.partitionBy(*by)
+    at = found.withColumn("rank", F.row_number().over(same.orderBy(F.desc("lower"), "chunk_id")))
+    limit = F.max(F.when(F.col("rank") == k, F.col("lower"))).over(same)
+    return at.withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("upper") >= F.col("limit")))
+
+
 def candidates(asked: DataFrame, coded: DataFrame, k: int = TOP_RETRIEVED) -> DataFrame:
     """query_id, asked, chunk_id of the pairs that the codes leave open.
 
     Each block of questions passes over the codes once.  The limits that workers start from are the
     k-th highest lower bounds among ``SEED`` rows; any rows give right limits, so results do not
-    depend on which.
+    depend on which.  A question's proposals are some k of each partition of the codes, more where
+    one vector fills many rows; ``PARTS`` tasks a question thin them before one takes the rest.
     """
     spark, codes = coded.sparkSession, coded.select(*CODED)
     kind = StructType([asked.schema["query_id"], StructField("asked", ArrayType(DoubleType()))])
@@ -167,12 +177,10 @@ def candidates(asked: DataFrame, coded: DataFrame, k: int = TOP_RETRIEVED) -> Da
         first = codes.limit(SEED).mapInArrow(_bounds(vectors, k, None, True), "place int, lower double")
         limits = dict(first.groupBy("place").agg(F.max("lower")).collect())
         start = [limits.get(i, -np.inf) for i in range(len(block))]
-        found = codes.mapInArrow(_bounds(vectors, k, start, False), StructType([StructField("place", IntegerType()), coded.schema["chunk_id"], StructField("lower", DoubleType()), StructField("upper", DoubleType())]))
-        # The k-th highest lower bound of all rows is the limit; proposals of one question are some k of each partition.
-        same = Window.partitionBy("place")
-        at = found.withColumn("rank", F.row_number().over(same.orderBy(F.desc("lower"), "chunk_id")))
-        limit = F.max(F.when(F.col("rank") == k, F.col("lower"))).over(same)
-        left = at.withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("upper") >= F.col("limit")))
+        found = codes.mapInArrow(_bounds(vectors, k, start, False), StructType([StructField("place", IntegerType()), coded.schema["chunk_id"], coded.schema["digest"], StructField("lower", DoubleType()), StructField("upper", DoubleType())]))
+        found = found.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)))
+        copy = F.row_number().over(Window.partitionBy("place", "part", "digest").orderBy("chunk_id"))
+        left = _settled(_settled(found.withColumn("copy", copy).where(F.col("copy") <= k), k, "place", "part"), k, "place")
         named = spark.createDataFrame([(i, *q) for i, q in enumerate(block)], StructType([StructField("place", IntegerType()), *kind]))
         out.append(left.join(F.broadcast(named), "place").select("query_id", "asked", "chunk_id"))
     empty = spark.createDataFrame([], StructType([*kind, coded.schema["chunk_id"]]))
