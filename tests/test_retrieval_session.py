@@ -94,3 +94,27 @@ def test_evaluation(spark):
 def test_excerpts(spark):
     rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "query_id int, rank int, text string")
     assert answer.excerpts(rows).first()["citations"] == "[1] a\n[2] b"
+
+
+def test_dense_makes_no_pairs_and_keeps_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [[nan, 1.0], [inf, 1.0], [-inf, 0.0], [None, 1.0], [1e300, 1e300], [0.0, -0.0], None, [1.0], []]
+    rows = odd + [[(i * 7 % 11) / 10, (i * 5 % 13) / 10] for i in range(60)] + [[0.3, 0.4]] * 30
+    v = spark.createDataFrame(list(enumerate(rows)), "chunk_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(i, r) for i, r in enumerate(rows) if i % 2 == 0 or i < 9], "query_id int, embedding array<double>")
+    pairs = v.join(q.withColumnRenamed("embedding", "asked"), F.size("embedding") == F.size("asked"))
+    for k in (1, 5, 200):
+        plain = T.ranked(pairs.select("query_id", "chunk_id", T.dot(F.col("embedding"), F.col("asked")).alias("score")), k)
+        ours = T.dense(q, v, k)
+        assert "Join" not in ours._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, ours.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_dense_gives_a_task_s_best_alone(spark):
+    from ledgerloom.operators import nearest
+
+    v = spark.range(3000).select(F.col("id").alias("chunk_id"), F.array((F.col("id") % 1000).cast("float"), F.lit(1).cast("float")).alias("embedding")).coalesce(1).toArrow()
+    ids, vectors = (v.column(c).combine_chunks() for c in ("chunk_id", "embedding"))
+    (out,) = nearest.scan(ids[:40], vectors[:40], 3)(iter(v.to_batches(max_chunksize=500)))
+    assert out.num_rows == 40 * 3
+    assert [r for r in out.to_pylist() if r["query_id"] == 2] == [{"query_id": 2, "chunk_id": c, "score": 2.0 * 999 + 1} for c in (999, 1999, 2999)]
