@@ -52,3 +52,12 @@ def test_store_counts_outcomes(spark, tmp_path):
 def test_insert_new_compares_null_quarters(spark):
     old, new = frame(spark, filing("a", 5, 1)), frame(spark, filing("a", 5, 2), filing("b", 5, 3))
     assert [r["doc_id"] for r in V.insert_new(old, new).collect()] == ["b"]
+
+
+def test_commits_do_not_join_the_lines_anew(spark, sf, monkeypatch):
+    from ledgerloom import catalog
+
+    plans, commit = [], catalog.store.commit_facts
+    monkeypatch.setattr(catalog.store, "commit_facts", lambda rows, *more: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), commit(rows, *more)))
+    catalog._committed(spark, sf)
+    assert len(plans) == 4 and not any("Join" in p for p in plans)
