@@ -7,6 +7,7 @@ a whole by one grouped function; lines of plain text are parsed by expressions.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
@@ -42,16 +43,27 @@ class Period(NamedTuple):
     quarter: str | None
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def parse_line(line: Column) -> Column:
     """Struct of description and values of a line of text; null without a description and two trailing figures."""
     text = F.regexp_replace(line, r"(?i)\(refer note \d+\)", "")
-    text = F.regexp_replace(corrected(text), r"^(I{1,3}|IV|V|VI{1,3}|IX|X)\.?\s+", "")
+    misread = F.lit(rf"\b(?:{'|'.join(wrong for wrong, _ in TYPOS)})\b")
+    text = _let(text, lambda t: F.when(F.rlike(t, misread), corrected(t)).otherwise(t))
+    text = F.regexp_replace(text, r"^(I{1,3}|IV|V|VI{1,3}|IX|X)\.?\s+", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\bI(?=\s\d{3}(?:\s|$))", "1"), r"(?<=\d) (?=\d{3}(?:[^\d]|$))", "")
+    last = lambda parts: F.coalesce(F.array_max(F.transform(parts, lambda p, i: F.when(~F.rlike(p, F.lit(f"^{_VALUE}$")), i))), F.lit(-1))
+
+    def split(parts: Column, last_word: Column) -> Column:
+        good = (last_word >= 0) & (F.size(parts) - last_word - 1 >= VALUES)
+        figures = F.transform(F.slice(parts, last_word + 2, F.size(parts)), lambda p: _let(p, filing_number))
+        return F.when(good, F.struct(F.array_join(F.slice(parts, 1, last_word + 1), " ").alias("description"), figures.alias("values")))
+
     parts = F.filter(F.split(F.trim(text), r"\s+"), lambda p: p != "")
-    last_word = F.coalesce(F.array_max(F.transform(parts, lambda p, i: F.when(~F.rlike(p, F.lit(f"^{_VALUE}$")), i))), F.lit(-1))
-    figures = F.slice(parts, last_word + 2, F.size(parts))
-    good = (last_word >= 0) & (F.size(figures) >= VALUES)
-    return F.when(good, F.struct(F.array_join(F.slice(parts, 1, last_word + 1), " ").alias("description"), F.transform(figures, filing_number).alias("values")))
+    return _let(parts, lambda p: _let(last(p), lambda n: split(p, n)))
 
 
 def by_top(words: list[Word], tolerance: float) -> list[list[Word]]:

@@ -171,3 +171,10 @@ def test_a_merge_reads_touched_partitions_only(spark, tmp_path):
         file.unlink()
     held = store._beside(spark.read.schema(schema).parquet(path), spark.createDataFrame([("m", "t", 2003)], schema))
     assert [r["fiscal_year"] for r in held.collect()] == [2003]
+
+
+def test_a_line_is_parsed_once(spark):
+    plan = spark.range(1).select(extract.parse_line(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("refer note") == 1 and plan.count("array_max") <= 1
+    rows = spark.createDataFrame([(None,), ("Totall l 5 6",), ("incomc TotaI 5 (6)",), ("3 4",), ("Sales 5",)], "t string")
+    assert [r["p"] and tuple(r["p"]) for r in rows.select(extract.parse_line(F.col("t")).alias("p")).collect()] == [None, ("Totall I", [5.0, 6.0]), ("income Total", [5.0, -6.0]), None, None]
