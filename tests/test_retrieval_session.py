@@ -118,3 +118,22 @@ def test_dense_gives_a_task_s_best_alone(spark):
     (out,) = nearest.scan(ids[:40], vectors[:40], 3)(iter(v.to_batches(max_chunksize=500)))
     assert out.num_rows == 40 * 3
     assert [r for r in out.to_pylist() if r["query_id"] == 2] == [{"query_id": 2, "chunk_id": c, "score": 2.0 * 999 + 1} for c in (999, 1999, 2999)]
+
+
+def test_bm25_makes_no_pairs(spark, monkeypatch):
+    texts = ["", None, "Alpha beta beta", "alpha", "gamma delta alpha", "beta-beta alpha", *(["delta gamma"] * 40)]
+    chunks = spark.createDataFrame([*enumerate(texts), (3, "beta")], "chunk_id bigint, text string")
+    q = spark.createDataFrame([(1, "beta alpha beta"), (2, "nothing"), (3, ""), (4, None), (5, "gamma"), (6, "delta alpha")], "query_id int, question string")
+    split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
+    tokens = chunks.select("chunk_id", split("text").alias("t")).withColumn("n", F.greatest(F.size("t"), F.lit(0)))
+    n, mean = tokens.agg(F.count("*"), F.avg("n")).first()
+    found = tokens.select("chunk_id", "n", F.explode("t").alias("term")).groupBy("chunk_id", "n", "term").agg(F.count("*").alias("tf"))
+    idf = found.groupBy("term").agg(F.log(1 + (n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
+    asked = q.select("query_id", F.explode(split("question")).alias("term")).distinct()
+    scores = found.join(idf, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / mean))), 6).alias("score"))
+    for words in (T.WORDS, 3):
+        monkeypatch.setattr(T, "WORDS", words)
+        for k in (2, 100):
+            ours = T.bm25(q, chunks, k)
+            assert not any("Aggregate" in x and "query_id" in x for x in ours._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+            assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, T.ranked(scores, k).collect()))
