@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Characters a token, tokens of a chunk by class (none: never split), overlap in characters, least characters of a chunk.
 CHARS, OVERLAP, LEAST = 4, 600, 50
 TOKENS = {"text": 200, "risk_disclosure": 250, "management_discussion": 200, "unknown": 200, "financial_statement": None, "table": None}
+#: Pages that a worker opens at once, characters of chunks that it holds.
+OPENED, GIVEN = 64, 1 << 21
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
@@ -88,21 +90,32 @@ def chunk_id(doc: Column, page: Column, position: Column, text: Column) -> Colum
 def recursive_chunks(pages: DataFrame) -> DataFrame:
     """doc, page, block, position, text, chunk_id of every chunk; positions count before short chunks go.
 
-    Splitting depends on what came before within a page only, so it runs on Arrow batches of pages.
+    Splitting depends on what came before within a page only, so it runs on Arrow batches of pages; a
+    worker opens few pages of a batch at a time and gives chunks away after about ``GIVEN`` characters.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pages_ in batches:
-            out = []
-            for r in pages_.itertuples(index=False):
-                tokens = TOKENS.get(r.block, TOKENS["unknown"])
-                text = r.content or ""
-                for i, piece in enumerate([text] if tokens is None else split(text, tokens * CHARS)):
-                    out.append((r.doc, r.page, r.block, i, piece))
-            yield pd.DataFrame(out, columns=["doc", "page", "block", "position", "text"])
+    def given(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema, strict=True)], schema=schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([*(batch.schema.field(c) for c in ("doc", "page", "block")), pa.field("position", pa.int32()), pa.field("text", pa.string())])
+            out, held = [], 0
+            for at in range(0, batch.num_rows, OPENED):
+                for r in batch.slice(at, OPENED).to_pylist():
+                    tokens = TOKENS.get(r["block"], TOKENS["unknown"])
+                    text = r["content"] or ""
+                    for i, piece in enumerate([text] if tokens is None else split(text, tokens * CHARS)):
+                        out.append((r["doc"], r["page"], r["block"], i, piece))
+                        held += len(piece)
+                    if held > GIVEN:
+                        yield given(out, schema)
+                        out, held = [], 0
+            if out:
+                yield given(out, schema)
 
     kinds = dict(pages.dtypes)
-    rows = pages.select("doc", "page", "block", "content").mapInPandas(cut, f"doc {kinds['doc']}, page {kinds['page']}, block string, position int, text string")
+    rows = pages.select("doc", "page", "block", "content").mapInArrow(cut, f"doc {kinds['doc']}, page {kinds['page']}, block string, position int, text string")
     return rows.where(F.length(F.trim("text")) >= LEAST).withColumn("chunk_id", chunk_id(F.col("doc"), F.col("page"), F.col("position"), F.col("text")))
 
 

@@ -87,3 +87,17 @@ def test_headers_latch_and_records(spark):
     assert [r["text"] for r in layout.from_first_figure(lines).orderBy("ord").collect()] == ["Sale of x", "tail"]
     rows = spark.createDataFrame([("l", [9.0, 1.0, None], [(2024, "Q1"), (2023, None)])], "label string, values array<double>, periods array<struct<fiscal_year:int,quarter:string>>")
     assert [(r["fiscal_year"], r["quarter"], r["value"]) for r in layout.records(rows).collect()] == [(2024, "Q1", 1.0)]
+
+
+def test_chunks_are_given_away_in_small_batches(spark, monkeypatch):
+    from ledgerloom.operators import chunks as C
+
+    monkeypatch.setattr(C, "GIVEN", 2000)
+    rows = spark.createDataFrame([(1, i, "text", "ab cd. " * 300) for i in range(20)] + [(2, 0, None, None), (2, 1, "table", "x" * 3000)], "doc bigint, page int, block string, content string")
+    cuts, plain = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, cut, kind: cuts.append(cut) or plain(self, cut, kind))
+    found = C.recursive_chunks(rows).collect()
+    assert {(r["page"], r["position"], r["text"]) for r in found if r["doc"] == 1} == {(p, i, t) for p in range(20) for i, t in enumerate(C.split("ab cd. " * 300, 800))}
+    assert [r["text"] for r in found if r["doc"] == 2] == ["x" * 3000]
+    given = list(cuts[0](iter(rows.toArrow().combine_chunks().to_batches())))
+    assert len(given) >= 20 and max(b.num_rows for b in given) < 20
