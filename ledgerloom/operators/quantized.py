@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from .retrieval import ASKED, TOP_RETRIEVED, dot, ranked
 
 #: Rows that give first limits; pairs that a worker bounds at once; bytes of questions that a worker holds; tasks that thin a question's proposals.
-SEED, PAIRS, HELD, PARTS = 8192, 1 << 21, 1 << 25, 16
+SEED, PAIRS, HELD, PARTS = 8192, 1 << 18, 1 << 25, 16
 #: Vectors of smaller components have codes of zeros, so that no code's unit is lost below the least number.
 TINY = 1e-300
 CODED = ("chunk_id", "code", "scale", "error", "digest")

@@ -72,3 +72,22 @@ def test_blocks_of_questions(spark, tmp_path, monkeypatch, blocks):
     rows = [(i, draw.normal(size=6).tolist()) for i in range(200)]
     ours, theirs, *_ = both(spark, rows, [(i, draw.normal(size=6).tolist()) for i in range(12)], 4, tmp_path)
     assert ours == theirs
+
+
+def test_a_worker_s_bounds_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerloom.operators import quantized
+
+    rng = np.random.default_rng(7)
+    codes = rng.integers(-127, 128, (9000, 8)).astype(np.int8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9000)), pa.array(list(codes), pa.list_(pa.int8())), pa.array([0.01] * 9000), pa.array([0.001] * 9000), pa.array([str(i) for i in range(9000)])], list(quantized.CODED))
+    run = quantized._bounds(rng.normal(size=(4096, 8)).tolist(), 5, None, True)
+    tracemalloc.start()
+    (limits,) = run(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert limits.num_rows == 4096 and peak < 40 << 20
