@@ -39,7 +39,7 @@ LONG_REGISTERS, DEVIATIONS = 1024, 4.77
 #: Nodes from which on a bucket is crowded: its one row is broadcast to them; nodes of a block of pairs in such a bucket.
 CROWDED, BLOCK = 256, 512
 #: Words whose hashes a Python worker keeps; nodes that are few enough to broadcast (16 bytes each).
-SEEN_WORDS, BROADCAST_NODES = 200_000, 500_000
+SEEN_WORDS, BROADCAST_NODES = 50_000, 500_000
 
 _U = np.uint64
 _LETTERS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -215,7 +215,7 @@ def _close(a: str, b: str, similarity: float, registers: int = REGISTERS) -> Col
 class Bags:
     """Multisets of the texts met last, up to a number of shingles."""
 
-    def __init__(self, similarity: float = SIMILARITY, most: int = 2_000_000):
+    def __init__(self, similarity: float = SIMILARITY, most: int = 1_000_000):
         self.shingler, self.similarity, self.most, self.held, self.total = Shingler(), similarity, most, {}, 0
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:

@@ -6,9 +6,10 @@ is *compatible*: no merge across the border of the pair comes before the merges
 sides.  Those checks run for all adjacent pairs of a batch at once in numpy; only words that fail
 them are merged exactly.
 
-Words repeat, so each Python worker keeps the encodings of the words it has met, in two
-generations of up to ``CACHE_WORDS`` entries: when the younger is full it becomes the older, and
-what the older held unused is forgotten.  Memory is bounded whatever the corpus.
+Words repeat, so each task keeps the encodings of the words it has met, in two generations of up
+to ``CACHE_WORDS`` entries: when the younger is full it becomes the older, and what the older held
+unused is forgotten.  Memory is bounded whatever the corpus, and a worker that goes on to other
+work keeps the tokenizer's tables alone.
 
 Defined results: a null text counts as empty; an empty text has no tokens; control strings of the
 tokenizer inside a text become its special tokens, as in the library's own default.  Characters
@@ -17,6 +18,7 @@ beyond U+024F are composed, lower-cased and classed by the library's tables, so
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import heapq
 import json
@@ -30,8 +32,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches, pieces
 
-#: Words whose encodings a Python worker keeps in each of two generations.
-CACHE_WORDS = 300_000
+#: Words whose encodings a task keeps in each of two generations; characters of texts that are split into words at once.
+CACHE_WORDS, SPLIT_CHARS = 100_000, 300_000
 END = "</w>"
 #: Letters up to U+024F after lower-casing, and white space as the vocabulary's own pattern has it.
 LATIN, SPACE = "a-zªµºß-öø-ÿĀ-ɏ", " \\t\\n\\x0b\\x0c\\r\\x85\\xa0"
@@ -345,25 +347,40 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def of_task(path: str) -> WordBpe:
+    """The worker's tokenizer with caches of its own, which go with it."""
+    own = copy.copy(tokenizer(path))
+    own.cache, own.older = {}, {}
+    return own
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text: id, ids (array), n_tokens, ids_sha256, decoded, decoded_sha256.
 
     Narrow: one pass without a shuffle.  Repeated rows are encoded again, each on its own row.
     """
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, ids binary, n_tokens bigint, ids_sha256 string, decoded string, decoded_sha256 string"
-    return map_batches(docs.select(id_col, text_col), lambda: lambda batch: _encoded(batch, vocabulary, True), schema)
+    return map_batches(docs.select(id_col, text_col), _encoder(vocabulary, True), schema)
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``encode``, with only the digests leaving Python."""
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_batches(docs.select(id_col, text_col), lambda: lambda batch: _encoded(batch, vocabulary, False), schema)
+    return map_batches(docs.select(id_col, text_col), _encoder(vocabulary, False), schema)
+
+
+def _encoder(vocabulary: str, whole: bool):
+    def make():
+        bpe = of_task(vocabulary)
+        return lambda batch: _encoded(batch, bpe, whole)
+
+    return make
 
 
-def _encoded(batch: pa.RecordBatch, vocabulary: str, whole: bool) -> pa.RecordBatch:
-    bpe, texts = tokenizer(vocabulary), [t or "" for t in batch.column(1).to_pylist()]
+def _encoded(batch: pa.RecordBatch, bpe: WordBpe, whole: bool) -> pa.RecordBatch:
+    texts = [t or "" for t in batch.column(1).to_pylist()]
     ids, n, a, out, b = [], [], [], [], []
-    for start, end in pieces(texts):
+    for start, end in pieces(texts, SPLIT_CHARS):
         for x in bpe.encode_batch(texts[start:end]):
             text = bpe.decode(x)
             n.append(len(x) // 4)

@@ -31,7 +31,7 @@ TRAIN_ROWS, SUPPORT, LOG_ODDS = 8_000, 4, 3.0
 #: Words around a hit that say how it is meant; weights of hits in quotation, after address, misspelled.
 AROUND, QUOTED, ADDRESSED, MISSPELLED = 5, 0.15, 1.25, 0.8
 #: Words a Python worker remembers, and automaton states it keeps.
-SEEN_WORDS, STATES = 400_000, 100_000
+SEEN_WORDS, STATES = 100_000, 100_000
 
 # Plain insults that need no learning; words of reporting and of address.
 SEED_TERMS = "asshole bastard bitch cretin dickhead disgusting dumbass fuck fucker fucking idiot imbecile jackass loser moron motherfucker pathetic retard scumbag shithead stupid trash worthless".split()

@@ -82,3 +82,18 @@ def test_a_word_of_ten_megabytes():
     found = ids("é" * 5_000_000)
     assert time.time() - began < 120
     assert found == THEIRS.encode("é" * 5_000_000, add_special_tokens=False).ids
+
+
+def test_a_task_takes_its_encodings_along(monkeypatch):
+    """What a worker keeps after a task are the tokenizer's tables; texts are split a bounded part at a time."""
+    import pyarrow as pa
+
+    held, parts = bpe.tokenizer(PATH), []
+    before = set(held.cache)
+    monkeypatch.setattr(bpe, "SPLIT_CHARS", 50)
+    whole = bpe.WordBpe.encode_batch
+    monkeypatch.setattr(bpe.WordBpe, "encode_batch", lambda self, texts: parts.append(texts) or whole(self, texts))
+    texts = [f"never{i}met word{i} of this task alone" for i in range(9)]
+    out = bpe._encoder(PATH, True)()(pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["doc_id", "text"]))
+    assert out.column("ids").to_pylist() == [whole(bpe.of_task(PATH), [t])[0] for t in texts]
+    assert set(held.cache) == before and [t for p in parts for t in p] == texts and max(map(len, parts)) == 1
