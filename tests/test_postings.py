@@ -70,3 +70,21 @@ def test_headers_come_without_postings(spark, grown):
 def test_nothing_yet(spark, tmp_path):
     index = postings.Index(spark, str(tmp_path / "none"))
     assert index.add(spark.createDataFrame([], SCHEMA)) == 0 and index.search(asked(spark)).count() == 0
+
+
+def test_many_questions_make_no_row_for_a_pair(spark, grown, monkeypatch):
+    """Above ``FEW`` questions a task gives k rows a question, whatever the number of chunks that share its words."""
+    index, rows, _ = grown
+    monkeypatch.setattr(postings, "FEW", 2)
+    monkeypatch.setattr(index, "bounds", None)
+    chunks = spark.createDataFrame(rows, SCHEMA)
+    for k in (1, 5, 400):
+        assert told(index.search(asked(spark), k)) == told(retrieval.bm25(asked(spark), chunks, k))
+    whole = told(index.search(asked(spark), 3))
+    for name, value in (("ASKED", 2), ("NAMED", 1), ("WORDS", 4)):
+        monkeypatch.setattr(postings, name, value)
+        assert told(index.search(asked(spark), 3)) == whole
+    terms = asked(spark).select("query_id", F.explode(F.array_distinct(postings.words(F.col("question")))).alias("term"))
+    given = index.summed(terms, 2)
+    tasks = given.withColumn("task", F.spark_partition_id()).groupBy("task", "query_id").count()
+    assert tasks.agg(F.max("count")).first()[0] <= 2
