@@ -38,7 +38,7 @@ BANDS = REGISTERS // ROWS
 LONG_REGISTERS, DEVIATIONS = 1024, 4.77
 #: Nodes from which on a bucket is crowded: its one row is broadcast to them; nodes of a block of pairs in such a bucket.
 CROWDED, BLOCK = 256, 512
-#: Words whose hashes a Python worker keeps; nodes that are few enough to broadcast (16 bytes each).
+#: Words whose hashes a Python worker keeps; nodes that are few enough to broadcast (16 bytes each; a quarter as many wider rows).
 SEEN_WORDS, BROADCAST_NODES = 50_000, 500_000
 
 _U = np.uint64
@@ -240,6 +240,16 @@ class Bags:
         return both >= self.similarity * (p + q - both)
 
 
+def few(df: DataFrame, wide: bool = False) -> bool:
+    """Has ``df`` few enough rows (``wide``: of more than a node or two) to broadcast it?"""
+    return df.count() <= BROADCAST_NODES // (4 if wide else 1)
+
+
+def small(df: DataFrame, wide: bool = False) -> DataFrame:
+    """``df``, marked to be broadcast where it has few rows."""
+    return F.broadcast(df) if few(df, wide) else df
+
+
 def beside(pairs: DataFrame, nodes: DataFrame, side: str, columns: list[str], written: DataFrame | None = None) -> DataFrame:
     """``pairs`` (a, b) with ``columns`` of the node on one side, named for it; ``written`` is the table that they come from.
 
@@ -259,11 +269,25 @@ def beside(pairs: DataFrame, nodes: DataFrame, side: str, columns: list[str], wr
     return rows.withColumn("salt", salt).drop("copies").join(held, [side, "salt"]).drop("salt")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b: nodes) whose texts' multisets overlap by ``similarity`` or more."""
-    needed = cut(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct(), "needed")
-    texts = _texts_of(needed, docs, "texts")
-    both = beside(beside(pairs, texts, "a", ["text"]), texts, "b", ["text"], pairs)
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with text_a and text_b.
+
+    Few pairs are broadcast to the texts, so that only their second texts are met in a shuffle: there a
+    node of more than ``CROWDED`` pairs has its row copied, as in ``beside``, which many pairs take twice.
+    """
+    if not few(pairs, wide=True):
+        return beside(beside(pairs, texts, "a", ["text"]), texts, "b", ["text"], pairs)
+    crowded = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= CROWDED)
+    crowded = F.broadcast(crowded.select("b", F.ceil(F.col("n") / CROWDED).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    rows = texts.toDF("a", "text_a").join(F.broadcast(pairs), "a").join(crowded, "b", "left")
+    rows = rows.select("a", "b", "text_a", F.pmod(F.xxhash64("a"), copies).cast("int").alias("salt"))
+    held = texts.toDF("b", "text_b").join(F.broadcast(pairs.select("b")), "b", "left_semi").join(crowded, "b", "left")
+    return rows.join(held.select("b", "text_b", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt")), ["b", "salt"])
+
+
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b: nodes) whose texts' multisets overlap by ``similarity`` or more; ``texts`` has the nodes' texts."""
 
     def make():
         bags = Bags(similarity)
@@ -274,48 +298,47 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
         return step
 
-    return cut(map_batches(both.select("a", "b", "text_a", "text_b"), make, "a binary, b binary"), "links")
+    return cut(map_batches(_with_texts(pairs, texts).select("a", "b", "text_a", "text_b"), make, "a binary, b binary"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, class (its least node) for every node with a link: least labels spread, and labels of labels are followed.
 
-    Labels of few nodes are broadcast, so that a round is one shuffle; others meet their links by joins.
+    They end when both nodes of every link have one label: a node's label is a node of its component and
+    no greater than itself, so then it is the least.  Labels of few nodes are broadcast, so that a round
+    is one shuffle; others meet their links by joins.
     """
-    ends = cut(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("node", "other"), "ends")
-    few = ends.count() <= BROADCAST_NODES
-    small = F.broadcast if few else (lambda df: df)
-    labels = cut(ends.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("class")), "labels")
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
+    labels = ends.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("class"))
+    held = F.broadcast if few(ends) else (lambda df: df)
     while True:
-        near = ends.join(small(labels.withColumnsRenamed({"node": "other", "class": "theirs"})), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        spread = near.join(small(labels), "node").select("node", F.col("class").alias("was"), F.least("class", "theirs").alias("now"))
-        jump = small(labels.withColumnsRenamed({"node": "now", "class": "further"}))
-        new = cut(spread.join(jump, "now", "left").select("node", "was", F.least("now", "further").alias("class")), "labels")
-        labels = new.select("node", "class")
-        if new.where("class != was").isEmpty():
+        near = ends.join(held(labels.toDF("other", "theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        spread = near.join(held(labels), "node").select("node", F.least("class", "theirs").alias("now"))
+        jump = held(labels.toDF("now", "further"))
+        labels = cut(spread.join(jump, "now", "left").select("node", F.least("now", "further").alias("class")), "labels")
+        apart = links.join(held(labels.toDF("a", "class_a")), "a").join(held(labels.toDF("b", "class_b")), "b").where("class_a != class_b")
+        if apart.isEmpty():
             return labels
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes with more links: only the links between classes, each pair of classes once, go through ``components``."""
-    few = classes.count() <= BROADCAST_NODES
-    known = F.broadcast(classes) if few else classes
-    ends = links.join(known.withColumnsRenamed({"node": "a", "class": "class_a"}), "a", "left").join(known.withColumnsRenamed({"node": "b", "class": "class_b"}), "b", "left")
+    """Classes with more links: only the links between classes go through ``components``."""
+    held = F.broadcast if few(classes) else (lambda df: df)
+    ends = links.join(held(classes.toDF("a", "class_a")), "a", "left").join(held(classes.toDF("b", "class_b")), "b", "left")
     ends = cut(ends.select("a", "b", F.coalesce("class_a", "a").alias("class_a"), F.coalesce("class_b", "b").alias("class_b")), "class-links")
-    up = components(ends.where("class_a != class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()).toDF("class", "higher")
+    up = components(ends.where("class_a != class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).toDF("class", "higher")
     every = classes.union(ends.select("a", "class_a")).union(ends.select("b", "class_b")).distinct()
-    return cut(every.join(F.broadcast(up) if few else up, "class", "left").select("node", F.coalesce("higher", "class").alias("class")), "classes")
+    return cut(every.join(held(up), "class", "left").select("node", F.coalesce("higher", "class").alias("class")), "classes")
 
 
-def _texts_of(nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, text of the given nodes."""
-    few = nodes.count() <= BROADCAST_NODES
-    texts = docs.select(node_of(F.col("text")).alias("node"), "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-    return cut(texts.groupBy("node").agg(F.min("text").alias("text")), name)
+    texts = docs.select(node_of(F.col("text")).alias("node"), "text").join(small(nodes), "node", "left_semi")
+    return cut(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
 
-def longer(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, long: a signature of ``LONG_REGISTERS`` for each of the nodes."""
+def longer(texts: DataFrame) -> DataFrame:
+    """node, long: a signature of ``LONG_REGISTERS`` for each of the nodes with their texts."""
 
     def make():
         shingler = Shingler()
@@ -329,16 +352,18 @@ def longer(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
         return step
 
-    return cut(map_batches(_texts_of(nodes, docs, "mixed-texts"), make, "node binary, long array<bigint>"), "long")
+    return cut(map_batches(texts, make, "node binary, long array<bigint>"), "long")
 
 
 def meet(rows: DataFrame, groups: DataFrame, key: str = "bucket") -> DataFrame:
     """``rows`` joined with ``groups``, which has one row a bucket, or class, with the number ``n`` of its rows.
 
-    Rows of crowded groups stay where they are, as those few groups' rows are broadcast to them, so
-    no group is dealt to one task; the others are shuffled.  What counts as crowded rises until the
-    crowded groups are few enough.
+    Few groups are broadcast.  Else rows of crowded groups stay where they are, as those few groups'
+    rows are broadcast to them, so no group is dealt to one task; the others are shuffled.  What counts
+    as crowded rises until the crowded groups are few enough.
     """
+    if few(groups, wide=True):
+        return rows.join(F.broadcast(groups), key)
     least = CROWDED
     while (crowded := groups.where(F.col("n") >= least)).count() > BROADCAST_NODES:
         least *= 4
@@ -346,15 +371,22 @@ def meet(rows: DataFrame, groups: DataFrame, key: str = "bucket") -> DataFrame:
     return rows.join(F.broadcast(crowded), key).unionByName(rest)
 
 
-def _rest(left: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _met(rows: DataFrame, groups: DataFrame, name: str, know_few: bool) -> DataFrame:
+    """``meet`` for groups that are not written yet: known to be few, they are broadcast as they are, else written first."""
+    return rows.join(F.broadcast(groups), "bucket") if know_few else meet(rows, cut(groups, name))
+
+
+def _rest(left: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, know_few: bool) -> DataFrame:
     """Pairs (a, b) of nodes outside their bucket's central class with the bucket's nodes of other classes, where all signatures are close.
 
     A pair comes from the first band that it shares.  Large buckets are dealt in blocks: each block
     of the one side meets each block of the other under a key of its own.
     """
-    known = longer(cut(left.select("node").distinct(), "mixed-nodes"), docs).join(nodes.select("node", "planes", "bands"), "node")
+    mixed = left.select("node").distinct()
+    mixed = F.broadcast(mixed) if know_few else small(cut(mixed, "mixed-nodes"))
+    known = longer(texts.join(mixed, "node", "left_semi")).join(nodes.select("node", "planes", "bands"), "node")
     centre = left.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "node")).alias("centre"), F.count("*").alias("n"))
-    rows = cut(meet(left.select("bucket", "node", "class"), cut(centre, "centre-classes")), "blocks")
+    rows = cut(_met(left.select("bucket", "node", "class"), centre, "centre-classes", know_few), "blocks")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own, every = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
 
@@ -369,56 +401,87 @@ def _rest(left: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float)
     return pairs.where((F.col("class_a") != F.col("class_b")) & close & first_shared)
 
 
+def _named(signed: DataFrame, nodes: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, node, class of every row of ``signed``.
+
+    A text that is one row's alone and in no link names itself, so only the others are written and,
+    where they are few, broadcast to the rows.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    held = F.broadcast if few(classes) else (lambda df: df)
+    named = nodes.select("node", "first", "copies").join(held(classes.join(degree, "node")), "node", "left")
+    named = named.select("node", "first", "copies", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("class").isNotNull().alias("linked"))
+    shared = cut(named.where("copies > 1 or linked"), "named")
+    names = cut(shared.groupBy("class").agg(F.min("first").alias("class_id"), F.count("*").alias("n")), "names")
+    named = meet(shared, names, "class").select("node", "class", "class_id", "n_links", F.col("copies").alias("n"))
+    columns = "doc_id", "class_id", "n_links", "node", "class"
+    if few(shared, wide=True):
+        rows = signed.select("doc_id", "node").join(F.broadcast(named.drop("n")), "node", "left")
+        own = F.col("class").isNull()
+        return rows.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node", F.coalesce("class", "node").alias("class"))
+    named = cut(named, "named-nodes")
+    alone = signed.select("doc_id", "node").join(named.select("node"), "node", "left_anti")
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "node", F.col("node").alias("class"))
+    return meet(signed.select("doc_id", "node"), named, "node").select(*columns).union(alone.select(*columns))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (verified links of its text), node, class: one row for each row of ``docs``.
 
     ``class`` (its least node) tells classes apart; ``class_id`` is a label, which classes share where
     ids are null or repeated.  ``docs`` needs ``doc_id`` and ``text``.
+
+    On tables of some GB most time goes by rounds, not by rows, so what is counted and found few is
+    broadcast, unwritten where it is used once, and shuffles are left to what brings rows together.
     """
     signed = cut(sign(docs), "signed")
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("planes").alias("planes"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "nodes")
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    entries = nodes.select("node", "planes", F.explode("bands").alias("bucket"))
     heads = cut(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "heads")
-    members = cut(meet(entries, heads), "members")
-    pairs = cut(members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "star-pairs")
-    pairs = cut(beside(beside(pairs, nodes, "a", ["planes"]), nodes, "b", ["planes"], pairs).where(_close("planes_a", "planes_b", similarity)).select("a", "b"), "pairs")
-    links = verify(pairs, docs, similarity)
+    few_buckets = few(heads, wide=True)
+    headed = nodes.select(F.col("node").alias("head"), F.col("planes").alias("planes_head")).join(F.broadcast(heads) if few_buckets else heads, "head")
+    members = _met(entries, headed, "heads-planes", few_buckets)
+    star = (F.col("node") != F.col("head")) & _close("planes", "planes_head", similarity)
+    members = cut(members.select("bucket", "node", "planes", F.col("n").alias("size"), "head", star.alias("star")), "members")
+    pairs = cut(members.where("star").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
+    needed = cut(members.select("node").distinct(), "needed")
+    know_few = few_buckets and few(needed)
+    texts = texts_of(needed, docs)
+    links = verify(pairs, texts, similarity)
     classes = components(links)
 
     def in_order(rows: DataFrame) -> DataFrame:
-        return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def untried(rows: DataFrame, name: str) -> DataFrame:
+        return cut(in_order(rows).join(small(tried, wide=True), ["a", "b"], "left_anti").distinct(), name)
 
     def mixed(rows: DataFrame, name: str) -> DataFrame:
         """Rows of the buckets that hold several classes, with their classes and the number of nodes."""
-        now = cut(rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), f"{name}-classes")
+        now = rows.join(small(classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        now = now if know_few else cut(now, f"{name}-classes")
         several = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low != high")
-        return cut(meet(now, cut(several.select("bucket", "n"), f"{name}-buckets")), name)
+        return cut(_met(now, several.select("bucket", "n"), f"{name}-buckets", know_few), name)
 
     tried = in_order(pairs)
-    left = mixed(members.select("bucket", "node", F.col("n").alias("size")), "mixed")
+    left = mixed(members.select("bucket", "node", "planes", "size"), "mixed")
     weights = left.groupBy("node").agg(F.sum("size").alias("weight"))
-    left = left.select("bucket", "node", "class", "n").join(weights, "node").join(nodes.select("node", F.col("planes").alias("planes_node")), "node")
-    left = cut(left, "weighed")
-    centre = left.groupBy("bucket").agg(F.max(F.struct("weight", "node", "planes_node", "class")).alias("c"), F.first("n").alias("n"))
-    centre = cut(centre.select("bucket", "n", F.col("c.node").alias("b"), F.col("c.planes_node").alias("planes_b"), F.col("c.class").alias("class_b")), "centres")
-    near = meet(left.select("bucket", F.col("node").alias("a"), F.col("planes_node").alias("planes_a"), F.col("class").alias("class_a")), centre)
+    left = cut(left.drop("size").join(F.broadcast(weights) if know_few else weights, "node"), "weighed")
+    centre = left.groupBy("bucket").agg(F.max(F.struct("weight", "node", "planes", "class")).alias("c"), F.first("n").alias("n"))
+    centre = centre.select("bucket", "n", F.col("c.node").alias("b"), F.col("c.planes").alias("planes_b"), F.col("c.class").alias("class_b"))
+    near = _met(left.select("bucket", F.col("node").alias("a"), F.col("planes").alias("planes_a"), F.col("class").alias("class_a")), centre, "centres", know_few)
     near = near.where((F.col("class_a") != F.col("class_b")) & _close("planes_a", "planes_b", similarity))
-    more = cut(in_order(near).join(tried, ["a", "b"], "left_anti"), "central-pairs")
+    more = untried(near, "central-pairs")
     if not more.isEmpty():
-        found = verify(more, docs, similarity)
+        found = verify(more, texts, similarity)
         tried, links, classes = tried.union(more), links.union(found), merged(classes, found)
     left = mixed(left.select("bucket", "node", "weight"), "mixed-again")
     if not left.isEmpty():
-        more = cut(in_order(_rest(left.drop("n"), nodes, docs, similarity)).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+        more = untried(_rest(left.drop("n"), nodes, texts, similarity, know_few), "rest-pairs")
         if not more.isEmpty():
-            found = verify(more, docs, similarity)
+            found = verify(more, texts, similarity)
             links, classes = links.union(found), merged(classes, found)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = cut(nodes.select("node", "first", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(degree, "node", "left"), "named")
-    names = cut(named.groupBy("class").agg(F.min("first").alias("class_id"), F.count("*").alias("n")), "names")
-    named = meet(named, names, "class").select("node", "class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n"))
-    return meet(signed.select("doc_id", "node"), cut(named, "named-nodes"), "node").select("doc_id", "class_id", "n_links", "node", "class")
+    return _named(signed, nodes, classes, links)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -82,6 +82,26 @@ def test_crowded_buckets_and_tables_too_large_to_broadcast(spark, monkeypatch, n
     assert got == classes(texts)
 
 
+def test_few_rounds_where_tables_are_small(spark, monkeypatch):
+    """Each table written between is a round of tasks; what is few is broadcast instead.  Classes and links stay as they are."""
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    base, texts, written, cut = [word() for _ in range(100)], [], [], B.cut
+    for _ in range(40):
+        ws = list(base)
+        for k in random.sample(range(100), random.choice([1, 2, 3, 4])):
+            ws[k] = word()
+        texts.append(" ".join(ws))
+    texts += [texts[0], texts[0], "one text of its own with its own words", None, None, "..."]
+    monkeypatch.setattr(B, "cut", lambda df, name: written.append(name) or cut(df, name))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = sorted(map(tuple, B.near_duplicates(docs).collect()))
+    n = len(written)
+    monkeypatch.setattr(B, "BROADCAST_NODES", 0)
+    assert few == sorted(map(tuple, B.near_duplicates(docs).collect())) and {r[0]: r[1] for r in few} == classes(texts)
+    assert written[:n].count("texts") == 1 and n <= 27, written[:n]
+
+
 def test_recall_by_similarity_on_the_driver_s_documents(spark):
     """Every pair of 0.8 or more shares a class; what lies below is reported and not promised."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
