@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import nearest
 from ledgerloom.operators import retrieval as T
@@ -59,3 +60,23 @@ def test_sums_equal_plain_ones(monkeypatch, own, asked, terms, chunks):
             mine = sorted(((round(s, 6), c) for p, c, s in plain if p == q), key=lambda x: (-x[0], x[1]))
             best += [(q, c, s) for s, c in mine[:k]]
         assert ours == sorted(best)
+
+
+def test_rerank_splits_a_text_once(spark, monkeypatch):
+    """The default scorer's words of a text are made below the row of each hit; a scorer of one's own gets both texts as they are."""
+    chunks = spark.createDataFrame([(1, "a b c c"), (2, "b c d"), (2, "b x"), (3, None)], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "B c e"), (3, "")], "query_id int, question string")
+    hits = spark.createDataFrame([(q, c, r) for q in (1, 2, 3) for r, c in enumerate((3, 2, 1), 1)], "query_id int, chunk_id int, rank int")
+    scored = {(1, 1): [1.0], (1, 2): [0.5, 0.5], (1, 3): [0.0], (2, 1): [0.666667], (2, 2): [0.333333, 0.666667], (2, 3): [0.0], (3, 1): [0.0], (3, 2): [0.0, 0.0], (3, 3): [0.0]}
+    for few in (T.ASKED, 1):
+        monkeypatch.setattr(T, "ASKED", few)
+        out = T.rerank(hits, asked, chunks, k=9)
+        got = {}
+        for r in sorted(out.collect(), key=lambda r: r["score"]):
+            got.setdefault((r["query_id"], r["chunk_id"]), []).append(r["score"])
+        assert got == scored
+        lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        exploded = next(i for i, x in enumerate(lines) if "Generate inline" in x)
+        assert not any("split(" in x and "text" in x for x in lines[:exploded]) and any("split(" in x and "text" in x for x in lines[exploded:])
+        own = T.rerank(hits, asked, chunks, k=9, scorer=lambda q, t: F.length(q) * 10.0 + F.coalesce(F.length(t), F.lit(0)))
+        assert {r["score"] for r in own.where("query_id = 1 and chunk_id = 1").collect()} == {37.0}
