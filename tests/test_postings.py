@@ -1,6 +1,7 @@
 """The stored inverted index gives what a scan of all chunks gives, from few postings."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,32 @@ def test_many_questions_make_no_row_for_a_pair(spark, grown, monkeypatch):
     given = index.summed(terms, 2)
     tasks = given.withColumn("task", F.spark_partition_id()).groupBy("task", "query_id").count()
     assert tasks.agg(F.max("count")).first()[0] <= 2
+
+
+def test_building_makes_no_row_for_a_posting(spark, tmp_path, monkeypatch):
+    """Counts go to their slot as arrays and blocks are made there, also where a batch ends within a slot."""
+    rows = corpus(seed=5, n=200) + ODD
+    index = postings.Index(spark, str(tmp_path / "built"))
+    plans, append = [], index.blocks.append
+    monkeypatch.setattr(index.blocks, "append", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or append(df))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        assert index.add(spark.createDataFrame(rows, SCHEMA)) == len(rows)
+        monkeypatch.setattr(postings, "FEW", 2)
+        many = told(index.search(asked(spark), 9))
+    finally:
+        spark.conf.set(size, before)
+    assert len(plans) == 1 and "inline" not in plans[0] and "collect_list" not in plans[0]
+    assert many == told(retrieval.bm25(asked(spark), spark.createDataFrame(rows, SCHEMA), 9))
+    blocks = index.blocks.read().collect()
+    assert len({(b["term"], b["slot"]) for b in blocks}) == len(blocks)
+    assert sum(b["df"] for b in blocks) == sum(len(set(postings_of(t))) for _, t, _ in rows)
+    for b in blocks:
+        assert b["df"] == len(b["posts"]) and [p["chunk_id"] for p in b["posts"]] == sorted(p["chunk_id"] for p in b["posts"])
+        assert b["reach"] == pytest.approx(max(p["tf"] / (1.2 * (0.25 + 0.75 * p["n"] / b["mean"])) for p in b["posts"]))
+
+
+def postings_of(text):
+    return re.findall("[a-z0-9]+", (text or "").lower())
